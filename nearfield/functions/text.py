@@ -73,7 +73,7 @@ def tokenize(text: Column) -> Column:
             ),
         )
     )
-    has_long = folded.rlike(rf"\S{{{MAX_TOKEN + 1}}}")
+    has_long = folded.rlike(rf"(?:^|\s)\S{{{MAX_TOKEN + 1}}}")
     return F.when(has_long, cut).otherwise(tokens)
 
 

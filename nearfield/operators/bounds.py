@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 
 
-def vector_bounds(df: DataFrame, vector_col: str = "vector") -> DataFrame:
+def vector_bounds(df: DataFrame, vector_col: str = "vector", *extra: Column) -> DataFrame:
     """One row ``(vmin, vmax)``: smallest and largest element of all vectors, NaN left out.
 
     Built-in array aggregates run on every row; the element filter only on rows with a NaN.
+    ``extra`` aggregates are computed in the same pass.
     """
     v = F.col(vector_col)
     clean = F.when(F.isnan(F.array_max(v)), F.filter(v, lambda x: ~F.isnan(x))).otherwise(v)
     return df.agg(
-        F.min(F.array_min(clean)).cast("float").alias("vmin"), F.max(F.array_max(clean)).cast("float").alias("vmax")
+        F.min(F.array_min(clean)).cast("float").alias("vmin"),
+        F.max(F.array_max(clean)).cast("float").alias("vmax"),
+        *extra,
     )
 
 

@@ -80,20 +80,71 @@ def _surplus_copies(x: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
     return surplus
 
 
-class LocalTopK:
-    """Running top k of every query over the batches one task sees.
+class RunningTopK:
+    """The k best ``(id, value)`` offers of each of m queries, smallest value first, ties by id."""
+
+    def __init__(self, m: int, k: int, per_owner: bool = False):
+        self.m, self.k, self.per_owner = m, k, per_owner
+        self.tau = np.full(m, np.inf)  # a query with k offers takes nothing above this
+        self.pos = np.zeros(0, np.int64)
+        self.ids: np.ndarray | None = None
+        self.value = np.zeros(0, np.float64)
+        self._pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def offer(self, pos: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
+        if len(pos):
+            self._pending.append((pos, ids, value))
+
+    def flush(self) -> None:
+        """Fold the offers since the last flush into the running top k."""
+        if not self._pending:
+            return
+        pos = np.concatenate([p for p, _, _ in self._pending])
+        ids = np.concatenate([i for _, i, _ in self._pending])
+        value = np.concatenate([d for _, _, d in self._pending])
+        self._pending.clear()
+        touched = np.zeros(self.m, bool)
+        touched[pos] = True
+        mine = touched[self.pos]
+        if self.ids is not None:
+            rest_pos, rest_ids, rest_value = self.pos[~mine], self.ids[~mine], self.value[~mine]
+            pos = np.concatenate([self.pos[mine], pos])
+            ids = np.concatenate([self.ids[mine], ids])
+            value = np.concatenate([self.value[mine], value])
+        else:
+            rest_pos, rest_ids, rest_value = self.pos, ids[:0], self.value
+        if self.per_owner:
+            codes = _order_codes(ids)
+            order = np.lexsort((value, codes, pos))
+            same = (np.diff(pos[order]) == 0) & (np.diff(codes[order]) == 0)
+            order = order[np.r_[True, ~same]]
+            pos, ids, value = pos[order], ids[order], value[order]
+        order = np.lexsort((_order_codes(ids), value, pos))
+        pos, ids, value = pos[order], ids[order], value[order]
+        rank = np.arange(len(pos)) - np.searchsorted(pos, pos, side="left")
+        best = rank < self.k
+        last = rank == self.k - 1
+        self.tau[pos[last]] = value[last]
+        self.pos = np.concatenate([rest_pos, pos[best]])
+        self.ids = np.concatenate([rest_ids, ids[best]])
+        self.value = np.concatenate([rest_value, value[best]])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query position, id, value)`` of every kept pair."""
+        self.flush()
+        return self.pos, self.ids if self.ids is not None else np.zeros(0, np.int64), self.value
+
+
+class LocalTopK(RunningTopK):
+    """The k nearest rows of every query over the batches one task sees, exactly.
 
     ``per_owner`` ranks owners instead of rows: an owner's distance is that of its nearest row.
     """
 
     def __init__(self, q: np.ndarray, k: int, per_owner: bool = False):
-        self.q, self.k, self.per_owner = q, k, per_owner
+        super().__init__(len(q), k, per_owner)
+        self.q = q
         self.norms = sq_norms(q)
-        self.tau = np.full(len(q), np.inf)
-        self.pos = np.zeros(0, np.int64)
-        self.ids: np.ndarray | None = None
-        self.dist = np.zeros(0, np.float64)
-        self._pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Offer corpus rows to all queries, or to the queries at ``rows``."""
@@ -134,8 +185,7 @@ class LocalTopK:
             dist = exact_sq(q, x, qi, xi)
             near = dist <= tau[qi]
             qi, xi, dist = qi[near], xi[near], dist[near]
-            if len(qi):
-                self._pending.append((qi if rows is None else rows[qi], ids[xi], dist))
+            self.offer(qi if rows is None else rows[qi], ids[xi], dist)
 
     def _keep(self, low, norms, x_norms, tau, slack, ids) -> np.ndarray:
         """Pairs whose lower bound does not exceed what the query still accepts."""
@@ -162,42 +212,3 @@ class LocalTopK:
     def _up(bound: np.ndarray, dtype) -> np.ndarray:
         with np.errstate(over="ignore"):
             return np.nextafter(bound.astype(dtype), dtype(np.inf))
-
-    def flush(self) -> None:
-        """Fold the offers since the last flush into the running top k."""
-        if not self._pending:
-            return
-        pos = np.concatenate([p for p, _, _ in self._pending])
-        ids = np.concatenate([i for _, i, _ in self._pending])
-        dist = np.concatenate([d for _, _, d in self._pending])
-        self._pending.clear()
-        touched = np.zeros(len(self.q), bool)
-        touched[pos] = True
-        mine = touched[self.pos]
-        if self.ids is not None:
-            rest_pos, rest_ids, rest_dist = self.pos[~mine], self.ids[~mine], self.dist[~mine]
-            pos = np.concatenate([self.pos[mine], pos])
-            ids = np.concatenate([self.ids[mine], ids])
-            dist = np.concatenate([self.dist[mine], dist])
-        else:
-            rest_pos, rest_ids, rest_dist = self.pos, ids[:0], self.dist
-        if self.per_owner:
-            codes = _order_codes(ids)
-            order = np.lexsort((dist, codes, pos))
-            same = (np.diff(pos[order]) == 0) & (np.diff(codes[order]) == 0)
-            order = order[np.r_[True, ~same]]
-            pos, ids, dist = pos[order], ids[order], dist[order]
-        order = np.lexsort((_order_codes(ids), dist, pos))
-        pos, ids, dist = pos[order], ids[order], dist[order]
-        rank = np.arange(len(pos)) - np.searchsorted(pos, pos, side="left")
-        best = rank < self.k
-        last = rank == self.k - 1
-        self.tau[pos[last]] = dist[last]
-        self.pos = np.concatenate([rest_pos, pos[best]])
-        self.ids = np.concatenate([rest_ids, ids[best]])
-        self.dist = np.concatenate([rest_dist, dist[best]])
-
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(query position, id, squared distance)`` of every kept pair."""
-        self.flush()
-        return self.pos, self.ids if self.ids is not None else np.zeros(0, np.int64), self.dist

@@ -9,7 +9,7 @@ ever holds a whole side. Both ways return the same rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions import vectors as V
-from nearfield.operators.kernel import LocalTopK, ids_of, matrix_of
+from nearfield.operators.kernel import LocalTopK, RunningTopK, ids_of, matrix_of
 
 BROADCAST_BYTES = 64 << 20  # queries up to this size are broadcast
 CHUNK_BYTES = 128 << 20  # corpus bytes in one fragment of the partitioned way
@@ -111,9 +111,9 @@ def _hit_schema(corpus: DataFrame, queries: DataFrame, integral: bool) -> T.Stru
     )
 
 
-def hits_batch(top: LocalTopK, query_ids: np.ndarray, arrow: pa.Schema) -> pa.RecordBatch:
-    pos, ids, dist = top.result()
-    columns = [query_ids[pos], ids, dist]
+def hits_batch(top: RunningTopK, query_ids: np.ndarray, arrow: pa.Schema) -> pa.RecordBatch:
+    pos, ids, value = top.result()
+    columns = [query_ids[pos], ids, value]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, from_pandas=False).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
     )
@@ -143,40 +143,53 @@ def _broadcast_search(
     return corpus.mapInArrow(search, schema)
 
 
-def fragment_search(
+def fragments(
     corpus: DataFrame,
     queries: DataFrame,
-    k: int,
+    search: Callable[[pa.Table, pa.Table], pa.Table],
     schema: T.StructType,
     *,
     chunks: Column,
     blocks: Column,
-    per_owner: bool = False,
-    within: tuple[str, ...] = (),
+    spread: Sequence[str] = ("doc_id",),
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Local top k of every (corpus chunk, query block) pair that shares the ``within`` columns.
+    """Run ``search`` on every (corpus chunk, query block) pair that shares the ``within`` columns.
 
     A corpus row belongs to one chunk and is sent to every block; a query belongs to one block
     and is sent to every chunk. Rows are hashed by id, so a cell that holds a third of the
-    corpus or of the queries is cut into as many pieces as its size asks for. With ``per_owner``
-    the vector is hashed too, after equal rows are folded, so one owner can span many chunks.
+    corpus or of the queries is cut into as many pieces as its size asks for.
     """
-    if per_owner:
-        corpus = corpus.dropDuplicates()
-    spread = ["doc_id", "vector"] if per_owner else ["doc_id"]
     keys = [*within, "_chunk", "_block"]
 
     def pieces(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
-    left = corpus.withColumn("_chunk", F.pmod(F.xxhash64(*spread), chunks).cast("int")).withColumn(
-        "_block", pieces(blocks)
-    )
-    right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).withColumn(
-        "_chunk", pieces(chunks)
-    )
-    left = left.select(*keys, "doc_id", "vector")
-    right = right.select(*keys, "query_id", "vector")
+    left = corpus.withColumn("_chunk", F.pmod(F.xxhash64(*spread), chunks).cast("int"))
+    left = left.withColumn("_block", pieces(blocks))
+    right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
+    right = right.withColumn("_chunk", pieces(chunks))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+
+
+def fragment_search(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int,
+    schema: T.StructType,
+    *,
+    chunks: Column,
+    blocks: Column,
+    per_owner: bool = False,
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """Local top k of every (corpus chunk, query block) pair, for query sets too large to send.
+
+    With ``per_owner`` equal rows are folded and the vector is hashed too, so one owner can span
+    many chunks.
+    """
+    if per_owner:
+        corpus = corpus.dropDuplicates()
     arrow = arrow_schema(schema)
 
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
@@ -188,4 +201,13 @@ def fragment_search(
                 top.flush()
         return pa.Table.from_batches([hits_batch(top, ids_of(q["query_id"]), arrow)])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+    return fragments(
+        corpus,
+        queries,
+        search,
+        schema,
+        chunks=chunks,
+        blocks=blocks,
+        spread=("doc_id", "vector") if per_owner else ("doc_id",),
+        within=within,
+    )
