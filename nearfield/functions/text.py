@@ -33,14 +33,14 @@ def token_pattern(java: bool = True) -> str:
     Letter runs may hold one letter-joining mark between letters (don't, u.s.a), digit runs one
     number-joining mark between digits (3.14), and both join with each other and with underscores.
     Han and Hiragana give one token per character; Katakana and the South-East Asian scripts
-    without spaces give one per run. The Java form matches the same tokens faster: it tests the
-    common letters first, skips spaces and marks by one lookahead, and its possessive groups
-    neither backtrack nor recurse, whatever the length of a token.
+    without spaces give one per run. The Java form matches the same tokens faster: a run of common
+    letters before a character that joins nothing is taken at once, spaces and marks are skipped by
+    one lookahead, and possessive groups neither backtrack nor recurse, however long a token is.
     """
     p = "+" if java else ""
+    common = r"a-z\x{DF}-\x{F6}\x{F8}-\x{24F}"
     other_letter = rf"[^\P{{L}}{_HAN}{_HIRAGANA}{_KATAKANA}{_UNSPACED}]"
     if java:
-        common = r"a-z\x{DF}-\x{F6}\x{F8}-\x{24F}"
         letter, in_word = f"[{common}{other_letter}]", f"[{common}{other_letter}{_EXTEND}]"
     else:
         letter, in_word = other_letter, f"(?:{other_letter}|[{_EXTEND}])"
@@ -54,7 +54,11 @@ def token_pattern(java: bool = True) -> str:
     katakana = f"[{_KATAKANA}][{_KATAKANA}{_EXTEND}]*"
     unspaced = f"[{_UNSPACED}][{_UNSPACED}{_EXTEND}]*"
     token = f"{word}|{single}|{katakana}|{unspaced}|[{_EMOJI}]"
-    return rf"(?=[a-z0-9_\x{{80}}-\x{{10FFFF}}])(?:{token})" if java else token
+    if not java:
+        return token
+    apart = r"[\x00-&(-\-/;-@\[-^`{-\x7F]"
+    plain = rf"[{common}]++(?={apart}|\.(?:{apart}|\z)|\z)"
+    return rf"{plain}|(?=[a-z0-9_\x{{80}}-\x{{10FFFF}}])(?:{token})"
 
 
 def tokenize(text: Column) -> Column:

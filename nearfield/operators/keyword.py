@@ -6,10 +6,12 @@ length sits in the postings, so scoring needs no join with the documents.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +42,6 @@ class TextIndex:
         mean = F.col("n_tokens") / F.col("n_docs")
         return totals.select("field", "n_docs", F.col("n_tokens").alias("total_len"), mean.alias("avg_len"))
 
-    def write(self, path: str, files: int) -> None:
-        """Store the index so that a search reads only the files that hold its terms.
-
-        Range partitioning on (field, term, document) spreads a frequent term over many files.
-        """
-        ranged = self.postings.repartitionByRange(files, "field", "term", "doc_id")
-        ranged.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        words = self.lexicon.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-        words.write.mode("overwrite").parquet(f"{path}/lexicon")
-
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
         return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"))
@@ -59,12 +51,10 @@ def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id")
     """A text index of the given string columns, as lazy tables over ``docs``.
 
     All fields come from one pass over the rows. A filter on field or term moves below the
-    grouping, so searching an unsaved index only groups the tokens it asks for.
+    grouping, so searching an unsaved index only groups the tokens it asks for. To search the
+    same documents often, store the index instead.
     """
-    per_field = F.array(*(F.struct(F.lit(f).alias("field"), X.tokenize(F.col(f)).alias("tokens")) for f in fields))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(per_field).alias("part"))
-    rows = rows.select("doc_id", "part.field", "part.tokens").filter(F.size("tokens") > 0)
-    rows = rows.withColumn("doc_len", F.size("tokens").cast("long"))
+    rows = _analysed(docs, fields, id_col)
     tokens = rows.select("field", "doc_id", "doc_len", F.posexplode("tokens").alias("pos", "term"))
     postings = tokens.groupBy("field", "term", "doc_id", "doc_len").agg(
         F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
@@ -77,6 +67,74 @@ def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id")
     )
 
 
+def _analysed(docs: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
+    """``(doc_id, field, tokens, doc_len)`` of every field that holds a token."""
+    per_field = F.array(*(F.struct(F.lit(f).alias("field"), X.tokenize(F.col(f)).alias("tokens")) for f in fields))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(per_field).alias("part"))
+    rows = rows.select("doc_id", "part.field", "part.tokens").filter(F.size("tokens") > 0)
+    return rows.withColumn("doc_len", F.size("tokens").cast("long"))
+
+
+def store_index(docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id") -> TextIndex:
+    """Write a text index so that a search reads only the files that hold its terms.
+
+    The tokens of a document are folded to postings inside the task that analysed it, so the one
+    shuffle carries postings, ranged on (field, term, document): a frequent term spans many files.
+    The lexicon is counted from the stored postings.
+    """
+    rows = _analysed(docs, fields, id_col).select("field", "doc_id", "doc_len", "tokens")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"field string, term string, doc_id {id_type}, tf long, doc_len long, positions array<int>"
+    postings = rows.mapInArrow(_fold_postings, schema)
+    ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+    ranged.write.mode("overwrite").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    # Every document has exactly one posting that starts at position 0.
+    counts = stored.groupBy("field", "term").agg(
+        F.count("*").alias("n_docs"),
+        F.sum("doc_len").alias("n_tokens"),
+        F.sum("tf").alias("_tf"),
+        F.count_if(F.col("positions")[0] == 0).alias("_first"),
+    )
+    totals = counts.groupBy("field").agg(F.sum("_first").alias("n_docs"), F.sum("_tf").alias("n_tokens"))
+    totals = totals.withColumn("term", F.lit(FIELD_TOTALS))
+    lexicon = counts.drop("_tf", "_first").unionByName(totals)
+    lexicon.sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/lexicon")
+    return TextIndex.load(spark, path)
+
+
+def _fold_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token lists to one row per distinct term of each list, with its positions in order."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1_000):
+            batch = whole.slice(at, 1_000)
+            tokens = batch.column("tokens")
+            lengths = np.diff(tokens.offsets.to_numpy())
+            doc = np.repeat(np.arange(batch.num_rows), lengths)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            coded = tokens.flatten().dictionary_encode()
+            n_terms = max(1, len(coded.dictionary))
+            key = doc * n_terms + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+            ends = np.r_[starts, len(key)]
+            row, term = np.divmod(key[order][starts], n_terms)
+            taken = batch.take(pa.array(row))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    taken.column("field"),
+                    coded.dictionary.take(pa.array(term)),
+                    taken.column("doc_id"),
+                    pa.array(np.diff(ends), pa.int64()),
+                    taken.column("doc_len"),
+                    positions,
+                ],
+                names=["field", "term", "doc_id", "tf", "doc_len", "positions"],
+            )
+
+
 @dataclass(frozen=True)
 class Clause:
     """One condition of a keyword query; see ``match``, ``phrase``, ``prefix`` and the others."""

@@ -54,7 +54,8 @@ def search_batch(
         [weighted.schema["query_id"], rows.schema["doc_id"], T.StructField("value", T.DoubleType())]
     )
     arrow = arrow_schema(schema)
-    size = weighted.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()["terms"] * _TERM_BYTES
+    typed = F.coalesce(F.sum(F.size(X.tokenize(F.col(text_col)))), F.lit(0))
+    size = queries.agg(typed.alias("n")).first()["n"] * _TERM_BYTES
     if size <= broadcast_bytes:
         block = docs.sparkSession.sparkContext.broadcast(_pack(weighted.toArrow()))  # size checked above
 

@@ -14,7 +14,7 @@ N = 10
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return widen(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return widen(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"), "doc_id")
 
 
 def text_index(spark: SparkSession, sf: str) -> K.TextIndex:
@@ -65,12 +65,19 @@ def keyword_or_compact_norms(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     """The same search over an index written as tables."""
-    path = scratch_path(spark, "text-index")
-    text_index(spark, sf).write(path, files=8)
-    stored = K.TextIndex.load(spark, path)
+    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), files=8)
     return _search(stored, {q: [K.match(t)] for q, t in OR_QUERIES.items()}, field="text")
 
 
+def stored_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies and field totals as the stored index counts them."""
+    docs = documents(spark, sf)
+    stored = K.store_index(docs, ["text", "lang"], scratch_path(spark, "text-index"), files=8)
+    totals = stored.stats().select("field", F.lit("").alias("term"), F.col("n_docs").alias("n"), "total_len")
+    terms = stored.terms().select("field", "term", F.col("doc_freq").alias("n"), F.lit(None).cast("long").alias("total_len"))
+    return terms.unionByName(totals)
+
+
 def keyword_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of ``benchmark`` is a query against every document."""
     queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
@@ -147,6 +154,7 @@ QUERIES = {
         keyword_or,
         keyword_or_compact_norms,
         keyword_stored_index,
+        stored_lexicon,
         keyword_batch,
         keyword_must,
         keyword_must_not,
@@ -258,6 +266,9 @@ SELECT field, n_docs, total_len::BIGINT AS total_len, round(avg_len, 6) AS avg_l
     "keyword_or": f"{_TEXT}, {_values(OR_QUERIES)} {_ranked(_bm25_sum())}",
     "keyword_or_compact_norms": f"{_TEXT}, {_values(OR_QUERIES)} {_ranked(_bm25_sum(_COMPACT))}",
     "keyword_stored_index": f"{_TEXT}, {_values(OR_QUERIES)} {_ranked(_bm25_sum())}",
+    "stored_lexicon": f"""WITH {_analysed(('text', 'documents', 'doc_id'), ('lang', 'documents', 'doc_id'))}
+SELECT field, term, doc_freq AS n, NULL::BIGINT AS total_len FROM df
+UNION ALL SELECT field, '', n_docs, total_len::BIGINT FROM totals""",
     "keyword_batch": f"""{_TEXT}, typed AS (
   SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark
 ) {_ranked(_bm25_sum())}""",
