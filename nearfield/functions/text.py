@@ -77,7 +77,7 @@ def tokenize(text: Column) -> Column:
             ),
         )
     )
-    has_long = folded.rlike(rf"(?:^|\s)\S{{{MAX_TOKEN + 1}}}")
+    has_long = F.coalesce(text, F.lit("")).rlike(rf"\A(?:\S{{0,{MAX_TOKEN}}}+\s++)*+\S{{{MAX_TOKEN + 1}}}")
     return F.when(has_long, cut).otherwise(tokens)
 
 

@@ -199,8 +199,9 @@ def _fragment_cells(
         return df.groupBy("cell").agg(F.greatest(F.lit(1), n).cast("int").alias(name))
 
     sizes = pieces(index, "_chunks", chunk_bytes).join(pieces(probes, "_blocks", block_bytes), "cell")
-    left = index.join(F.broadcast(sizes), "cell")
-    right = probes.join(F.broadcast(sizes), "cell")
+    names = sizes.columns
+    left = index.join(F.broadcast(sizes.toDF(*names)), "cell")
+    right = probes.join(F.broadcast(sizes.toDF(*names)), "cell")
     return fragment_search(
         left, right, k, schema, chunks=F.col("_chunks"), blocks=F.col("_blocks"), within=("cell",)
     )

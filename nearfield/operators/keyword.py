@@ -120,7 +120,7 @@ def _fold_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
             ends = np.r_[starts, len(key)]
             row, term = np.divmod(key[order][starts], n_terms)
-            taken = batch.take(pa.array(row))
+            taken = batch.select(["field", "doc_id", "doc_len"]).take(pa.array(row))
             positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order], pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
