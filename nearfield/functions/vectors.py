@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +85,7 @@ def quantize_int8(vector: Column, vmin: Column, vmax: Column, overflow: str = "c
     Values outside the bounds are clamped to -128 and 127, or wrap around a byte with
     ``overflow="wrap"``. Equal bounds give all zeros. Half rounds up.
     """
-    if overflow not in ("clamp", "wrap"):
-        raise ValueError(f"overflow must be 'clamp' or 'wrap', not {overflow!r}")
+    _check_overflow(overflow)
     lo, span = vmin.cast("float"), vmax.cast("float") - vmin.cast("float")
 
     def one(v: Column) -> Column:
@@ -98,6 +100,44 @@ def quantize_int8(vector: Column, vmin: Column, vmax: Column, overflow: str = "c
     return F.when(vmin == vmax, zeros).otherwise(F.transform(vector, one))
 
 
+def _check_overflow(overflow: str) -> None:
+    if overflow not in ("clamp", "wrap"):
+        raise ValueError(f"overflow must be 'clamp' or 'wrap', not {overflow!r}")
+
+
+def quantize_int8_batches(vector: Column, vmin: Column, vmax: Column, overflow: str = "clamp") -> Column:
+    """``quantize_int8`` on Arrow batches: the same values, several times faster on long vectors.
+
+    Array lambdas run element by element; here a batch is a handful of array operations. Only
+    the vector column goes through Python.
+    """
+    _check_overflow(overflow)
+
+    @F.arrow_udf("array<tinyint>")
+    def quantize(vectors: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+        lo, hi = (c.to_numpy(zero_copy_only=False).astype(np.float32) for c in (low, high))
+        if len(lo) and (lo == lo[0]).all() and (hi == hi[0]).all():
+            lo, hi = lo[0], hi[0]  # one scale for the batch, the usual case
+        else:
+            lo, hi = np.repeat(lo, counts), np.repeat(hi, counts)
+        with np.errstate(all="ignore"):
+            unit = (values - lo) / (hi - lo) * np.float32(255)
+            level = np.floor(unit)
+            level += unit - level >= 0.5  # half rounds up; the difference is exact
+            if overflow == "clamp":
+                level = np.clip(np.nan_to_num(level, copy=False) - 128, -128, 127)
+            else:
+                wide = np.clip(np.nan_to_num(level), -(2.0**31), 2.0**31 - 1, dtype=np.float64)
+                level = np.mod(wide, 256) - 128
+        out = np.where(lo == hi, 0, level).astype(np.int8)
+        offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out), mask=vectors.is_null() if vectors.null_count else None)
+
+    return quantize(vector, vmin.cast("float"), vmax.cast("float"))
+
+
 def megabytes(n_bytes: Column) -> Column:
     """Whole MiB in a byte count."""
     return F.floor(n_bytes / F.lit(1048576)).cast("long")

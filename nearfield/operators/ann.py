@@ -149,7 +149,7 @@ def ann_search(
         hits = _broadcast_cells(index, probes, k, schema)
     else:
         hits = _fragment_cells(index, probes, k, schema, size["dim"], broadcast_bytes, chunk_bytes)
-    return rank_hits(hits, k)
+    return rank_hits(hits, k, size["rows"])
 
 
 def _broadcast_cells(index: DataFrame, probes: DataFrame, k: int, schema: T.StructType) -> DataFrame:
@@ -210,8 +210,9 @@ def _fragment_cells(
 def lookup(hits: DataFrame, docs: DataFrame, fields: list[str], id_col: str = "doc_id") -> DataFrame:
     """Hits with the stored fields of their documents.
 
-    A plain equi-join on the id: Spark broadcasts the hits when they are small and splits a
-    document that very many queries hit when they are not.
+    An equi-join on the id. Hits of a search carry their size bound, so a small hit list is
+    broadcast and the documents are scanned in place; a large one is joined by shuffle, where
+    Spark splits a document that very many queries hit.
     """
     stored = docs.select(F.col(id_col).alias("doc_id"), *fields)
     return hits.join(stored, "doc_id")

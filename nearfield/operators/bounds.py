@@ -37,7 +37,7 @@ def quantize_table(
     """
     pair = bounds.select(F.struct("vmin", "vmax").alias("pair")).scalar()
     widened = df.withColumn("_bounds", pair)
-    quantized = V.quantize_int8(F.col(vector_col), F.col("_bounds.vmin"), F.col("_bounds.vmax"), overflow)
+    quantized = V.quantize_int8_batches(F.col(vector_col), F.col("_bounds.vmin"), F.col("_bounds.vmax"), overflow)
     return widened.withColumn(out_col, quantized).drop("_bounds")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import text as X
-from nearfield.operators.knn import top_k
+from nearfield.operators.knn import small, top_k
 
 K1, B = 1.2, 0.75
 
@@ -288,7 +288,7 @@ def search(
     # Sums arrive in any order; rounding keeps equal documents equal, so ties go by id.
     scored = accepted.select("query_id", "doc_id", F.round("score", 9).alias("score"))
     ranked = top_k(scored, n, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()])
-    return ranked.select("query_id", "doc_id", "rank", "score")
+    return small(ranked.select("query_id", "doc_id", "rank", "score"), len(queries) * n)
 
 
 def _any_of(tests: Sequence[Column]) -> Column:

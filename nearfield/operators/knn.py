@@ -34,7 +34,15 @@ def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank_col: s
     return ranked.filter(F.col(rank_col) <= k).withColumn(rank_col, F.col(rank_col).cast("long"))
 
 
-def rank_hits(hits: DataFrame, k: int, distinct: bool = False) -> DataFrame:
+def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Mark a table of at most ``rows`` rows for broadcast when that bound is small enough.
+
+    Joining a handful of hits with a large table then leaves the large table unshuffled.
+    """
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def rank_hits(hits: DataFrame, k: int, n_queries: int, distinct: bool = False) -> DataFrame:
     """Local top-k rows of all tasks to the final hit list, nearest first, ties by id.
 
     ``distinct`` first folds rows of the same query and document to the nearest one.
@@ -42,7 +50,8 @@ def rank_hits(hits: DataFrame, k: int, distinct: bool = False) -> DataFrame:
     if distinct:
         hits = hits.groupBy("query_id", "doc_id").agg(F.min("dist_sq").alias("dist_sq"))
     ranked = top_k(hits, k, ["query_id"], [F.col("dist_sq").asc(), F.col("doc_id").asc()])
-    return ranked.select("query_id", "doc_id", "rank", "dist_sq", V.score(F.col("dist_sq")).alias("score"))
+    ranked = ranked.select("query_id", "doc_id", "rank", "dist_sq", V.score(F.col("dist_sq")).alias("score"))
+    return small(ranked, n_queries * k)
 
 
 def knn(
@@ -79,7 +88,7 @@ def knn(
         hits = fragment_search(
             corpus, queries, k, schema, chunks=F.lit(n_chunks), blocks=F.lit(n_blocks), per_owner=per_owner
         )
-    return rank_hits(hits, k, distinct=per_owner)
+    return rank_hits(hits, k, size["rows"], distinct=per_owner)
 
 
 def vectors_size(df: DataFrame, vector_col: str = "vector") -> dict[str, int]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as X
 from nearfield.operators import keyword as K
+from nearfield.operators.ann import lookup
 from nearfield.operators.keyword_batch import search_batch
 from nearfield.session import scratch_path, widen
 
@@ -141,7 +142,7 @@ def keyword_hits_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Hits with their stored fields, as a result list shows them."""
     parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type")
     hits = _search(part_index(spark, sf), {"q": [K.match("anvil", field="p_name")]})
-    return hits.join(parts, "doc_id").select("rank", "doc_id", "p_name", "p_type")
+    return lookup(hits, parts, ["p_name", "p_type"]).select("rank", "doc_id", "p_name", "p_type")
 
 
 QUERIES = {

@@ -227,6 +227,22 @@ def stream_ingest_int8(spark: SparkSession, sf: str) -> DataFrame:
     return _elements(spark.read.parquet(f"{path}/table"), "qvector")
 
 
+def stream_ingest_ann(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows get their index cell as they arrive; the ingested table is then searched as an index."""
+    docs = corpus(spark, sf)
+    frozen = bounds.vector_bounds(docs).first()
+    pivots = ann.sample_pivots(docs, PIVOTS)
+    path = scratch_path(spark, "ingest-ann")
+    docs.select("doc_id", "vector").repartition(3, "doc_id").write.parquet(f"{path}/in")
+    source = spark.readStream.schema("doc_id long, vector array<float>").parquet(f"{path}/in")
+    run = ingest.stream_ingest(
+        source, f"{path}/table", f"{path}/bounds", f"{path}/log", frozen["vmin"], frozen["vmax"], pivots
+    )
+    run.awaitTermination()
+    hits = ann.ann_search(spark.read.parquet(f"{path}/table"), as_queries(docs), pivots, K, NPROBE)
+    return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
+
+
 def stream_observed_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds seen by an ingest whose frozen bounds are narrower than the data."""
     docs = corpus(spark, sf)
@@ -270,6 +286,7 @@ QUERIES = {
         set_intersection_size,
         storage_footprint,
         stream_ingest_int8,
+        stream_ingest_ann,
         stream_observed_bounds,
     )
 }
@@ -397,6 +414,7 @@ SELECT query_id, count(*) AS n_common FROM common GROUP BY query_id""",
     "storage_footprint": """SELECT sum(len(embedding) * 4)::BIGINT AS float_bytes, sum(len(embedding))::BIGINT AS int8_bytes,
   sum(len(embedding) * 4)::DOUBLE / sum(len(embedding)) AS ratio FROM embeddings""",
     "stream_ingest_int8": _QUANTIZED,
+    "stream_ingest_ann": f"{_PIVOT_KNN} SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits",
     "stream_observed_bounds": f"""WITH {_BOUNDS}
 SELECT (SELECT count(*) FROM embeddings) AS n_rows, 0::BIGINT AS n_rejected, vmin, vmax,
   vmin < -0.25::FLOAT OR vmax > 0.25::FLOAT AS drifted FROM b""",

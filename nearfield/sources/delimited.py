@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 
+_BROADCAST_SPLITS = 20_000  # scan tasks up to which the split table is broadcast
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(ordinal, value)``: text lines numbered from 0 in file order.
 
-    Rows are counted per file split where they are read; only the split sizes are added up.
+    Rows are counted per file split where they are read; only the split sizes are added up, and
+    that table of one row per split is broadcast unless the scan has very many splits.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -22,6 +25,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     base = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    if lines.rdd.getNumPartitions() <= _BROADCAST_SPLITS:
+        base = F.broadcast(base)
     numbered = lines.join(base, ["_file", "_start"])
     return numbered.select((F.col("_base") + F.col("_row") - F.col("_first")).alias("ordinal"), "value")
 

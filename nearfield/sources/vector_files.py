@@ -249,12 +249,12 @@ def register(spark: SparkSession) -> None:
 def _ordinals_across_files(df: DataFrame) -> DataFrame:
     """Number the records of a multi-file table as one sequence in file order.
 
-    The offsets are one row per file.
+    The offsets are one row per file, a list the driver already made to plan the scan.
     """
     counts = df.groupBy("file").agg((F.max("ordinal") + 1).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("file", F.coalesce(before, F.lit(0)).alias("_base"))
-    return df.join(base, "file").withColumn("ordinal", F.col("ordinal") + F.col("_base")).drop("_base")
+    return df.join(F.broadcast(base), "file").withColumn("ordinal", F.col("ordinal") + F.col("_base")).drop("_base")
 
 
 def _read(spark: SparkSession, source: str, path: str, layout: str, start: int, stop: int | None) -> DataFrame:

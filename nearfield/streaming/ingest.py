@@ -33,7 +33,7 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, _ = V.split_valid(batch)
         quantized = accepted.withColumn(
-            "qvector", V.quantize_int8(F.col("vector"), F.lit(vmin), F.lit(vmax), overflow)
+            "qvector", V.quantize_int8_batches(F.col("vector"), F.lit(vmin), F.lit(vmax), overflow)
         )
         rows = assign_cells(quantized, pivots) if pivots is not None else quantized
         _put(rows, table, batch_id)

@@ -68,6 +68,16 @@ def test_quantize_is_monotone(spark):
     assert out == sorted(out) and min(out) == -128 and max(out) == 127
 
 
+@pytest.mark.parametrize("overflow", ["clamp", "wrap"])
+def test_batch_quantization_equals_the_expression(spark, overflow):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.uniform(-3, 3, i % 7)], lo, hi) for i, (lo, hi) in enumerate([(-1.0, 2.0), (0.5, 0.5)] * 40)]
+    df = spark.createDataFrame([*rows, (99, None, 0.0, 1.0)], "doc_id long, vector array<float>, lo double, hi double")
+    args = (F.col("vector"), F.col("lo"), F.col("hi"), overflow)
+    both = df.select(V.quantize_int8(*args).alias("a"), V.quantize_int8_batches(*args).alias("b"))
+    assert both.count() == both.filter(F.col("a").eqNullSafe(F.col("b"))).count()
+
+
 def test_bounds_of_negative_and_nan_vectors(spark):
     df = table(spark, [(0, [-3.0, -1.0]), (1, [float("nan"), -2.0])])
     assert tuple(bounds.vector_bounds(df).first()) == (-3.0, -1.0)
