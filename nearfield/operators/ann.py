@@ -28,6 +28,7 @@ from nearfield.operators.knn import (
     rank_hits,
     vectors_size,
 )
+from nearfield.session import staged
 
 _PRUNE_LITERALS = 2_000  # probed cells that still go into the scan filter as literals
 
@@ -35,8 +36,9 @@ _PRUNE_LITERALS = 2_000  # probed cells that still go into the scan filter as li
 def sample_pivots(corpus: DataFrame, m: int, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
     """A repeatable sample of m vectors as ``(cell, vector)``: those with the smallest id hash.
 
-    The count first narrows the hash range to little more than m rows, so only those rows reach
-    the sort; the result is the same as sorting everything.
+    The row count first narrows the hash range to little more than m rows, so only those reach
+    the sort; the result is the same as sorting everything. The sample is taken now and comes
+    back as a small local table, since index and queries both read it.
     """
     hashed = corpus.select(
         F.col(id_col).alias("cell"),
@@ -44,13 +46,16 @@ def sample_pivots(corpus: DataFrame, m: int, id_col: str = "doc_id", vector_col:
         F.md5(F.col(id_col).cast("string").cast("binary")).alias("_hash"),
     )
     total = corpus.count()
-    share = min(1.0, (m + 8 * m**0.5 + 32) / max(1, total))
-    if share < 1.0:
-        cut = f"{int(share * 16**8):08x}"
-        near = hashed.filter(F.col("_hash") < cut)
-        if near.count() >= m:
-            hashed = near
-    return hashed.orderBy("_hash", "cell").limit(m).select("cell", "vector")
+    share = (m + 8 * m**0.5 + 32) / max(1, total)
+    near = hashed.filter(F.col("_hash") < f"{int(share * 16**8):08x}") if share < 1 else hashed
+
+    def smallest(rows: DataFrame) -> pa.Table:
+        return rows.orderBy("_hash", "cell").limit(m).select("cell", "vector").toArrow()
+
+    taken = smallest(near)
+    if taken.num_rows < min(m, total):
+        taken = smallest(hashed)
+    return corpus.sparkSession.createDataFrame(taken, hashed.select("cell", "vector").schema)
 
 
 def train_pivots(corpus: DataFrame, m: int, seed: int = 17, vector_col: str = "vector", max_iter: int = 10) -> DataFrame:
@@ -119,9 +124,10 @@ def write_index(assigned: DataFrame, path: str, files: int, id_col: str = "doc_i
     """Store an index so that a search reads only the probed cells.
 
     Range partitioning on (cell, id) gives evenly sized tasks: a cell that holds a third of the
-    corpus spans many of them, and small cells share one.
+    corpus spans many of them, and small cells share one. The assignment is staged first, because
+    range partitioning reads its input twice.
     """
-    ranged = assigned.repartitionByRange(files, "cell", id_col).sortWithinPartitions("cell", id_col)
+    ranged = staged(assigned, "cells").repartitionByRange(files, "cell", id_col).sortWithinPartitions("cell", id_col)
     ranged.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 

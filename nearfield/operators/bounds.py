@@ -23,6 +23,15 @@ def vector_bounds(df: DataFrame, vector_col: str = "vector", *extra: Column) ->
     )
 
 
+def frozen_bounds(df: DataFrame, vector_col: str = "vector") -> DataFrame:
+    """The bounds computed now, as a one-row table of constants.
+
+    Use it when several plans share the bounds; the lazy form would scan the corpus in each.
+    """
+    row = vector_bounds(df, vector_col).first()
+    return df.sparkSession.createDataFrame([tuple(row)], "vmin float, vmax float")
+
+
 def quantize_table(
     df: DataFrame,
     bounds: DataFrame,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as X
 from nearfield.operators.knn import small, top_k
+from nearfield.session import staged
 
 K1, B = 1.2, 0.75
 
@@ -80,12 +81,13 @@ def store_index(docs: DataFrame, fields: Sequence[str], path: str, files: int, i
 
     The tokens of a document are folded to postings inside the task that analysed it, so the one
     shuffle carries postings, ranged on (field, term, document): a frequent term spans many files.
-    The lexicon is counted from the stored postings.
+    Postings are staged before that, because range partitioning reads its input twice. The
+    lexicon is counted from the stored postings.
     """
     rows = _analysed(docs, fields, id_col).select("field", "doc_id", "doc_len", "tokens")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"field string, term string, doc_id {id_type}, tf long, doc_len long, positions array<int>"
-    postings = rows.mapInArrow(_fold_postings, schema)
+    postings = staged(rows.mapInArrow(_fold_postings, schema), "postings")
     ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     ranged.write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession

@@ -14,12 +14,18 @@ def matched_hits(truth: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def recall_per_query(truth: DataFrame, candidate: DataFrame, k: int) -> DataFrame:
-    """``(query_id, matched, recall)`` for every query of the truth, also those with no match."""
-    found = matched_hits(truth, candidate).select(*HIT_KEY, F.lit(1).alias("_hit"))
-    queries = truth.select("query_id", F.lit(0).alias("_hit"))
-    both = found.select("query_id", "_hit").unionByName(queries)
-    counts = both.groupBy("query_id").agg(F.sum("_hit").cast("long").alias("matched"))
-    return counts.withColumn("recall", F.col("matched") / F.lit(float(k)))
+    """``(query_id, matched, recall)`` for every query of the truth, also those with no match.
+
+    Both hit lists are read once and met by grouping, so neither search runs twice.
+    """
+    tagged = truth.select(*HIT_KEY, F.lit(1).alias("t"), F.lit(0).alias("c")).unionAll(
+        candidate.select(*HIT_KEY, F.lit(0).alias("t"), F.lit(1).alias("c"))
+    )
+    pairs = tagged.groupBy(*HIT_KEY).agg(F.max("t").alias("t"), F.max("c").alias("c"))
+    counts = pairs.groupBy("query_id").agg(
+        F.sum(F.col("t") * F.col("c")).cast("long").alias("matched"), F.max("t").alias("known")
+    )
+    return counts.filter("known = 1").select("query_id", "matched", (F.col("matched") / F.lit(float(k))).alias("recall"))
 
 
 def recall_at_k(truth: DataFrame, candidate: DataFrame, k: int, n_queries: int | None = None) -> DataFrame:

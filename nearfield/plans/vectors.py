@@ -26,7 +26,7 @@ def as_queries(df: DataFrame, vector_col: str = "vector") -> DataFrame:
 
 
 def int8_corpus(docs: DataFrame) -> DataFrame:
-    quantized = bounds.quantize_table(docs, bounds.vector_bounds(docs))
+    quantized = bounds.quantize_table(docs, bounds.frozen_bounds(docs))
     return quantized.select("doc_id", F.col("qvector").alias("vector"))
 
 
@@ -181,6 +181,11 @@ def recall_exact_vs_ann(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(recall.recall_at_k(pivot_hits(docs), exact_hits(docs), K, n_queries=100))
 
 
+def hits_in_truth(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus(spark, sf)
+    return recall.matched_hits(exact_hits(docs), int8_hits(docs))
+
+
 def recall_per_query(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
     return _rounded(recall.recall_per_query(exact_hits(docs), int8_hits(docs), K))
@@ -280,6 +285,7 @@ QUERIES = {
         recall_int8_vs_float,
         recall_ann_vs_exact,
         recall_exact_vs_ann,
+        hits_in_truth,
         recall_per_query,
         recall_vs_ground_truth,
         ids_per_query,
@@ -401,6 +407,7 @@ SELECT query_id, doc_id, rank, dist_sq FROM hits""",
     "recall_int8_vs_float": f"{_BOTH_KNN} {_recall('f', 'i')}",
     "recall_ann_vs_exact": f"WITH {_FLOATS}, {_exact('f', 'fl')}, {_pivoted('a', 'fl')} {_recall('f', 'a')}",
     "recall_exact_vs_ann": f"WITH {_FLOATS}, {_exact('f', 'fl')}, {_pivoted('a', 'fl')} {_recall('a', 'f', '100')}",
+    "hits_in_truth": f"{_BOTH_KNN} SELECT query_id, doc_id FROM f INTERSECT SELECT query_id, doc_id FROM i",
     "recall_per_query": f"""{_BOTH_KNN}
 SELECT f.query_id, count(i.doc_id) AS matched, round(count(i.doc_id) / {float(K)}::DOUBLE, 6) AS recall
 FROM f LEFT JOIN i ON f.query_id = i.query_id AND f.doc_id = i.doc_id GROUP BY f.query_id""",

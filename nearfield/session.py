@@ -40,6 +40,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/nearfield/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` written once to the scratch folder and read back.
+
+    For a costly result that the next step evaluates more than once (range partitioning samples
+    its input before it shuffles it) or that must survive the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with fewer splits than the cluster has slots (one row group, few files).
 
