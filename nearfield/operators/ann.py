@@ -1,8 +1,10 @@
-"""Approximate nearest neighbours over a pivot index kept as a table.
+"""Approximate nearest neighbours over an index of cells kept as a table.
 
-Every vector belongs to the cell of its nearest pivot. A query looks only into the cells of its
-``nprobe`` nearest pivots and ranks what it finds there by exact distance; probing all cells is
-the exact search. The index is an ordinary table with a ``cell`` column.
+With pivots, every vector belongs to the cell of its nearest pivot, and a query looks only into
+the cells of its ``nprobe`` nearest pivots; probing all cells is the exact search. With random
+projections, a cell is a bucket of vectors that fall into the same steps of a few projections.
+Either way the index is an ordinary table with a ``cell`` column, and what a query finds in its
+cells is ranked by exact distance.
 """
 
 from __future__ import annotations
@@ -148,9 +150,25 @@ def ann_search(
     """k nearest neighbours within the ``nprobe`` nearest cells of every query, exactly ranked."""
     index = index.select("cell", F.col(id_col).alias("doc_id"), F.col(vector_col).alias("vector"))
     queries = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vector_col).alias("vector"))
-    schema = _hit_schema(index, queries, _is_int8(index, queries))
     size = vectors_size(queries)
     probes = nearest_cells(queries, pivots, nprobe).drop("cell_rank")
+    return search_cells(index, probes, k, nprobe, size, broadcast_bytes, chunk_bytes)
+
+
+def search_cells(
+    index: DataFrame,
+    probes: DataFrame,
+    k: int,
+    nprobe: int,
+    size: dict[str, int],
+    broadcast_bytes: int = BROADCAST_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """k nearest rows of ``index (cell, doc_id, vector)`` for ``probes (query_id, vector, cell)``.
+
+    ``size`` is that of the queries before probing, as ``vectors_size`` measures it.
+    """
+    schema = _hit_schema(index, probes, _is_int8(index, probes))
     if size["bytes"] * max(1, nprobe) <= broadcast_bytes:
         hits = _broadcast_cells(index, probes, k, schema)
     else:
@@ -158,6 +176,57 @@ def ann_search(
     return rank_hits(hits, k, size["rows"])
 
 
+def hashed_cells(
+    df: DataFrame, n: int = 1, *, projections: int = 3, width: float = 1.0, seed: int = 17, vector_col: str = "vector"
+) -> DataFrame:
+    """Every row with its bucket under random projections, and its ``n - 1`` next best buckets.
+
+    A projection is cut into steps of ``width``; a bucket is one step of each. The next buckets
+    are those across the nearest step borders. Index and queries must use the same settings.
+    """
+    if not 1 <= n <= 2 * projections + 1:
+        raise ValueError(f"n must lie between 1 and {2 * projections + 1}")
+    at = df.columns.index(vector_col)
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.LongType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix_of(batch.column(at)).astype(np.float64)
+            draws = np.random.default_rng(seed)
+            mix = draws.integers(1, 2**62, projections) * 2 + 1
+            steps = x @ draws.standard_normal((x.shape[1], projections)) / width
+            home = np.floor(steps)
+            inside = steps - home
+            own = (home.astype(np.int64) * mix).sum(axis=1)
+            border = np.argsort(np.hstack([inside, 1 - inside]), axis=1, kind="stable")[:, : n - 1]
+            moves = np.concatenate([-mix, mix])[border]
+            cells = np.hstack([own[:, None], own[:, None] + moves])
+            rows = batch if n == 1 else batch.take(pa.array(np.repeat(np.arange(len(x)), n)))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(cells.ravel())], names=[*batch.schema.names, "cell"]
+            )
+
+    return df.mapInArrow(assign, schema)
+
+
+def hashed_search(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    *,
+    projections: int = 3,
+    width: float = 1.0,
+    seed: int = 17,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """k nearest neighbours within ``nprobe`` buckets of an index made by ``hashed_cells``."""
+    index, queries = index.select("cell", "doc_id", "vector"), queries.select("query_id", "vector")
+    probes = hashed_cells(queries, nprobe, projections=projections, width=width, seed=seed)
+    return search_cells(index, probes, k, nprobe, vectors_size(queries), broadcast_bytes, chunk_bytes)
+
+
 def _broadcast_cells(index: DataFrame, probes: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Scan only the probed cells and keep a local top k; the queries are small enough to send."""
     table = probes.toArrow()  # size checked by the caller

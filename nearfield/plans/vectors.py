@@ -155,6 +155,12 @@ def ann_trained_pivots(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
 
 
+def ann_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus(spark, sf)
+    hits = ann.hashed_search(ann.hashed_cells(docs), as_queries(docs), K, nprobe=7)
+    return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
+
+
 def cell_sizes(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
     assigned = ann.assign_cells(docs, ann.sample_pivots(docs, PIVOTS))
@@ -281,6 +287,7 @@ QUERIES = {
         ann_pivot_stored,
         ann_pivot_int8,
         ann_trained_pivots,
+        ann_lsh,
         cell_sizes,
         recall_int8_vs_float,
         recall_ann_vs_exact,

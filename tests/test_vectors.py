@@ -156,6 +156,26 @@ def test_hot_cell_is_cut_into_fragments(spark):
     assert collected(one) == collected(many)
 
 
+def test_hashed_cells_find_exact_hits_within_their_buckets(spark):
+    docs = random_corpus(spark)
+    index = ann.hashed_cells(docs, width=3.0)
+    exact = {(r["query_id"], r["doc_id"]): r["dist_sq"] for r in knn(docs, queries_of(docs), 400).collect()}
+    cells = {r["doc_id"]: r["cell"] for r in index.collect()}
+    probes = {}
+    for r in ann.hashed_cells(queries_of(docs), 4, width=3.0).collect():
+        probes.setdefault(r["query_id"], set()).add(r["cell"])
+    want = []
+    for q, looked in probes.items():
+        near = sorted((exact[q, d], d) for d, c in cells.items() if c in looked)[:5]
+        want += [(q, d, i + 1) for i, (_, d) in enumerate(near)]
+    hits = ann.hashed_search(index, queries_of(docs), 5, 4, width=3.0)
+    cut = ann.hashed_search(index, queries_of(docs), 5, 4, width=3.0, broadcast_bytes=3_000, chunk_bytes=2_000)
+    assert [r[:3] for r in collected(hits)] == sorted(want)
+    assert collected(hits) == collected(cut)
+    with pytest.raises(ValueError):
+        ann.hashed_cells(docs, 8)
+
+
 def test_stored_index_reads_only_probed_cells(spark):
     docs = random_corpus(spark)
     pivots = ann.sample_pivots(docs, 6)
