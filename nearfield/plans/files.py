@@ -13,7 +13,7 @@ from nearfield.plans.vectors import _exact as _exact_sql
 from nearfield.session import scratch_path
 from nearfield.sources import delimited, documents, tables, vector_files
 
-FIRST = 100  # the reference row cap of a recall run
+FIRST = 100  # row cap, a feature of its own
 RANGE = (100, 300)
 
 
