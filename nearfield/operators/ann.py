@@ -28,6 +28,7 @@ from nearfield.operators.knn import (
     fragment_search,
     hits_batch,
     rank_hits,
+    small,
     vectors_size,
 )
 from nearfield.session import staged
@@ -172,7 +173,7 @@ def search_cells(
     if size["bytes"] * max(1, nprobe) <= broadcast_bytes:
         hits = _broadcast_cells(index, probes, k, schema)
     else:
-        hits = _fragment_cells(index, probes, k, schema, size["dim"], broadcast_bytes, chunk_bytes)
+        hits = _fragment_cells(index, probes, k, schema, size, nprobe, broadcast_bytes, chunk_bytes)
     return rank_hits(hits, k, size["rows"])
 
 
@@ -261,24 +262,30 @@ def _broadcast_cells(index: DataFrame, probes: DataFrame, k: int, schema: T.Stru
 
 
 def _fragment_cells(
-    index: DataFrame, probes: DataFrame, k: int, schema: T.StructType, dim: int, block_bytes: int, chunk_bytes: int
+    index: DataFrame,
+    probes: DataFrame,
+    k: int,
+    schema: T.StructType,
+    size: dict[str, int],
+    nprobe: int,
+    block_bytes: int,
+    chunk_bytes: int,
 ) -> DataFrame:
-    """Join cell by cell in fragments: each cell is cut into chunks and blocks by its own counts.
-
-    The two count tables have at most one row per pivot, and the pivots' size was checked.
-    """
-    row_bytes = max(1, dim) * 4
+    """Join cell by cell in fragments: each cell is cut into chunks and blocks by its own counts."""
+    row_bytes = max(1, size["dim"]) * 4
 
     def pieces(df: DataFrame, name: str, limit: int) -> DataFrame:
         n = F.ceil(F.count("*") * F.lit(row_bytes) / F.lit(limit))
         return df.groupBy("cell").agg(F.greatest(F.lit(1), n).cast("int").alias(name))
 
     sizes = pieces(index, "_chunks", chunk_bytes).join(pieces(probes, "_blocks", block_bytes), "cell")
-    names = sizes.columns
-    left = index.join(F.broadcast(sizes.toDF(*names)), "cell")
-    right = probes.join(F.broadcast(sizes.toDF(*names)), "cell")
+
+    def sized(df: DataFrame) -> DataFrame:
+        # At most one row per probe; broadcast while that is little, so no cell is shuffled whole.
+        return df.join(small(sizes.toDF(*sizes.columns), size["rows"] * nprobe, 24), "cell")
+
     return fragment_search(
-        left, right, k, schema, chunks=F.col("_chunks"), blocks=F.col("_blocks"), within=("cell",)
+        sized(index), sized(probes), k, schema, chunks=F.col("_chunks"), blocks=F.col("_blocks"), within=("cell",)
     )
 
 

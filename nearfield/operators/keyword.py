@@ -27,8 +27,11 @@ FIELD_TOTALS = ""  # the lexicon row of a field as a whole; no token is empty
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings ``(field, term, doc_id, tf, doc_len, positions)`` and a lexicon ``(field, term,
-    n_docs, n_tokens)``, whose row with an empty term holds the totals of the field."""
+    """Postings ``(field, term, doc_id, tf, doc_len, leads, positions)`` and a lexicon ``(field,
+    term, n_docs, n_tokens)``, whose row with an empty term holds the totals of the field.
+
+    ``leads`` marks the one posting of a document and field whose term stands first there.
+    """
 
     postings: DataFrame
     lexicon: DataFrame
@@ -58,12 +61,14 @@ def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id")
     rows = _analysed(docs, fields, id_col)
     tokens = rows.select("field", "doc_id", "doc_len", F.posexplode("tokens").alias("pos", "term"))
     postings = tokens.groupBy("field", "term", "doc_id", "doc_len").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
+        F.count("*").alias("tf"),
+        (F.min("pos") == 0).alias("leads"),
+        F.sort_array(F.collect_list("pos")).alias("positions"),
     )
     words = F.concat(F.array(F.lit(FIELD_TOTALS)), F.array_distinct("tokens"))
     lexicon = rows.select("field", "doc_len", F.explode(words).alias("term")).groupBy("field", "term")
     return TextIndex(
-        postings.select("field", "term", "doc_id", "tf", "doc_len", "positions"),
+        postings.select("field", "term", "doc_id", "tf", "doc_len", "leads", "positions"),
         lexicon.agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("n_tokens")),
     )
 
@@ -86,23 +91,24 @@ def store_index(docs: DataFrame, fields: Sequence[str], path: str, files: int, i
     """
     rows = _analysed(docs, fields, id_col).select("field", "doc_id", "doc_len", "tokens")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"field string, term string, doc_id {id_type}, tf long, doc_len long, positions array<int>"
+    schema = f"field string, term string, doc_id {id_type}, tf long, doc_len long, leads boolean, positions array<int>"
     postings = staged(rows.mapInArrow(_fold_postings, schema), "postings")
     ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     ranged.write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
     stored = spark.read.parquet(f"{path}/postings")
-    # Every document has exactly one posting that starts at position 0.
     counts = stored.groupBy("field", "term").agg(
         F.count("*").alias("n_docs"),
         F.sum("doc_len").alias("n_tokens"),
         F.sum("tf").alias("_tf"),
-        F.count_if(F.col("positions")[0] == 0).alias("_first"),
+        F.count_if("leads").alias("_leads"),
     )
-    totals = counts.groupBy("field").agg(F.sum("_first").alias("n_docs"), F.sum("_tf").alias("n_tokens"))
+    counts = staged(counts, "lexicon")
+    totals = counts.groupBy("field").agg(F.sum("_leads").alias("n_docs"), F.sum("_tf").alias("n_tokens"))
     totals = totals.withColumn("term", F.lit(FIELD_TOTALS))
-    lexicon = counts.drop("_tf", "_first").unionByName(totals)
-    lexicon.sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/lexicon")
+    lexicon = counts.drop("_tf", "_leads").unionByName(totals)
+    lexicon = lexicon.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+    lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
     return TextIndex.load(spark, path)
 
 
@@ -131,9 +137,10 @@ def _fold_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     taken.column("doc_id"),
                     pa.array(np.diff(ends), pa.int64()),
                     taken.column("doc_len"),
+                    pa.array(pos[order][starts] == 0),
                     positions,
                 ],
-                names=["field", "term", "doc_id", "tf", "doc_len", "positions"],
+                names=["field", "term", "doc_id", "tf", "doc_len", "leads", "positions"],
             )
 
 
@@ -228,6 +235,10 @@ def search(
     scores with field lengths cut to a one-byte norm.
     """
     literal, patterns = _plan(index, queries, field)
+    # A query of one clause has one hit per document already, so nothing needs to be summed.
+    units = {(r[0], r[1]) for r in literal} | {row[:2] for row, _ in patterns}
+    excludes = any(r[3] == "must_not" for r in literal) or any(c.occur == "must_not" for _, c in patterns)
+    lone = not excludes and len(units) == len({q for q, _ in units})
     weights = _weights(index, literal)
     parts = []
     if weights is not None:
@@ -279,6 +290,16 @@ def search(
     if not parts:
         raise ValueError("no query holds a clause that can match")
     hits = reduce(DataFrame.unionByName, parts)
+    if not lone:
+        hits = _combined(hits)
+    # Sums arrive in any order; rounding keeps equal documents equal, so ties go by id.
+    scored = hits.select("query_id", "doc_id", F.round("score", 9).alias("score"))
+    ranked = top_k(scored, n, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()])
+    return small(ranked.select("query_id", "doc_id", "rank", "score"), len(queries) * n)
+
+
+def _combined(hits: DataFrame) -> DataFrame:
+    """Clause hits to the documents that satisfy their query, with the sum of the scores."""
     merged = hits.groupBy("query_id", "doc_id").agg(
         F.sum(F.when(F.col("occur") != "must_not", F.col("score")).otherwise(0.0)).alias("score"),
         F.count_if(F.col("occur") == "must").alias("_must"),
@@ -286,11 +307,7 @@ def search(
         F.count_if(F.col("occur") == "must_not").alias("_not"),
         F.max("need").alias("_need"),
     )
-    accepted = merged.filter("_not = 0 AND _must = _need AND (_need > 0 OR _should > 0)")
-    # Sums arrive in any order; rounding keeps equal documents equal, so ties go by id.
-    scored = accepted.select("query_id", "doc_id", F.round("score", 9).alias("score"))
-    ranked = top_k(scored, n, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()])
-    return small(ranked.select("query_id", "doc_id", "rank", "score"), len(queries) * n)
+    return merged.filter("_not = 0 AND _must = _need AND (_need > 0 OR _should > 0)")
 
 
 def _any_of(tests: Sequence[Column]) -> Column:
