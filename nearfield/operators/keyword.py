@@ -20,6 +20,7 @@ from nearfield.operators.knn import small, top_k
 from nearfield.session import staged
 
 K1, B = 1.2, 0.75
+_EXPANSIONS = 5_000  # matched terms up to which a pattern becomes a list of terms
 
 
 FIELD_TOTALS = ""  # the lexicon row of a field as a whole; no token is empty
@@ -35,6 +36,7 @@ class TextIndex:
 
     postings: DataFrame
     lexicon: DataFrame
+    stored: bool = False  # sorted tables on disk, where looking up given terms is cheap
 
     def terms(self) -> DataFrame:
         """``(field, term, doc_freq)`` of every term."""
@@ -48,7 +50,7 @@ class TextIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"))
+        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), stored=True)
 
 
 def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id") -> TextIndex:
@@ -155,7 +157,9 @@ class Clause:
     occur: str = "should"
     high: str | None = None
     edits: int = 2
+    transpositions: bool = True
     inclusive: tuple[bool, bool] = (True, True)
+    terms: tuple[str, ...] = ()
 
 
 def match(text: str, field: str | None = None, boost: float = 1.0) -> Clause:
@@ -178,11 +182,16 @@ def wildcard(pattern: str, field: str | None = None, boost: float = 1.0) -> Clau
     return Clause("wildcard", pattern.lower(), field, boost)
 
 
-def fuzzy(text: str, field: str | None = None, boost: float = 1.0, edits: int = 2) -> Clause:
-    """Terms at most ``edits`` insertions, deletions or substitutions away; scores the boost."""
+def fuzzy(
+    text: str, field: str | None = None, boost: float = 1.0, edits: int = 2, transpositions: bool = True
+) -> Clause:
+    """Terms at most ``edits`` insertions, deletions or substitutions away; scores the boost.
+
+    With ``transpositions`` swapping two neighbouring letters is one edit as well.
+    """
     if not 0 <= edits <= 2:
         raise ValueError("edits must be 0, 1 or 2")
-    return Clause("fuzzy", text.lower(), field, boost, edits=edits)
+    return Clause("fuzzy", text.lower(), field, boost, edits=edits, transpositions=transpositions)
 
 
 def term_range(
@@ -205,6 +214,27 @@ def _like(pattern: str) -> str:
     return escaped.replace("*", "%").replace("?", "_")
 
 
+def _swaps(text: str) -> set[str]:
+    """The text with one pair of neighbouring letters swapped, in every place."""
+    return {text[:i] + text[i + 1] + text[i] + text[i + 2 :] for i in range(len(text) - 1)} - {text}
+
+
+def _fuzzy_test(term: Column, c: Clause) -> Column:
+    """Within the edit distance of the text, from distances without swaps to swapped forms of it."""
+    near = F.levenshtein(term, F.lit(c.text), c.edits) >= 0
+    if not c.transpositions or not c.edits:
+        return near
+    swapped = sorted(_swaps(c.text))
+    if c.edits == 1:
+        return near | term.isin(swapped)
+    # Two edits of which at least one is a swap: a swap and an edit, two swaps, or a letter that
+    # goes from between two letters that change places.
+    apart = {c.text[:i] + c.text[i + 2] + c.text[i] + c.text[i + 3 :] for i in range(len(c.text) - 2)}
+    twice = sorted(apart.union(*(_swaps(s) for s in swapped)))
+    tests = [near, term.isin(twice), *(F.levenshtein(term, F.lit(s), 1) >= 0 for s in swapped)]
+    return F.length(term).between(len(c.text) - 2, len(c.text) + 2) & _any_of(tests)
+
+
 def _term_test(c: Clause) -> Column:
     term = F.col("term")
     if c.kind == "prefix":
@@ -212,7 +242,9 @@ def _term_test(c: Clause) -> Column:
     if c.kind == "wildcard":
         return term.like(_like(c.text))
     if c.kind == "fuzzy":
-        return F.levenshtein(term, F.lit(c.text), c.edits) >= 0
+        return _fuzzy_test(term, c)
+    if c.kind == "terms":
+        return term.isin(list(c.terms))
     low = term >= c.text if c.inclusive[0] else term > c.text
     high = term <= c.high if c.inclusive[1] else term < c.high
     return low & high
@@ -263,6 +295,8 @@ def search(
                 F.count("*").alias("freq"), F.max("idf").alias("idf")
             )
             parts.append(freq.select(*keys, bm25(F.col("freq")).alias("score")))
+    if index.stored:
+        patterns = _expanded(index, patterns)
     if patterns:
         tests = [(row, (F.col("field") == c.field) & _term_test(c)) for row, c in patterns]
         rows = index.postings.filter(_any_of([t for _, t in tests])).select("field", "term", "doc_id")
@@ -298,6 +332,28 @@ def search(
     return small(ranked.select("query_id", "doc_id", "rank", "score"), len(queries) * n)
 
 
+def _expanded(index: TextIndex, patterns: list) -> list:
+    """Wildcard and fuzzy clauses as lists of the terms they match, looked up in the lexicon.
+
+    A stored index then reads only the postings of those terms. A clause with very many terms
+    stays a test on every posting, with the same result.
+    """
+    open_ended = [i for i, (_, c) in enumerate(patterns) if c.kind in ("wildcard", "fuzzy")]
+    if not open_ended:
+        return patterns
+    tests = {i: (F.col("field") == patterns[i][1].field) & _term_test(patterns[i][1]) for i in open_ended}
+    found = F.array_compact(F.array(*(F.when(test, F.lit(i)) for i, test in tests.items())))
+    words = index.lexicon.filter((F.col("term") != FIELD_TOTALS) & _any_of(list(tests.values())))
+    rows = words.select("term", F.explode(found).alias("i")).limit(_EXPANSIONS + 1).collect()
+    if len(rows) > _EXPANSIONS:
+        return patterns
+    out = list(patterns)
+    for i in open_ended:
+        terms = tuple(sorted(r["term"] for r in rows if r["i"] == i))
+        out[i] = (patterns[i][0], replace(patterns[i][1], kind="terms", terms=terms))
+    return out
+
+
 def _combined(hits: DataFrame) -> DataFrame:
     """Clause hits to the documents that satisfy their query, with the sum of the scores."""
     merged = hits.groupBy("query_id", "doc_id").agg(

@@ -113,10 +113,24 @@ def keyword_wildcard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    clauses = {"two": [K.fuzzy("worthles")], "one": [K.fuzzy("idiots", edits=1, boost=2.0)]}
+    clauses = {
+        "two": [K.fuzzy("worthles", transpositions=False)],
+        "one": [K.fuzzy("idiots", edits=1, boost=2.0, transpositions=False)],
+    }
     return _search(text_index(spark, sf), clauses, field="text")
 
 
+SWAPPED = {"one": ("idito", 1), "two": ("tehn", 2), "long": ("wrothlses", 2)}
+
+
+def keyword_fuzzy_swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring letters swapped count as one edit; over a stored index."""
+    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), files=8)
+    clauses = {q: [K.fuzzy(t, edits=e)] for q, (t, e) in SWAPPED.items()}
+    clauses["pattern"] = [K.wildcard("*less")]
+    return _search(stored, clauses, field="text")
+
+
 def keyword_range(spark: SparkSession, sf: str) -> DataFrame:
     clauses = {"closed": [K.term_range("under", "undon")], "open": [K.term_range("id", "ig", inclusive=(False, False))]}
     return _search(text_index(spark, sf), clauses, field="text")
@@ -163,6 +177,7 @@ QUERIES = {
         keyword_prefix,
         keyword_wildcard,
         keyword_fuzzy,
+        keyword_fuzzy_swaps,
         keyword_range,
         keyword_fields_boost,
         keyword_mixed,
@@ -284,6 +299,10 @@ UNION ALL SELECT field, '', n_docs, total_len::BIGINT FROM totals""",
     "keyword_fuzzy": _constant(
         [("two", "levenshtein(term, 'worthles') <= 2", 1.0), ("one", "levenshtein(term, 'idiots') <= 1", 2.0)]
     ),
+    "keyword_fuzzy_swaps": _constant(
+        [(q, f"damerau_levenshtein(term, '{t}') <= {e}", 1.0) for q, (t, e) in SWAPPED.items()]
+        + [("pattern", "term LIKE '%less'", 1.0)]
+    ),
     "keyword_range": _constant(
         [("closed", "term >= 'under' AND term <= 'undon'", 1.0), ("open", "term > 'id' AND term < 'ig'", 1.0)]
     ),

@@ -1,3 +1,5 @@
+import itertools
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,28 @@ def test_clauses(index):
     assert ids(index, K.match("spark"), K.match("55063554a", field="isbn", boost=50.0), n=1) == [2]
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_fuzzy_equals_damerau_distance(spark, edits):
+    """All words over three letters, around words with and without repeated letters."""
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("abc", repeat=n)]
+    df = spark.createDataFrame([(w,) for w in words], "term string")
+    con = duckdb.connect()
+    for text in ("abc", "aabc", "cab", "ab", "abcab", "a"):
+        test = K._term_test(K.fuzzy(text, edits=edits))
+        got = {r["term"] for r in df.filter(test).collect()}
+        sql = f"SELECT w FROM unnest(?) AS t(w) WHERE damerau_levenshtein(w, '{text}') <= {edits}"
+        assert got == {r[0] for r in con.execute(sql, [words]).fetchall()}, text
+
+
+def test_patterns_with_many_terms_fall_back(spark, monkeypatch):
+    docs = corpus(spark)
+    stored = K.store_index(docs, ["text"], scratch_path(spark, "test-patterns"), files=2)
+    clauses = {"q": [K.wildcard("*e*")], "f": [K.fuzzy("rod", edits=1)]}
+    few = sorted(map(tuple, K.search(stored, clauses, field="text").collect()))
+    monkeypatch.setattr(K, "_EXPANSIONS", 1)
+    assert sorted(map(tuple, K.search(stored, clauses, field="text").collect())) == few
+
+
 def test_wildcard_metacharacters_are_literal(spark):
     index = K.build_index(spark.createDataFrame([(0, "a_b axb 100")], "doc_id long, title string"), ["title"])
     assert ids(index, K.wildcard("a_b")) == [0]
