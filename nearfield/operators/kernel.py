@@ -144,7 +144,22 @@ class LocalTopK(RunningTopK):
     def __init__(self, q: np.ndarray, k: int, per_owner: bool = False):
         super().__init__(len(q), k, per_owner)
         self.q = q
-        self.norms = sq_norms(q)
+        self.shift = self._common_part(q)
+        self.near_q = q if self.shift is None else q - self.shift
+        self.norms = sq_norms(self.near_q)
+
+    @staticmethod
+    def _common_part(q: np.ndarray) -> np.ndarray | None:
+        """The mean query, if it makes up much of the vectors; distances do not depend on it.
+
+        Taking it off keeps the margin of the product small for data far from the origin. Stored
+        elements have at most 24 bits, so doing that in float64 stays within the margin.
+        """
+        if not len(q) or q.dtype.itemsize > 4:
+            return None
+        mean = q.mean(axis=0, dtype=np.float64)
+        size, common = sq_norms(q).mean(), float(mean @ mean)
+        return mean if size < _FLOAT32_SAFE and common > 0.25 * size else None
 
     def add(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Offer corpus rows to all queries, or to the queries at ``rows``."""
@@ -154,23 +169,25 @@ class LocalTopK(RunningTopK):
             order = np.argsort(_order_codes(ids), kind="stable")
             x, ids = x[order], ids[order]
         q = self.q if rows is None else self.q[rows]
+        near_q = self.near_q if rows is None else self.near_q[rows]
+        near_x = x if self.shift is None else x - self.shift
         norms = self.norms if rows is None else self.norms[rows]
         tau = self.tau if rows is None else self.tau[rows]
-        x_norms = sq_norms(x)
+        x_norms = sq_norms(near_x)
         wide = max(norms.max(), x_norms.max()) > _FLOAT32_SAFE
         dtype, unit = (np.float64, 2.0**-53) if wide else (np.float32, 2.0**-24)
         dim = x.shape[1]
         # |computed - true| <= slack * (|q|² + |x|²) for a product of length dim + 1.
         slack = (2 * dim + 32) * unit
         right = np.empty((dim + 1, len(x)), dtype)
-        right[:dim] = x.T
+        right[:dim] = near_x.T
         right[dim] = (1 - slack) * x_norms
         drop = None
         step = max(1, _PAIR_BUDGET // len(x))
         for at in range(0, len(q), step):
             part = slice(at, at + step)
             left = np.empty((len(q[part]), dim + 1), dtype)
-            np.multiply(q[part], dtype(-2), out=left[:, :dim], casting="unsafe", dtype=dtype)
+            np.multiply(near_q[part], dtype(-2), out=left[:, :dim], casting="unsafe", dtype=dtype)
             left[:, dim] = 1
             low = left @ right
             keep = self._keep(low, norms[part], x_norms, tau[part], slack, ids)
@@ -204,7 +221,7 @@ class LocalTopK(RunningTopK):
             return (low <= self._up(bound, dtype)[:, None]) & (low <= np.repeat(own, lengths, axis=1))
         if fresh.any() and low.shape[1] > self.k:
             upper = low[fresh] + dtype(2 * slack) * x_norms.astype(dtype)
-            kth = np.partition(upper, self.k - 1, axis=1)[:, self.k - 1]
+            kth = upper.min(axis=1) if self.k == 1 else np.partition(upper, self.k - 1, axis=1)[:, self.k - 1]
             bound[fresh] = kth + 2 * slack * norms[fresh]
         return low <= self._up(bound, dtype)[:, None]
 

@@ -36,7 +36,21 @@ class TextIndex:
 
     postings: DataFrame
     lexicon: DataFrame
-    stored: bool = False  # sorted tables on disk, where looking up given terms is cheap
+    rows: DataFrame | None = None  # analysed documents of an index that is not stored
+
+    def matching(self, test: Column) -> DataFrame:
+        """Postings whose field and term pass a test.
+
+        A stored index prunes files with it. Otherwise only tokens that pass are grouped.
+        """
+        if self.rows is None:
+            return self.postings.filter(test)
+        tokens = self.rows.select("field", "doc_id", "doc_len", F.posexplode("tokens").alias("pos", "term"))
+        return tokens.filter(test).groupBy("field", "term", "doc_id", "doc_len").agg(
+            F.count("*").alias("tf"),
+            (F.min("pos") == 0).alias("leads"),
+            F.sort_array(F.collect_list("pos")).alias("positions"),
+        )
 
     def terms(self) -> DataFrame:
         """``(field, term, doc_freq)`` of every term."""
@@ -50,29 +64,23 @@ class TextIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), stored=True)
+        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"))
 
 
 def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id") -> TextIndex:
     """A text index of the given string columns, as lazy tables over ``docs``.
 
-    All fields come from one pass over the rows. A filter on field or term moves below the
-    grouping, so searching an unsaved index only groups the tokens it asks for. To search the
-    same documents often, store the index instead.
+    All fields come from one pass over the rows, and the tokens of a document are folded to
+    postings inside the task that analysed it. To search the same documents often, store the
+    index instead.
     """
-    rows = _analysed(docs, fields, id_col)
-    tokens = rows.select("field", "doc_id", "doc_len", F.posexplode("tokens").alias("pos", "term"))
-    postings = tokens.groupBy("field", "term", "doc_id", "doc_len").agg(
-        F.count("*").alias("tf"),
-        (F.min("pos") == 0).alias("leads"),
-        F.sort_array(F.collect_list("pos")).alias("positions"),
-    )
+    rows = _analysed(docs, fields, id_col).select("field", "doc_id", "doc_len", "tokens")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"field string, term string, doc_id {id_type}, tf long, doc_len long, leads boolean, positions array<int>"
     words = F.concat(F.array(F.lit(FIELD_TOTALS)), F.array_distinct("tokens"))
     lexicon = rows.select("field", "doc_len", F.explode(words).alias("term")).groupBy("field", "term")
-    return TextIndex(
-        postings.select("field", "term", "doc_id", "tf", "doc_len", "leads", "positions"),
-        lexicon.agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("n_tokens")),
-    )
+    lexicon = lexicon.agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("n_tokens"))
+    return TextIndex(rows.mapInArrow(_fold_postings, schema), lexicon, rows)
 
 
 def _analysed(docs: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
@@ -86,15 +94,11 @@ def _analysed(docs: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
 def store_index(docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id") -> TextIndex:
     """Write a text index so that a search reads only the files that hold its terms.
 
-    The tokens of a document are folded to postings inside the task that analysed it, so the one
-    shuffle carries postings, ranged on (field, term, document): a frequent term spans many files.
-    Postings are staged before that, because range partitioning reads its input twice. The
-    lexicon is counted from the stored postings.
+    The one shuffle carries folded postings, ranged on (field, term, document): a frequent term
+    spans many files. Postings are staged before that, because range partitioning reads its input
+    twice. The lexicon is counted from the stored postings.
     """
-    rows = _analysed(docs, fields, id_col).select("field", "doc_id", "doc_len", "tokens")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"field string, term string, doc_id {id_type}, tf long, doc_len long, leads boolean, positions array<int>"
-    postings = staged(rows.mapInArrow(_fold_postings, schema), "postings")
+    postings = staged(build_index(docs, fields, id_col).postings, "postings")
     ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     ranged.write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
@@ -277,7 +281,7 @@ def search(
         wanted = _any_of([(F.col("field") == f) & F.col("term").isin(sorted(ts)) for f, ts in _terms_by_field(literal)])
         length = X.compact_length(F.col("doc_len")) if compact_norms else F.col("doc_len")
         # One row per typed token at most, since terms are unique: small by construction.
-        rows = index.postings.filter(wanted).join(F.broadcast(weights), ["field", "term"])
+        rows = index.matching(wanted).join(F.broadcast(weights), ["field", "term"])
         rows = rows.withColumn("_len", length)
         keys = ["query_id", "clause", "occur", "need", "doc_id"]
 
@@ -295,11 +299,11 @@ def search(
                 F.count("*").alias("freq"), F.max("idf").alias("idf")
             )
             parts.append(freq.select(*keys, bm25(F.col("freq")).alias("score")))
-    if index.stored:
+    if index.rows is None:
         patterns = _expanded(index, patterns)
     if patterns:
         tests = [(row, (F.col("field") == c.field) & _term_test(c)) for row, c in patterns]
-        rows = index.postings.filter(_any_of([t for _, t in tests])).select("field", "term", "doc_id")
+        rows = index.matching(_any_of([t for _, t in tests])).select("field", "term", "doc_id")
         hit = F.array_compact(
             F.array(
                 *(

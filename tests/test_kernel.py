@@ -32,7 +32,7 @@ def kernel(q, x, ids, k, step, owners=False):
     return set(zip(pos.tolist(), found.tolist(), dist.tolist()))
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(
     seed=st.integers(0, 10_000),
     n=st.integers(1, 120),
@@ -41,14 +41,15 @@ def kernel(q, x, ids, k, step, owners=False):
     step=st.integers(1, 130),
     levels=st.sampled_from([0, 2, 5]),
     scale=st.sampled_from([1e-20, 1.0, 1e6, 1e17]),
+    offset=st.sampled_from([0.0, 3.0, 1e4, 1e7]),
     owners=st.booleans(),
 )
-def test_equals_brute_force(seed, n, dim, k, step, levels, scale, owners):
+def test_equals_brute_force(seed, n, dim, k, step, levels, scale, offset, owners):
     """Random vectors, and vectors of few levels so that copies and ties abound."""
     rng = np.random.default_rng(seed)
     draw = rng.integers(0, levels, (n, dim)) if levels else rng.standard_normal((n, dim))
-    x = (draw * scale).astype(np.float32)
-    q = np.concatenate([x[: min(5, n)], (rng.standard_normal((4, dim)) * scale).astype(np.float32)])
+    x = ((draw + offset) * scale).astype(np.float32)
+    q = np.concatenate([x[: min(5, n)], ((rng.standard_normal((4, dim)) + offset) * scale).astype(np.float32)])
     ids = rng.integers(0, 4, n) if owners else rng.permutation(n)
     assert kernel(q, x, ids, k, step, owners) == brute(q, x, ids, k, owners)
 
@@ -74,6 +75,18 @@ def test_outlier_norms_do_not_blur_small_distances():
     assert kernel(x[:20], x, np.arange(500), 4, 100) == brute(x[:20], x, np.arange(500), 4)
 
 
+def test_data_far_from_the_origin_is_not_recomputed_whole(monkeypatch):
+    from nearfield.operators import kernel as kernel_module
+
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((4000, 32)) + 500).astype(np.float32)
+    pairs = []
+    exact = kernel_module.exact_sq
+    monkeypatch.setattr(kernel_module, "exact_sq", lambda q, x, qi, xi: pairs.append(len(qi)) or exact(q, x, qi, xi))
+    assert kernel(x[:100], x, np.arange(4000), 5, 1000) == brute(x[:100], x, np.arange(4000), 5)
+    assert sum(pairs) < 4000 * 100 / 20
+
+
 def test_text_ids_break_ties_by_code_point():
     x = np.ones((4, 2), np.float32)
     ids = np.array(["b", "a", "é", "Z"], object)
