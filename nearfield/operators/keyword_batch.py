@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from nearfield.functions import text as X
 from nearfield.operators.kernel import RunningTopK, ids_of
 from nearfield.operators.keyword import FIELD_TOTALS, K1, B, build_index
-from nearfield.operators.knn import BROADCAST_BYTES, CHUNK_BYTES, arrow_schema, fragments, hits_batch, top_k
+from nearfield.operators.knn import BROADCAST_BYTES, CHUNK_BYTES, arrow_schema, fragments, hits_batch, small, top_k
+from nearfield.session import staged
 
 _TERM_BYTES = 48  # memory of one weighted query term
 _SCORE_BUDGET = 8_000_000  # scores held at once
@@ -55,7 +56,8 @@ def search_batch(
     )
     arrow = arrow_schema(schema)
     typed = F.coalesce(F.sum(F.size(X.tokenize(F.col(text_col)))), F.lit(0))
-    size = queries.agg(typed.alias("n")).first()["n"] * _TERM_BYTES
+    measured = queries.agg(typed.alias("terms"), F.count("*").alias("rows")).first()
+    size = measured["terms"] * _TERM_BYTES
     if size <= broadcast_bytes:
         block = docs.sparkSession.sparkContext.broadcast(_pack(weighted.toArrow()))  # size checked above
 
@@ -86,16 +88,18 @@ def search_batch(
             blocks=F.lit(math.ceil(size / broadcast_bytes)),
         )
     ranked = top_k(hits, n, ["query_id"], [F.col("value").asc(), F.col("doc_id").asc()])
-    return ranked.select("query_id", "doc_id", "rank", (-F.col("value")).alias("score"))
+    return small(ranked.select("query_id", "doc_id", "rank", (-F.col("value")).alias("score")), measured["rows"] * n)
 
 
 def _weighted(queries: DataFrame, words: DataFrame, query_id_col: str, text_col: str) -> DataFrame:
     """``(query_id, avg_len, terms)``: every query's known tokens, weighted by count and idf."""
     typed = queries.select(F.col(query_id_col).alias("query_id"), F.explode(X.tokenize(F.col(text_col))).alias("term"))
     counted = typed.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    totals = words.filter(F.col("term") == FIELD_TOTALS).select(F.struct("n_docs", "n_tokens").alias("all")).scalar()
-    # First the lexicon rows that any query asks for, one per term; then the queries' own rows.
-    asked = words.join(typed.select("term").distinct(), "term", "left_semi").withColumn("all", totals)
+    # First the lexicon rows that any query asks for, one per term, and the totals, in one pass.
+    wanted = typed.select("term").unionAll(typed.sparkSession.createDataFrame([(FIELD_TOTALS,)], "term string"))
+    asked = staged(words.join(wanted.distinct(), "term", "left_semi"), "asked-terms")
+    totals = asked.filter(F.col("term") == FIELD_TOTALS).select(F.struct("n_docs", "n_tokens").alias("all")).scalar()
+    asked = asked.withColumn("all", totals)
     idf = asked.select(
         "term",
         X.bm25_idf(F.col("all.n_docs"), F.col("n_docs")).alias("idf"),
