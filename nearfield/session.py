@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="nearfield-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables, under the shared folder the session names.
 
@@ -35,8 +41,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/nearfield/{label}-{uuid.uuid4().hex}"
 
 

@@ -24,13 +24,9 @@ def connect(sf_dir):
     return con
 
 
-def normal(value):
-    return f"{value:.9g}" if isinstance(value, float) else str(value)
-
-
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(columns), sorted(tuple(normal(r[i]) for i in order) for r in rows)
+    return sorted(columns), sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
 def compare(spark, con, name, sf_dir):
