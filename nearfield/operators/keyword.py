@@ -292,12 +292,16 @@ def search(
             single = rows.filter(F.col("kind") == "match")
             parts.append(single.select(*keys, bm25(F.col("tf")).alias("score")))
         if any(r[2] == "phrase" for r in literal):
-            at = rows.filter(F.col("kind") == "phrase").withColumn("pos", F.explode("positions"))
-            starts = at.groupBy(*keys, "boost", "_len", "avg_len", "n_terms", (F.col("pos") - F.col("offset")).alias("start"))
-            found = starts.agg(F.count("*").alias("_n"), F.sum("idf").alias("idf")).filter("_n = n_terms")
-            freq = found.groupBy(*keys, "boost", "_len", "avg_len").agg(
-                F.count("*").alias("freq"), F.max("idf").alias("idf")
+            # Each term's positions, moved back to where the phrase would start; a document's
+            # phrase frequency is the number of starts that all its terms agree on.
+            starts = F.transform("positions", lambda p: p - F.col("offset"))
+            at = rows.filter(F.col("kind") == "phrase").withColumn("starts", starts)
+            lists = at.groupBy(*keys, "boost", "_len", "avg_len", "n_terms").agg(
+                F.collect_list("starts").alias("lists"), F.sum("idf").alias("idf")
             )
+            common = F.aggregate("lists", F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+            whole = lists.filter(F.size("lists") == F.col("n_terms")).withColumn("freq", F.size(common))
+            freq = whole.filter("freq > 0")
             parts.append(freq.select(*keys, bm25(F.col("freq")).alias("score")))
     if index.rows is None:
         patterns = _expanded(index, patterns)
