@@ -166,6 +166,14 @@ def test_batch_search_equals_clause_search(spark):
         assert [r[3] for r in rows] == pytest.approx([r[3] for r in want], abs=2e-9)
 
 
+def test_batch_search_of_nothing(spark):
+    docs = corpus(spark)
+    queries = docs.select(F.col("doc_id").alias("query_id"), "text")
+    assert search_batch(docs.filter("doc_id < 0"), queries, "text").count() == 0
+    assert search_batch(docs, queries.filter("query_id < 0"), "text").count() == 0
+    assert K.search(K.build_index(docs.filter("doc_id < 0"), ["text"]), {"q": [K.match("red")]}, field="text").count() == 0
+
+
 def test_stored_index_equals_lazy_index(spark):
     docs = corpus(spark)
     lazy = K.build_index(docs, ["text"])

@@ -197,6 +197,19 @@ def test_pivot_sample_is_repeatable(spark):
     assert {r["cell"] for r in ann.sample_pivots(docs.repartition(3), 25).collect()} == want
 
 
+def test_ann_edges(spark):
+    docs = random_corpus(spark, 20)
+    pivots = ann.sample_pivots(docs, 50)  # more than there are rows: all of them
+    assert pivots.count() == 20
+    index = ann.assign_cells(docs, pivots)
+    none = queries_of(docs).filter("query_id < 0")
+    assert ann.ann_search(index, none, pivots, 5, 2).count() == 0
+    assert ann.ann_search(index.filter("doc_id < 0"), queries_of(docs), pivots, 5, 2).count() == 0
+    assert ann.ann_search(index, queries_of(docs), pivots, 100, 50).count() == 400
+    with pytest.raises(ValueError, match="no pivots"):
+        ann.assign_cells(docs, pivots.filter("cell < 0"))
+
+
 def test_too_many_pivots_raise(spark):
     docs = random_corpus(spark)
     with pytest.raises(ValueError, match="pivots"):
