@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import mixing, packing, quality_rules, url_trust
+from nearfield.llm import edit_fingerprints, mixing, ngram_quality, packing, quality_rules, toxicity, url_trust
 from nearfield.llm.common import read
 from nearfield.llm.oracles import ORACLES
 
 
+def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ngram_quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "row.lang", "perplexity", "threshold", "kept")
+
+
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.fingerprint_with_edits(read(spark, sf_dir, "documents"))
+
+
 def op6_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.train(docs, read(spark, sf_dir, "labels")).score(docs)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents")))
 
@@ -31,7 +47,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_quality": op1_ngram_quality,
+    "op4_edit_fingerprints": op4_edit_fingerprints,
     "op6_url_trust": op6_url_trust,
+    "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
