@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import edit_fingerprints, mixing, ngram_quality, packing, quality_rules, toxicity, url_trust
+from nearfield.llm import (
+    edit_fingerprints,
+    jaccard_forest,
+    mixing,
+    ngram_quality,
+    packing,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_trust,
+)
 from nearfield.llm.common import read
 from nearfield.llm.oracles import ORACLES
 
@@ -15,10 +26,24 @@ def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "row.lang", "perplexity", "threshold", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return removed.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substring_dedup.removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return removed.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints.fingerprint_with_edits(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(read(spark, sf_dir, "pages"))
 
@@ -48,7 +73,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_quality": op1_ngram_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_edit_fingerprints": op4_edit_fingerprints,
+    "op5_jaccard_forest": op5_jaccard_forest,
     "op6_url_trust": op6_url_trust,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
