@@ -310,21 +310,23 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def verdicts(members: DataFrame, method: Method, crowded: bool) -> DataFrame:
-    """(block, gram, kind, shared): window numbers of a class that other classes share."""
+def verdicts(members: DataFrame, method: Method) -> DataFrame:
+    """(block, gram, kind, shared): windows of a class that others share, by gathering each gram."""
     result = "block int, gram bigint, kind bigint, shared array<int>"
-    small = members.where(F.col("kinds") <= GROUP).repartition("gram").sortWithinPartitions("gram")
-    found = small.mapInArrow(functools.partial(_verdicts, method=method), result)
-    if not crowded:
-        return found
-    single = members.where(F.col("kinds") > GROUP).mapInArrow(
+    by_gram = members.repartition("gram").sortWithinPartitions("gram")
+    return by_gram.mapInArrow(functools.partial(_verdicts, method=method), result)
+
+
+def counted_verdicts(members: DataFrame, method: Method) -> DataFrame:
+    """The same by counting every window by itself, for grams of any number of classes."""
+    single = members.mapInArrow(
         functools.partial(_windows, length=method.length, width=method.width),
         "w binary, block int, gram bigint, kind bigint, first bigint, total bigint, k int",
     )
     counts = single.groupBy("w").agg(F.sum("total").alias("all"), F.min("first").alias("least"))
     shared = F.col("first") > F.col("least") if method.keep_first else F.col("all") > 1
-    hit = single.join(counts, "w").where(shared).groupBy("block", "gram", "kind").agg(F.sort_array(F.collect_set("k")).alias("shared"))
-    return found.unionByName(hit)
+    hit = single.join(counts, "w").where(shared)
+    return hit.groupBy("block", "gram", "kind").agg(F.sort_array(F.collect_set("k")).alias("shared"))
 
 
 def covered(b: Batch, ids: np.ndarray, settled: pa.Table, partly: pa.Table, method: Method) -> np.ndarray:
@@ -358,10 +360,14 @@ def without_repeats(
     counted = texts.mapInArrow(functools.partial(_rows, method=method), "gram bigint, kind bigint, block int, n int, first bigint")
     found = staged(classes(counted, method), "classes")
     asks = found.where("ask").select("gram", "kind", "block", "first", "total", "kinds")
-    crowded = not asks.where(F.col("kinds") > GROUP).isEmpty()
     by_block = rows.groupBy("block")
-    members = by_block.cogroup(asks.groupBy("block")).applyInArrow(functools.partial(_contexts, method=method), MEMBER)
-    partly = verdicts(members, method, crowded)
+    members = lambda asked: by_block.cogroup(asked.groupBy("block")).applyInArrow(
+        functools.partial(_contexts, method=method), MEMBER
+    )
+    crowded = asks.where(F.col("kinds") > GROUP)
+    partly = verdicts(members(asks.where(F.col("kinds") <= GROUP)), method)
+    if not crowded.isEmpty():
+        partly = partly.unionByName(counted_verdicts(members(crowded), method))
     none = F.lit(None)
     told = found.where("answer").select("gram", "kind", "block", "first", none.cast("array<int>").alias("shared"))
     told = told.unionByName(partly.select("gram", "kind", "block", none.cast("bigint").alias("first"), "shared"))
