@@ -45,11 +45,10 @@ def guarded_join(
     side = staged(side, "side")
     names = [f"_key{i}" for i in range(len(keys))]
     side = side.withColumnsRenamed(dict(zip(keys, names)))
-    condition = [df[k].eqNullSafe(side[n]) for k, n in zip(keys, names)]
+    condition = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     if side.count() <= max_rows:
         return df.join(F.broadcast(side), condition, how).drop(*names)
     parts = 32
     df = df.withColumn("_salt", F.pmod(F.xxhash64(salt if salt is not None else F.rand(7)), F.lit(parts)))
     side = side.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
-    condition = [df[k].eqNullSafe(side[n]) for k, n in zip(keys, names)]
-    return df.join(side, [*condition, df["_salt"] == side["_dealt"]], how).drop(*names, "_salt", "_dealt")
+    return df.join(side, [*condition, F.col("_salt") == F.col("_dealt")], how).drop(*names, "_salt", "_dealt")

@@ -5,10 +5,12 @@ Texts with the same words are one text with a copy count. Each text has ``TREES`
 groups of equal prefixes are the nodes of a prefix trie. The join starts at full depth and shortens
 the prefix until a pair at the threshold is in a common group with the target probability:
 
-* At each depth a text becomes a candidate of its group's least text and of its neighbour in the
-  sorted order, never of all members: a group of any size makes as many candidates as it has texts.
-* Candidates that earlier depths have not connected are verified by the Jaccard similarity of
-  their whole shingle sets; what passes is a link, and the links' components are the classes.
+* At full depth a text becomes a candidate of its group's least text. At the shortest prefix, groups
+  of which all texts are connected by now drop out; in the others a text becomes a candidate of the
+  unconnected ones among the ``NEAR`` before it, once by signature and once by key. A group of any
+  size makes a constant number of candidates per text, never all pairs.
+* Candidates are verified by the Jaccard similarity of their whole shingle sets; what passes is a
+  link, and the links' components are the classes.
 
 Defined results: a text of one to four words has one shingle, all its words; a text without words
 (null, empty) is linked to nothing. Rows with equal words are one class whatever their ids, null
@@ -36,6 +38,7 @@ from nearfield.session import staged
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 6
+NEAR = 8
 RECALL = 0.999
 
 
@@ -101,21 +104,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signatures, "doc_id bigint, mark bigint, t binary, signature array<int>")
 
 
-def candidates(texts: DataFrame, depth: int) -> DataFrame:
-    """(a, b): each text with the least text of its prefix group and with its neighbour in the trie."""
+def candidates(texts: DataFrame, depth: int, order: str) -> DataFrame:
+    """(a, b): texts of different classes so far (``root``) that meet in a node of the tries.
+
+    In a node whose texts are of several classes, each text meets the ``NEAR`` ones before it, by
+    signature (``leaf``) or by key (``t``): as many pairs as texts, times a constant. At full depth,
+    where nodes are mostly copies with a few edits, the least text of the node stands for all.
+    """
     prefix = lambda d: F.slice("signature", F.col("tree") * DEPTH + 1, d)
-    trees = texts.select("t", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trees = texts.select("t", "root", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     nodes = trees.select(
-        "t", F.xxhash64("tree", prefix(depth)).alias("node"), F.xxhash64("tree", prefix(DEPTH)).alias("leaf")
+        "t", "root", F.xxhash64("tree", prefix(depth)).alias("node"), F.xxhash64("tree", prefix(DEPTH)).alias("leaf")
     )
-    least = nodes.groupBy("node").agg(F.min("t").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "b")
-    star = nodes.join(least, "node").select(F.col("t").alias("a"), "b")
-    if depth < DEPTH:
-        # Neighbours across leaves: one row per leaf, so copies of a leaf cost nothing here.
-        leaves = nodes.groupBy("node", "leaf").agg(F.min("t").alias("t"))
-        before = F.lag("t").over(Window.partitionBy("node").orderBy("leaf"))
-        star = star.unionByName(leaves.select(F.col("t").alias("a"), before.alias("b")).where("b is not null"))
-    return star.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if depth == DEPTH:
+        least = nodes.groupBy("node").agg(F.min("t").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "b")
+        met = nodes.join(least, "node").select(F.col("t").alias("a"), "b").where("a != b")
+    else:
+        node = Window.partitionBy("node")
+        several = nodes.withColumn("several", F.min("root").over(node) != F.max("root").over(node)).where("several")
+        ordered = node.orderBy(*dict.fromkeys((order, "t")))
+        before = F.array(*[F.lag(F.struct("t", "root"), k).over(ordered) for k in range(1, NEAR + 1)])
+        other = several.select("t", "root", before.alias("before")).select("t", "root", F.explode("before").alias("o"))
+        met = other.where(F.col("o.root") != F.col("root")).select(F.col("t").alias("a"), F.col("o.t").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +181,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     links, roots = None, None
     steps = depths(threshold, recall)
     # Full depth finds the bulk, the shortest prefix the rest; the depths between would add nothing.
-    for depth in dict.fromkeys((steps[0], steps[-1])):
-        pairs = candidates(texts, depth)
-        if roots is not None:
-            root = lambda c: F.coalesce(F.col(f"r{c}.root"), F.col(c))
-            joined_roots = pairs.join(roots.alias("ra"), F.col("a") == F.col("ra.node"), "left").join(
-                roots.alias("rb"), F.col("b") == F.col("rb.node"), "left"
-            )
-            pairs = joined_roots.where(root("a") != root("b")).select("a", "b")
-        pairs = staged(pairs, "pairs")
+    for depth, order in ((steps[0], "t"), (steps[-1], "leaf"), (steps[-1], "t")):
+        root = F.col("t") if roots is None else F.coalesce("root", "t")
+        rooted = texts if roots is None else texts.join(roots.withColumnRenamed("node", "t"), "t", "left")
+        rooted = rooted.select("t", "signature", root.alias("root"))
+        pairs = staged(candidates(rooted, depth, order), "pairs")
         found = staged(verified(pairs, texts, docs, threshold), "verified")
         links = found if links is None else links.unionByName(found)
         roots = components(links)

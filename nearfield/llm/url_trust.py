@@ -86,8 +86,8 @@ def propagate(edges: DataFrame, masses: DataFrame, rounds: int = ROUNDS, damping
     start = staged(start.select("kind", "host", F.col("mass") * (1 - damping)), "host-seeds").toDF("kind", "host", "mass")
     ranks = start
     for turn in range(rounds if not ways.isEmpty() else 0):
-        moved = ranks.join(ways, (ranks["kind"] == ways["kind"]) & (ranks["host"] == ways["a"])).select(
-            ways["kind"], F.col("b").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass")
+        moved = ranks.withColumnRenamed("host", "a").join(ways, ["kind", "a"]).select(
+            "kind", F.col("b").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass")
         )
         ranks = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if turn % 3 == 2:
