@@ -50,5 +50,5 @@ def guarded_join(
         return df.join(F.broadcast(side), condition, how).drop(*names)
     parts = 32
     df = df.withColumn("_salt", F.pmod(F.xxhash64(salt if salt is not None else F.rand(7)), F.lit(parts)))
-    side = side.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    side = side.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     return df.join(side, [*condition, F.col("_salt") == F.col("_dealt")], how).drop(*names, "_salt", "_dealt")
