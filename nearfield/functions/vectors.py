@@ -21,8 +21,11 @@ def parse_floats(text: Column, via_double: bool = True, sep: str = ",") -> Colum
 
 
 def format_floats(vector: Column, sep: str = ",") -> Column:
-    """Comma-joined elements in the shortest form that parses back to the same float."""
-    return F.concat_ws(sep, vector.cast("array<string>"))
+    """Comma-joined elements in the shortest form that parses back to the same float.
+
+    A null element is written as ``null``, which parses back to null.
+    """
+    return F.concat_ws(sep, F.transform(vector.cast("array<string>"), lambda x: F.coalesce(x, F.lit("null"))))
 
 
 def to_float(vector: Column) -> Column:

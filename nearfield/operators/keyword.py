@@ -334,8 +334,9 @@ def search(
     hits = reduce(DataFrame.unionByName, parts)
     if not lone:
         hits = _combined(hits)
-    # Sums arrive in any order; rounding keeps equal documents equal, so ties go by id.
-    scored = hits.select("query_id", "doc_id", F.round("score", 9).alias("score"))
+    # Sums arrive in any order; single floats keep equal documents equal, so ties go by id, and
+    # unlike a fixed number of decimals they tell scores apart however small those are.
+    scored = hits.select("query_id", "doc_id", F.col("score").cast("float").cast("double").alias("score"))
     ranked = top_k(scored, n, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()])
     return small(ranked.select("query_id", "doc_id", "rank", "score"), len(queries) * n)
 

@@ -150,7 +150,7 @@ def _score(top: RunningTopK, block: dict, ids: pa.Array, tokens: pa.Array, k1: f
     step = max(1, _SCORE_BUDGET // m)
     for low in range(0, len(doc_ids), step):
         high = min(len(doc_ids), low + step)
-        scores = np.zeros((high - low) * m)
+        scores, met = np.zeros((high - low) * m), np.zeros((high - low) * m, bool)
         at, end = np.searchsorted(doc, [low, high])
         while at < end:
             upto = max(at + 1, at + np.searchsorted(np.cumsum(fan[at:end]), _PAIR_BUDGET, side="right"))
@@ -158,12 +158,14 @@ def _score(top: RunningTopK, block: dict, ids: pa.Array, tokens: pa.Array, k1: f
             first = np.repeat(block["starts"][term[at:upto]] - np.r_[0, np.cumsum(n)[:-1]], n)
             entry = first + np.arange(n.sum())
             cell = np.repeat(doc[at:upto] - low, n) * m + block["owner"][entry]
+            met[cell] = True
             scores += np.bincount(cell, np.repeat(part[at:upto], n) * block["weight"][entry], len(scores))
             at = upto
-        value = -np.round(scores.reshape(high - low, m), 9)
+        # Single floats, as in a single search. Whether a document matches is not read off its score.
+        value = np.where(met, -scores.astype(np.float32).astype(np.float64), np.inf).reshape(high - low, m)
         limit = np.minimum(top.tau, 0)
         if high - low > top.k:
             limit = np.minimum(limit, np.partition(value, top.k - 1, axis=0)[top.k - 1])
-        row, query = np.nonzero((value <= limit) & (value < 0))
+        row, query = np.nonzero((value <= limit) & met.reshape(high - low, m))
         top.offer(query, doc_ids[low + row], value[row, query])
         top.flush()

@@ -224,8 +224,8 @@ def _tf(freq: str, length: str = "doc_len") -> str:
 
 def _ranked(rows: str) -> str:
     """Top n of ``(query_id, doc_id, score)`` rows."""
-    return f"""SELECT query_id, doc_id, rank, round(round(score, 9), 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({rows})
+    return f"""SELECT query_id, doc_id, rank, round(score::FLOAT::DOUBLE, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score::FLOAT DESC, doc_id) AS rank FROM ({rows})
 ) WHERE rank <= {N}"""
 
 

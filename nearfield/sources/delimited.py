@@ -71,8 +71,9 @@ def read_triples(lines: DataFrame, strict: bool = False, value: str = "value") -
 def export_tsv(df: DataFrame, path: str, title_col: str = "title", vector_col: str = "vector") -> None:
     """Write ``title <tab> v1,v2,…`` lines, one file per partition.
 
-    Tabs and line breaks inside a title become spaces, so every line keeps two columns.
+    Tabs and line breaks inside a title become spaces and a null title is empty, so every line
+    keeps two columns.
     """
-    title = F.regexp_replace(F.col(title_col).cast("string"), r"[\t\r\n]", " ")
+    title = F.coalesce(F.regexp_replace(F.col(title_col).cast("string"), r"[\t\r\n]", " "), F.lit(""))
     line = F.concat_ws("\t", title, V.format_floats(F.col(vector_col)))
     df.select(line.alias("value")).write.mode("overwrite").text(path)

@@ -9,12 +9,14 @@ comma-separated lists on any file system pyarrow can open.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,9 +56,11 @@ def _list_files(paths: str) -> list[tuple[str, int]]:
         found += [
             (prefix + i.path, i.size)
             for i in infos
-            if i.type == fs.FileType.File and not i.base_name.startswith(("_", "."))
+            if i.type == fs.FileType.File and not re.search(r"(^|/)[_.]", i.path[len(plain.rstrip("/")) :] or i.base_name)
         ]
-    return sorted(found)
+    # Numbers in names count as numbers, so part-100000 follows part-99999.
+    natural = lambda f: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", f[0])]
+    return sorted(found, key=natural)
 
 
 @dataclass
@@ -181,6 +185,8 @@ class _VecsWriter(DataSourceArrowWriter):
         with system.open_output_stream(held) as out:
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index(self.column))
+                if column.null_count or column.flatten().null_count or (len(column) and pc.min(pc.list_value_length(column)).as_py() == 0):
+                    raise ValueError(f"{self.column}: null or empty vectors, or null elements, have no form in this format")
                 offsets = column.offsets.to_numpy()
                 values = column.values.cast(pa.float32() if self.dtype == "<f4" else pa.int32())
                 values = values.to_numpy(zero_copy_only=False).astype(self.dtype, copy=False).view("<i4")
@@ -192,7 +198,7 @@ class _VecsWriter(DataSourceArrowWriter):
         if not rows:
             system.delete_file(held)
             return _Written([])
-        return _Written([(held, f"{root}/part-{part:05d}.{self.extension}")])
+        return _Written([(held, f"{root}/part-{part:010d}.{self.extension}")])
 
     def commit(self, messages: list[WriterCommitMessage]) -> None:
         system, root = _open_fs(self.root)

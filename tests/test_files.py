@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
+from nearfield.session import scratch_path
 from nearfield.sources import delimited, documents, tables, vector_files
 from nearfield.streaming import ingest
 
@@ -143,3 +144,18 @@ def test_compaction_keeps_rows(spark, tmp_path):
     few = spark.read.parquet(str(tmp_path / "few"))
     assert few.count() == 1000 and few.agg(F.sum("id")).first()[0] == 499_500
     assert len(few.inputFiles()) < 20
+
+
+def test_export_keeps_null_elements_and_titles(spark):
+    rows = [("a", [1.0, None, 3.0]), (None, [0.5])]
+    path = scratch_path(spark, "test-nulls")
+    delimited.export_tsv(spark.createDataFrame(rows, "title string, vector array<float>"), path)
+    lines = sorted(r["value"] for r in spark.read.text(path).collect())
+    assert lines == ["\t0.5", "a\t1.0,null,3.0"]
+
+
+@pytest.mark.parametrize("vector", [None, [], [1.0, None]])
+def test_vectors_without_a_form_are_refused(spark, vector):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, vector)], "vec_id long, vector array<float>")
+    with pytest.raises(Exception, match="null or empty"):
+        vector_files.write_vecs(rows, scratch_path(spark, "test-refused"), "vec_id", "vector", "fvecs", 1)

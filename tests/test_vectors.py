@@ -11,7 +11,7 @@ from nearfield.operators.knn import knn
 from nearfield.session import scratch_path
 from nearfield.sources.documents import vector_rows
 
-DEMO = [("Document 1", [1, 2, 3]), ("Document 2", [2, 3, 4]), ("Document 3", [3, 4, 5])]
+DEMO = [("far", [9, 9]), ("north", [0, 4]), ("east", [4, 0])]
 
 
 def table(spark, rows, columns="doc_id long, vector array<float>"):
@@ -36,14 +36,11 @@ def collected(hits):
 
 def test_demo_search(spark):
     docs = vector_rows(spark, DEMO)
-    query = table(spark, [(0, [2.5, 3.5, 4.5])], "query_id long, vector array<float>")
+    query = table(spark, [(0, [2.0, 2.0])], "query_id long, vector array<float>")
     hits = ann.lookup(knn(docs, query, 3), docs, ["title"]).orderBy("rank").collect()
-    assert [(r["rank"], r["doc_id"], r["title"]) for r in hits] == [
-        (1, 1, "Document 2"),
-        (2, 2, "Document 3"),
-        (3, 0, "Document 1"),
-    ]
-    assert [round(r["score"], 6) for r in hits] == [0.571429, 0.571429, 0.129032]
+    assert [(r["rank"], r["doc_id"], r["title"]) for r in hits] == [(1, 1, "north"), (2, 2, "east"), (3, 0, "far")]
+    # Squared distances 8, 8 and 98: the first two tie.
+    assert [r["score"] for r in hits] == pytest.approx([1 / 9, 1 / 9, 1 / 99])
 
 
 @pytest.mark.parametrize(
