@@ -7,8 +7,8 @@ the prefix until a pair at the threshold is in a common group with the target pr
 
 * At full depth a text becomes a candidate of its group's least text. At the shortest prefix, groups
   of which all texts are connected by now drop out; in the others a text becomes a candidate of the
-  unconnected ones among the ``NEAR`` before it, once by signature and once by key. A group of any
-  size makes a constant number of candidates per text, never all pairs.
+  unconnected ones among the ``NEAR`` before it, by signature and by key. A group of any size makes
+  a constant number of candidates per text, never all pairs.
 * Candidates are verified by the Jaccard similarity of their whole shingle sets; what passes is a
   link, and the links' components are the classes.
 
@@ -104,11 +104,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signatures, "doc_id bigint, mark bigint, t binary, signature array<int>")
 
 
-def candidates(texts: DataFrame, depth: int, order: str) -> DataFrame:
+def candidates(texts: DataFrame, depth: int) -> DataFrame:
     """(a, b): texts of different classes so far (``root``) that meet in a node of the tries.
 
     In a node whose texts are of several classes, each text meets the ``NEAR`` ones before it, by
-    signature (``leaf``) or by key (``t``): as many pairs as texts, times a constant. At full depth,
+    signature (``leaf``) and by key (``t``): as many pairs as texts, times a constant. At full depth,
     where nodes are mostly copies with a few edits, the least text of the node stands for all.
     """
     prefix = lambda d: F.slice("signature", F.col("tree") * DEPTH + 1, d)
@@ -122,8 +122,8 @@ def candidates(texts: DataFrame, depth: int, order: str) -> DataFrame:
     else:
         node = Window.partitionBy("node")
         several = nodes.withColumn("several", F.min("root").over(node) != F.max("root").over(node)).where("several")
-        ordered = node.orderBy(*dict.fromkeys((order, "t")))
-        before = F.array(*[F.lag(F.struct("t", "root"), k).over(ordered) for k in range(1, NEAR + 1)])
+        orders = (node.orderBy("leaf", "t"), node.orderBy("t"))
+        before = F.array(*[F.lag(F.struct("t", "root"), k).over(order) for order in orders for k in range(1, NEAR + 1)])
         other = several.select("t", "root", before.alias("before")).select("t", "root", F.explode("before").alias("o"))
         met = other.where(F.col("o.root") != F.col("root")).select(F.col("t").alias("a"), F.col("o.t").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -181,11 +181,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     links, roots = None, None
     steps = depths(threshold, recall)
     # Full depth finds the bulk, the shortest prefix the rest; the depths between would add nothing.
-    for depth, order in ((steps[0], "t"), (steps[-1], "leaf"), (steps[-1], "t")):
+    for depth in dict.fromkeys((steps[0], steps[-1])):
         root = F.col("t") if roots is None else F.coalesce("root", "t")
         rooted = texts if roots is None else texts.join(roots.withColumnRenamed("node", "t"), "t", "left")
         rooted = rooted.select("t", "signature", root.alias("root"))
-        pairs = staged(candidates(rooted, depth, order), "pairs")
+        pairs = staged(candidates(rooted, depth), "pairs")
         found = staged(verified(pairs, texts, docs, threshold), "verified")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
