@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import guarded_join
+from nearfield.llm.common import arrow_rows, guarded_join
 from nearfield.llm.components import components
 from nearfield.llm.hashing import joined, runs_of, words_of
 from nearfield.session import staged
@@ -40,6 +40,8 @@ THRESHOLD = 0.8
 TREES, DEPTH = 16, 6
 NEAR = 8
 RECALL = 0.999
+#: Rows per Arrow batch and bytes of text hashed at once.
+BATCH_ROWS, STEP = 1_000, 1 << 18
 
 
 def depths(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> list[int]:
@@ -67,7 +69,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def shingled(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
     """(key of the word sequence, shingle hashes) of each text; the key of a text without words is empty."""
-    for _, data, starts in joined(texts):
+    for _, data, starts in joined(texts, STEP):
         hashes, begins, _ = words_of(data)
         runs = runs_of(hashes, SHINGLE)
         bounds = np.append(np.searchsorted(begins, starts), len(hashes))
@@ -174,7 +176,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     n_links counts the other documents that verified links join to it: copies of its own text and
     of the texts it is linked to.
     """
-    rows = staged(signatures(docs), "signatures")
+    spark = docs.sparkSession
+    with arrow_rows(spark, BATCH_ROWS):
+        rows = staged(signatures(docs), "signatures")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "mark", "signature")).alias("first")
     texts = rows.where("t is not null").groupBy("t").agg(first, F.count(F.lit(1)).alias("copies"))
     texts = staged(texts.select("t", "copies", "first.doc_id", "first.mark", "first.signature"), "texts")
@@ -186,7 +190,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         rooted = texts if roots is None else texts.join(roots.withColumnRenamed("node", "t"), "t", "left")
         rooted = rooted.select("t", "signature", root.alias("root"))
         pairs = staged(candidates(rooted, depth), "pairs")
-        found = staged(verified(pairs, texts, docs, threshold), "verified")
+        with arrow_rows(spark, BATCH_ROWS):
+            found = staged(verified(pairs, texts, docs, threshold), "verified")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     copies = texts.select("t", "copies")
