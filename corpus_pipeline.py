@@ -7,19 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from nearfield.llm import jaccard_forest, mixing, ngram_quality, packing, suffix_dedup
 from nearfield.session import scratch_path
 
+#: Rows per Arrow batch in all stages. Texts are wide: with Spark's default of 10,000 rows the batches
+#: of a long-lived executor hold some hundred MB on both sides.
+BATCH_ROWS = 500
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """A setting of the session, since a stage's frame runs after its function has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the n-gram model keeps; the labels of ``sf_dir`` say which text is trusted."""
+    narrow_batches(spark)
     return ngram_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    narrow_batches(spark)
     return jaccard_forest.one_of_each(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that occur more than once."""
+    narrow_batches(spark)
     return suffix_dedup.clean(docs)
 
 
@@ -30,6 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids by piece of a document."""
+    narrow_batches(spark)
     return packing.pack(packing.pieces(docs))
 
 

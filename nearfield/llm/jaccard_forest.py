@@ -41,7 +41,7 @@ TREES, DEPTH = 16, 6
 NEAR = 8
 RECALL = 0.999
 #: Rows per Arrow batch and bytes of text hashed at once.
-BATCH_ROWS, STEP = 1_000, 1 << 18
+BATCH_ROWS, STEP = 500, 1 << 18
 
 
 def depths(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> list[int]:
