@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from nearfield.llm import jaccard_forest, mixing, ngram_quality, packing, suffix_dedup
 from nearfield.session import scratch_path
 
-#: Rows per Arrow batch in all stages. Texts are wide: with Spark's default of 10,000 rows the batches
-#: of a long-lived executor hold some hundred MB on both sides.
-BATCH_ROWS = 500
+#: Rows and bytes per Arrow batch in all stages. Texts are wide: with Spark's default of 10,000 rows the
+#: batches of a long-lived executor hold some hundred MB on both sides.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def narrow_batches(spark: SparkSession) -> None:
     """A setting of the session, since a stage's frame runs after its function has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

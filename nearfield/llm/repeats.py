@@ -37,7 +37,8 @@ from nearfield.llm.common import text_bytes
 from nearfield.llm.hashing import BASE, INVERSE, joined, mixed, powers
 from nearfield.session import staged
 
-SEGMENT = 1 << 20
+#: Bytes of text worked on at once; about a dozen arrays of eight times this size are held by a task.
+SEGMENT = 1 << 18
 BLOCK_BYTES = 4 << 20
 GROUP = 2_000
 PLACE = np.uint64((1 << 24) - 1)
