@@ -211,7 +211,12 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int, level: int) -> Iterato
 
 
 def pack(cut: DataFrame, length: int = LENGTH, slack: int = SLACK, round_bins: int = ROUND_BINS) -> DataFrame:
-    """Sequences for the rows of ``pieces``: adds sequence_id and offset."""
+    """Sequences for the rows of ``pieces``: adds sequence_id and offset.
+
+    The pieces are written first: a lost packing task does not tokenize again, and no task needs
+    two Python workers at once, one to tokenize and one to pack.
+    """
+    cut = staged(cut, "pieces")
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     bins = cut.select(F.lit(0).cast("long").alias("bin_id"), F.col("length").cast("int").alias("fill"), F.array(item).alias("items"))
     level, done = 0, []
