@@ -240,6 +240,13 @@ def _broadcast_cells(index: DataFrame, probes: DataFrame, k: int, schema: T.Stru
     block = index.sparkSession.sparkContext.broadcast((ids, matrix, dict(zip(names.tolist(), rows, strict=False))))
     if 0 < len(names) <= _PRUNE_LITERALS:
         index = index.filter(F.col("cell").isin(names.tolist()))
+    elif len(names):
+        # Too many for literals: the list is joined, and Spark prunes the index's folders at run time.
+        # The range makes the list count as selective, without which it does not.
+        listed = pa.table({"cell": pa.array(names.tolist())})
+        listed = staged(index.sparkSession.createDataFrame(listed), "probed")
+        listed = listed.where(F.col("cell").between(names[0].item(), names[-1].item()))
+        index = index.join(F.broadcast(listed), "cell", "left_semi")
     arrow = arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -362,6 +363,24 @@ def _recall(truth: str, candidate: str, n: str = "count(DISTINCT t.query_id)") -
 FROM {truth} t LEFT JOIN {candidate} c ON t.query_id = c.query_id AND t.doc_id = c.doc_id"""
 
 
+def _projected(projections: int = 3, seed: int = 17, dim: int = 64) -> str:
+    """Hits among vectors whose steps differ by one in one projection at most."""
+    draws = np.random.default_rng(seed)
+    draws.integers(1, 2**62, projections)  # the engine draws its bucket factors first
+    normals = draws.standard_normal((dim, projections)).T.tolist()
+    dot = "list_sum(list_transform(list_zip(v, {}), lambda z: z[1] * z[2]))"
+    steps = ", ".join(f"floor({dot.format(normal)}) AS s{j}" for j, normal in enumerate(normals))
+    moved = " + ".join(f"abs(q.s{j} - c.s{j})" for j in range(projections))
+    return f"""stepped AS (SELECT id, v, {steps} FROM fl), pairs AS (
+  SELECT q.id AS query_id, c.id AS doc_id, {_dist('q.v', 'c.v')} AS dist_sq
+  FROM stepped q JOIN stepped c ON {moved} <= 1
+), hits AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, doc_id) AS rank FROM pairs
+  ) WHERE rank <= {K}
+)"""
+
+
 _ELEMENTS = "SELECT vec_id, generate_subscripts(q, 1) - 1 AS pos, unnest(q) AS q FROM quantized"
 _FLOAT_KNN = f"WITH {_FLOATS}, {_exact('hits', 'fl')}"
 _INT8_KNN = f"WITH {_INT8}, {_exact('hits', 'i8', 'BIGINT')}"
@@ -410,6 +429,8 @@ SELECT query_id, label, rank, round(dist_sq, 6) AS dist_sq FROM (
     "ann_pivot_stored": f"{_PIVOT_KNN} SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits",
     "ann_pivot_int8": f"""WITH {_INT8}, {_pivoted('hits', 'i8', 'BIGINT')}
 SELECT query_id, doc_id, rank, dist_sq FROM hits""",
+    "ann_lsh": f"""WITH {_FLOATS}, {_projected()}
+SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits""",
     "cell_sizes": f"{_PIVOT_KNN} SELECT cell, count(*) AS n FROM near WHERE n = 1 GROUP BY cell",
     "recall_int8_vs_float": f"{_BOTH_KNN} {_recall('f', 'i')}",
     "recall_ann_vs_exact": f"WITH {_FLOATS}, {_exact('f', 'fl')}, {_pivoted('a', 'fl')} {_recall('f', 'a')}",
