@@ -7,8 +7,9 @@ the prefix until a pair at the threshold is in a common group with the target pr
 
 * At full depth a text becomes a candidate of its group's least text. At the shortest prefix, groups
   of which all texts are connected by now drop out; in the others a text becomes a candidate of the
-  unconnected ones among the ``NEAR`` before it, by signature and by key. A group of any size makes
-  a constant number of candidates per text, never all pairs.
+  unconnected ones among the ``NEAR`` before it, by signature and by key: in groups of up to
+  ``NEAR`` + 1 these are all. Larger groups that still hold unconnected texts are dealt over blocks,
+  and every two blocks are compared whole in one task, which hands on links only.
 * Candidates are verified by the Jaccard similarity of their whole shingle sets; what passes is a
   link, and the links' components are the classes.
 
@@ -40,6 +41,10 @@ THRESHOLD = 0.8
 TREES, DEPTH = 16, 6
 NEAR = 8
 RECALL = 0.999
+#: Texts and bytes of shingle sets in a block of a group that is compared whole.
+BLOCK, BLOCK_BYTES = 1_024, 8 << 20
+#: Shingles of a block taken at once, and the share of its sets from which a shingle is a matrix column.
+WIDTH, RARE = 2_048, 32
 #: Rows per Arrow batch and bytes of text hashed at once.
 BATCH_ROWS, STEP = 500, 1 << 18
 
@@ -106,18 +111,24 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signatures, "doc_id bigint, mark bigint, t binary, signature array<int>")
 
 
+def _nodes(texts: DataFrame, depth: int) -> DataFrame:
+    """(t, root, node, leaf): the node of every text in every trie, and its group at full depth."""
+    prefix = lambda d: F.slice("signature", F.col("tree") * DEPTH + 1, d)
+    trees = texts.select("t", "root", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return trees.select(
+        "t", "root", F.xxhash64("tree", prefix(depth)).alias("node"), F.xxhash64("tree", prefix(DEPTH)).alias("leaf")
+    )
+
+
 def candidates(texts: DataFrame, depth: int) -> DataFrame:
     """(a, b): texts of different classes so far (``root``) that meet in a node of the tries.
 
     In a node whose texts are of several classes, each text meets the ``NEAR`` ones before it, by
     signature (``leaf``) and by key (``t``): as many pairs as texts, times a constant. At full depth,
-    where nodes are mostly copies with a few edits, the least text of the node stands for all.
+    where nodes are mostly copies with a few edits, the least text of the node stands for all. What
+    this leaves open in nodes of more than ``NEAR`` + 1 texts is compared by ``crowded``.
     """
-    prefix = lambda d: F.slice("signature", F.col("tree") * DEPTH + 1, d)
-    trees = texts.select("t", "root", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    nodes = trees.select(
-        "t", "root", F.xxhash64("tree", prefix(depth)).alias("node"), F.xxhash64("tree", prefix(DEPTH)).alias("leaf")
-    )
+    nodes = _nodes(texts, depth)
     if depth == DEPTH:
         least = nodes.groupBy("node").agg(F.min("t").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "b")
         met = nodes.join(least, "node").select(F.col("t").alias("a"), "b").where("a != b")
@@ -154,22 +165,137 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold.
-
-    Only the texts that occur in a pair are read again: one document of each, by id and mark.
-    """
-    ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    wanted = texts.join(ends, "t", "left_semi").select("doc_id", "mark")
+def shingle_sets(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(t, s): the shingle sets of the texts ``wanted`` (t); one document of each is read again, by id and mark."""
+    wanted = texts.join(wanted, "t", "left_semi").select("doc_id", "mark")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"), "text")
     rows = guarded_join(rows, wanted, ["doc_id", "mark"], "inner", salt=F.col("mark"))
     # Several rows may share id and mark; one set per text is enough.
-    sets = staged(rows.select("text").mapInArrow(_sets, "t binary, shingles binary"), "sets").groupBy("t").agg(F.first("shingles").alias("s"))
+    return staged(rows.select("text").mapInArrow(_sets, "t binary, shingles binary"), "sets").groupBy("t").agg(F.first("shingles").alias("s"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose whole shingle sets reach the threshold; only texts that occur in a pair are read again."""
+    ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
+    sets = shingle_sets(ends, texts, docs)
     left = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(functools.partial(_verify, threshold=threshold), "a binary, b binary")
 
 
+def shared(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the sets before ``split`` with those from it on; of all with all if it is 0.
+
+    Shingles of many sets are columns of a matrix product, each of the others counts its few pairs.
+    """
+    n = len(sets)
+    rows, base = (split, split) if split else (n, 0)
+    both = np.zeros((rows, n - base), np.float32)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(times), np.int64)
+    place[np.argsort(-times, kind="stable")] = np.arange(len(times))
+    column, times = place[column], -np.sort(-times)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    starts = np.append(0, np.cumsum(times))
+    often = int(np.searchsorted(-times, -max(n // RARE, 1), "left"))
+    for at in range(0, often, WIDTH):
+        end = min(at + WIDTH, often)
+        part = slice(starts[at], starts[end])
+        marks = np.zeros((n, end - at), np.float32)
+        marks[owner[part], column[part] - at] = 1
+        both += marks[:rows] @ marks[base:].T
+    for d in range(2, max(n // RARE, 1) + 1):
+        low, high = np.searchsorted(-times, [-d, 1 - d], "left")
+        low = max(low, often)
+        for at in range(low, high, max(1, (1 << 20) // (d * d))):
+            own = owner[starts[at] : starts[min(at + max(1, (1 << 20) // (d * d)), high)]].reshape(-1, d)
+            x, y = np.broadcast_arrays(own[:, :, None], own[:, None, :])
+            met = (x < rows) & (y >= base)
+            both += np.bincount(x[met] * (n - base) + y[met] - base, minlength=both.size).reshape(both.shape)
+    if not split:
+        # A shingle of one set only is in no pair, but in that set.
+        np.fill_diagonal(both, [len(s) for s in sets])
+    return both.astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], split: int, threshold: float) -> np.ndarray:
+    """Which sets before ``split`` reach the threshold with which from it on; all with all others if it is 0."""
+    both = shared(sets, split)
+    sizes = np.array([len(s) for s in sets])
+    left, right = (sizes[:split], sizes[split:]) if split else (sizes, sizes)
+    found = both >= threshold * (left[:, None] + right[None, :] - both) - 1e-9
+    if not split:
+        np.fill_diagonal(found, False)
+    return found
+
+
+def cells(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every two blocks of each group of ``members`` (g, t, ...), with their sets, one after the other.
+
+    A text is in the block its hash says, and goes to as many cells as its group has blocks; all
+    rows of a cell are in one task, those of its second block (``second``) last.
+    """
+    sizes = members.join(sets.select("t", F.octet_length("s").alias("size")), "t").groupBy("g").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    dealt = guarded_join(members, sizes, ["g"], "inner", salt=F.col("t"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = dealt.withColumn("second", F.col("block") > F.col("low")).drop("blocks", "block", "other")
+    return dealt.join(sets, "t").repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "second", "t")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """(split, sets, the columns' values) of each cell; cells of one text, or of one side only, hold no pair."""
+    cell, held = None, []
+
+    def whole():
+        split = sum(not row[0] for row in held)
+        if len(held) > 1 and split and (split < len(held) or cell[1] == cell[2]):
+            yield split % len(held), [np.frombuffer(row[1], np.uint64) for row in held], *zip(*[row[2:] for row in held])
+
+    for batch in batches:
+        keys = zip(*[batch[c].to_pylist() for c in ("g", "low", "high")])
+        for key, *row in zip(keys, *[batch[c].to_pylist() for c in ("second", "s", *columns)]):
+            if key != cell:
+                yield from whole()
+                cell, held = key, []
+            held.append(row)
+    yield from whole()
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between texts of different classes, of each cell as many as connect what is connected."""
+    for split, sets, keys, roots in _by_cell(batches, "t", "root"):
+        n, names = len(sets), np.unique(np.array(roots, object), return_inverse=True)[1]
+        near = np.zeros((n, n), bool)
+        near[: split or n, split:] = linked(sets, split, threshold)
+        near = (near | near.T) & (names[:, None] != names[None, :])
+        fresh, a, b = np.ones(n, bool), [], []
+        for first in range(n):
+            waiting = [first] if fresh[first] else []
+            fresh[first] = False
+            while waiting:
+                at = waiting.pop()
+                found = np.flatnonzero(near[at] & fresh)
+                fresh[found] = False
+                waiting += found.tolist()
+                a += [keys[at]] * len(found)
+                b += [keys[k] for k in found]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def crowded(texts: DataFrame, depth: int) -> DataFrame:
+    """(g, t, root): the nodes of more than ``NEAR`` + 1 texts that hold texts of several classes."""
+    nodes = _nodes(texts, depth).select(F.col("node").alias("g"), "t", "root")
+    several = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    several = several.where((F.col("n") > NEAR + 1) & (F.col("least") != F.col("most"))).select("g")
+    return guarded_join(nodes, several, ["g"], "inner", salt=F.col("t"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, mark, t, class_id, n_links): the class of every document, with t null without words.
 
@@ -184,16 +310,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     texts = staged(texts.select("t", "copies", "first.doc_id", "first.mark", "first.signature"), "texts")
     links, roots = None, None
     steps = depths(threshold, recall)
-    # Full depth finds the bulk, the shortest prefix the rest; the depths between would add nothing.
-    for depth in dict.fromkeys((steps[0], steps[-1])):
+
+    def rooted() -> DataFrame:
         root = F.col("t") if roots is None else F.coalesce("root", "t")
-        rooted = texts if roots is None else texts.join(roots.withColumnRenamed("node", "t"), "t", "left")
-        rooted = rooted.select("t", "signature", root.alias("root"))
-        pairs = staged(candidates(rooted, depth), "pairs")
+        known = texts if roots is None else texts.join(roots.withColumnRenamed("node", "t"), "t", "left")
+        return known.select("t", "signature", root.alias("root"))
+
+    # Full depth finds the bulk; a pair in a node of any depth is in a node of the shortest prefix, too.
+    for depth in dict.fromkeys((steps[0], steps[-1])):
+        pairs = staged(candidates(rooted(), depth), "pairs")
         with arrow_rows(spark, BATCH_ROWS):
             found = staged(verified(pairs, texts, docs, threshold), "verified")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+    members = staged(crowded(rooted(), steps[-1]), "crowded")
+    if not members.isEmpty():
+        with arrow_rows(spark, BATCH_ROWS):
+            sets = staged(shingle_sets(members.select("t").distinct(), texts, docs), "crowded-sets")
+            found = cells(members, sets).mapInArrow(functools.partial(_crowded, threshold=threshold), "a binary, b binary")
+            links = links.unionByName(staged(found, "crowded-links"))
+        roots = components(links)
     copies = texts.select("t", "copies")
     both = links.select(F.col("a").alias("t"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("t"), F.col("a").alias("u")))
     joins = both.join(copies.withColumnsRenamed({"t": "u", "copies": "n"}), "u").groupBy("t").agg(F.sum("n").alias("linked"))

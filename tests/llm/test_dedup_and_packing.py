@@ -164,6 +164,33 @@ def test_classes_of_near_documents(make):
     assert jaccard_forest.classes(make([])).count() == 0
 
 
+def on_a_template(pairs=200, seed=11):
+    """Texts on one long passage, two by two at similarity 0.84; all others are at 0.72."""
+    rng = random.Random(seed)
+    passage = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    template, rows = passage(204), []
+    for i in range(pairs):
+        both = f"{template} {passage(18)}"
+        rows += [(2 * i, f"{both} {passage(21)}", "en", "a", 1), (2 * i + 1, f"{both} {passage(21)}", "en", "a", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [1_024, 50])
+def test_pairs_in_crowded_nodes(make, monkeypatch, block):
+    monkeypatch.setattr(jaccard_forest, "BLOCK", block)
+    got = {r["doc_id"]: r for r in jaccard_forest.classes(make(on_a_template())).collect()}
+    assert [i for i, r in got.items() if r["class_id"] != i - i % 2] == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=90), st.integers(0, 89))
+def test_shared_shingles_of_blocks(sets, split):
+    split %= len(sets)
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    left, right = (sets[:split], sets[split:]) if split else (sets, sets)
+    assert jaccard_forest.shared(arrays, split).tolist() == [[len(a & b) for b in right] for a in left]
+
+
 def test_recall_of_the_forest():
     depths = jaccard_forest.depths()
     assert jaccard_forest.target_recall(0.8, depths[-1]) >= jaccard_forest.RECALL > jaccard_forest.target_recall(0.8, depths[-1] + 1)
