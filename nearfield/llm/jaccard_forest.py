@@ -11,7 +11,7 @@ the prefix until a pair at the threshold is in a common group with the target pr
   ``NEAR`` + 1 these are all. Larger groups that still hold unconnected texts are dealt over blocks,
   and every two blocks are compared whole in one task, which hands on links only.
 * Candidates are verified by the Jaccard similarity of their whole shingle sets; what passes is a
-  link, and the links' components are the classes.
+  link, and the links' components are the classes. Links are then counted over all pairs of a class.
 
 Defined results: a text of one to four words has one shingle, all its words; a text without words
 (null, empty) is linked to nothing. Rows with equal words are one class whatever their ids, null
@@ -296,12 +296,19 @@ def crowded(texts: DataFrame, depth: int) -> DataFrame:
     return guarded_join(nodes, several, ["g"], "inner", salt=F.col("t"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, mark, t, class_id, n_links): the class of every document, with t null without words.
+def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(t, linked): the documents that each text is linked to within a cell."""
+    for split, sets, keys, copies in _by_cell(batches, "t", "copies"):
+        near, copies = linked(sets, split, threshold), np.array(copies, np.int64)
+        counts = np.zeros(len(sets), np.int64)
+        counts[: split or len(sets)] = near @ copies[split:]
+        if split:
+            counts[split:] = copies[:split] @ near
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts)], ["t", "linked"])
 
-    n_links counts the other documents that verified links join to it: copies of its own text and
-    of the texts it is linked to.
-    """
+
+def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The (doc_id, mark, t) of every document, the texts, and (t, root) of those with a link."""
     spark = docs.sparkSession
     with arrow_rows(spark, BATCH_ROWS):
         rows = staged(signatures(docs), "signatures")
@@ -330,26 +337,44 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
             found = cells(members, sets).mapInArrow(functools.partial(_crowded, threshold=threshold), "a binary, b binary")
             links = links.unionByName(staged(found, "crowded-links"))
         roots = components(links)
-    copies = texts.select("t", "copies")
-    both = links.select(F.col("a").alias("t"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("t"), F.col("a").alias("u")))
-    joins = both.join(copies.withColumnsRenamed({"t": "u", "copies": "n"}), "u").groupBy("t").agg(F.sum("n").alias("linked"))
-    named = texts.join(roots.withColumnRenamed("node", "t"), "t", "left").select(
-        "t", "doc_id", "copies", F.coalesce("root", "t").alias("root")
-    )
+    return rows, texts, roots.withColumnRenamed("node", "t")
+
+
+def _named(rows: DataFrame, texts: DataFrame, roots: DataFrame, joins: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the class of each and, given ``joins`` (t, linked), its number of links."""
+    named = texts.join(roots, "t", "left").select("t", "doc_id", "copies", F.coalesce("root", "t").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_text = named.join(names, "root").join(joins, "t", "left")
-    by_text = by_text.select("t", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    by_text = named.join(names, "root")
     # Without words there is no class to share: the document is alone.
-    alone = F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
-    return rows.select("doc_id", "mark", "t").join(by_text, "t", "left").select(
-        "doc_id", "mark", "t", alone, F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    columns = ["doc_id", "mark", "t", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")]
+    if joins is None:
+        return rows.select("doc_id", "mark", "t").join(by_text.select("t", "class_id"), "t", "left").select(*columns)
+    n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    by_text = by_text.join(joins, "t", "left").select("t", "class_id", n_links.alias("n_links"))
+    rows = rows.select("doc_id", "mark", "t").join(by_text, "t", "left")
+    return rows.select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, mark, t, class_id, n_links): the class of every document, with t null without words.
+
+    n_links counts the other documents that are linked to it: copies of its own text and of the
+    texts whose shingle sets reach the threshold. All of them are in its class, so every two texts
+    of a class are compared, block by block, and a task hands on one count per text and cell.
+    """
+    rows, texts, roots = _grouped(docs, threshold, recall)
+    members = roots.join(texts.select("t", "copies"), "t").select(F.col("root").alias("g"), "t", "copies")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        sets = staged(shingle_sets(members.select("t"), texts, docs), "class-sets")
+        counts = cells(members, sets).mapInArrow(functools.partial(_counted, threshold=threshold), "t binary, linked bigint")
+        joins = staged(counts, "linked").groupBy("t").agg(F.sum("linked").alias("linked"))
+    return _named(rows, texts, roots, joins)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The document with the smallest id of every class (of its texts the one with the least mark),
     and every document without words; columns unchanged."""
-    rows = staged(classes(docs, threshold, recall), "classes")
+    rows = staged(_named(*_grouped(docs, threshold, recall)), "classes")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "mark")
     # A class without any id is named by its text.
     name = [F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("t"))]

@@ -182,6 +182,22 @@ def test_pairs_in_crowded_nodes(make, monkeypatch, block):
     assert [i for i, r in got.items() if r["class_id"] != i - i % 2] == []
 
 
+@pytest.mark.parametrize("block", [1_024, 25])
+def test_links_are_counted_within_classes(make, monkeypatch, block):
+    monkeypatch.setattr(jaccard_forest, "BLOCK", block)
+    rng = random.Random(12)
+    words, rows = [str(rng.randrange(10**9)) for _ in range(150)], []
+    for i in range(120):
+        text = list(words)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(150)] = f"edit{i}"
+        rows += [(2 * i + k, " ".join(text), "en", "a", 1) for k in range(1 + (i % 10 == 0))]
+    sets = {r[0]: {tuple(w[k : k + 5]) for w in [r[1].split()] for k in range(146)} for r in rows}
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) for b in sets.values()) - 1 for i, a in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_forest.classes(make(rows)).collect()} == want
+    assert len(set(want.values())) > 5
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=90), st.integers(0, 89))
 def test_shared_shingles_of_blocks(sets, split):
