@@ -235,13 +235,12 @@ def tokenizers(known=[]):  # noqa: B006
 
         path = packing.default_vocabulary()
         known += [Tokenizer.from_file(path), packing.Ids(path)]
-        known[0].encode_special_tokens = True
     return known
 
 
 @pytest.mark.parametrize("bins", [50_000, 5])
 def test_packing_is_a_round_trip(make, bins):
-    rows = [*corpus(), (900, "long text, " * 3_000, "en", "a", 1)]
+    rows = [*corpus(), (900, "long text, " * 3_000, "en", "a", 1), (901, "a<|endoftext|>b<|endoftext|>", "en", "a", 1)]
     got = packing.pack(packing.pieces(make(rows), length=128), length=128, round_bins=bins).collect()
     tokenizer = tokenizers()[0]
     want = Counter()
