@@ -11,6 +11,10 @@ from nearfield.session import scratch_path
 #: batches of a long-lived executor hold some hundred MB on both sides.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
+#: Bytes of a repeat that goes, and of the run that anchors it: a passage of 51 words of three letters
+#: with their spaces is 203 bytes long.
+REPEAT, REPEAT_GRAM = 200, 48
+
 
 def narrow_batches(spark: SparkSession) -> None:
     """A setting of the session, since a stage's frame runs after its function has returned."""
@@ -31,9 +35,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that occur more than once."""
+    """Documents without the strings of ``REPEAT`` bytes or more that occur more than once."""
     narrow_batches(spark)
-    return suffix_dedup.clean(docs)
+    return suffix_dedup.clean(docs, REPEAT, REPEAT_GRAM)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
