@@ -16,6 +16,7 @@ from nearfield.llm import (
     suffix_dedup,
     toxicity,
     url_trust,
+    whitening,
 )
 from nearfield.llm.common import read
 from nearfield.llm.oracles import ORACLES
@@ -71,6 +72,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_quality": op1_ngram_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op13_whitening": op13_whitening,
 }
 
 
