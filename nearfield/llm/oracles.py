@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
-from nearfield.llm import quality_rules, url_trust
+from nearfield.llm import quality_rules, secret_scan, url_trust
 from nearfield.llm.mixing import CAP, SEED
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def _secrets() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    placed = lambda p, group: f"""
+  SELECT r, part, CAST(e - length(x) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM (
+    SELECT r, x, part, sum(length(x) + length(gap)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
+      SELECT r, unnest(m) AS x, unnest(p) AS part, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM (
+        SELECT r, regexp_extract_all(t, {quoted(p)}) AS m, regexp_extract_all(t, {quoted(p)}, {group}) AS p, string_split_regex(t, {quoted(p)}) AS g
+        FROM d WHERE regexp_matches(t, {quoted(p)}))))"""
+    tables, spans = [], []
+    for k, (kind, pattern, group, least) in enumerate(secret_scan.BASE):
+        tables.append(f"{kind} AS ({placed(pattern, group)}\n)")
+        spans.append(f"SELECT r, {k} AS k, '{kind}' AS kind, s, e FROM {kind} WHERE length(part) >= {least}")
+    for k, c in enumerate(secret_scan.CLASSES, len(secret_scan.BASE)):
+        n, w = c.kind, c.window
+        tables += [
+            f"{n}_runs AS ({placed(f'[{c.characters}]{{{w},}}', 0)}\n)",
+            f"{n}_windows AS (SELECT r, s, j, substr(part, CAST(j + 1 AS BIGINT), {w}) AS w FROM {n}_runs, unnest(range(0, length(part) - {w - 1})) AS u(j)"
+            f" WHERE NOT regexp_matches(part, {quoted(secret_scan.ALLOW)}))",
+            f"{n}_dense AS (SELECT r, s, j FROM {n}_windows WHERE list_sum([({secret_scan.weights(w)[1:]})[{w} - length(replace(w, x, ''))]"
+            f" FOR x IN list_distinct(string_split(w, ''))]) <= {secret_scan.limit(c)})",
+            f"{n}_spans AS (SELECT r, s + min(j) AS s, s + max(j) + {w} AS e FROM (SELECT *, sum(new) OVER (PARTITION BY r, s ORDER BY j) AS island FROM"
+            f" (SELECT *, CASE WHEN j <= lag(j) OVER (PARTITION BY r, s ORDER BY j) + {w} THEN 0 ELSE 1 END AS new FROM {n}_dense)) GROUP BY r, s, island)",
+        ]
+        spans.append(f"SELECT r, {k}, '{n}', s, e FROM {n}_spans")
+    count = lambda k: f"CAST(count(*) FILTER (k = {k}) AS BIGINT)"
+    listed = lambda only: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) {only}, '')"
+    first = len(secret_scan.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{", ".join(tables)},
+spans AS ({" UNION ALL ".join(spans)})
+SELECT doc_id, {", ".join(f"{count(k)} AS n_{kind}" for k, (kind, *_) in enumerate(secret_scan.BASE))},
+  sha256({listed(f"FILTER (k < {first})")}) AS base_sha256, {listed("FILTER (k IS NOT NULL)")} AS spans,
+  CAST(count(*) FILTER (k >= {first}) AS BIGINT) AS n_added
+FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
+
+
 def _quality_rules() -> str:
     symbols = quality_rules.SYMBOLS
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.STOP_WORDS)
@@ -119,4 +156,5 @@ ORACLES = {
     "op6_url_trust": _url_trust(),
     "op9_quality_rules": _quality_rules(),
     "op10_source_mix": _MIX,
+    "op12_secret_scan": _secrets(),
 }

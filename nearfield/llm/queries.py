@@ -12,6 +12,7 @@ from nearfield.llm import (
     ngram_quality,
     packing,
     quality_rules,
+    secret_scan,
     substring_dedup,
     suffix_dedup,
     toxicity,
@@ -72,6 +73,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.report(read(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op12_secret_scan": op12_secret_scan,
     "op13_whitening": op13_whitening,
 }
 
