@@ -45,6 +45,22 @@ SELECT doc_id, {", ".join(f"{count(k)} AS n_{kind}" for k, (kind, *_) in enumera
 FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
 
 
+_SEARCH = r"""
+WITH term_of AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+asked AS (SELECT DISTINCT item_id, item_text, unnest(regexp_extract_all(translate(item_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text AS item_text FROM benchmark)),
+lengths AS (SELECT r, doc_id, count(*) AS n FROM term_of GROUP BY r, doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+counts AS (SELECT r, term, count(*) AS tf FROM term_of WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term, docs),
+parts AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS part
+  FROM counts JOIN lengths USING (r) JOIN weights USING (term), total),
+scored AS (SELECT item_id, item_text, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, item_text ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50"""
+
+
 def _quality_rules() -> str:
     symbols = quality_rules.SYMBOLS
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.STOP_WORDS)
@@ -156,5 +172,6 @@ ORACLES = {
     "op6_url_trust": _url_trust(),
     "op9_quality_rules": _quality_rules(),
     "op10_source_mix": _MIX,
+    "op11_lexical_search": _SEARCH,
     "op12_secret_scan": _secrets(),
 }

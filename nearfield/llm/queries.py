@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.llm import (
     edit_fingerprints,
     jaccard_forest,
+    lexical_search,
     mixing,
     ngram_quality,
     packing,
@@ -73,6 +74,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.report(read(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op11_lexical_search": op11_lexical_search,
     "op12_secret_scan": op12_secret_scan,
     "op13_whitening": op13_whitening,
 }

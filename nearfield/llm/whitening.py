@@ -127,7 +127,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK = "block int, ids array<bigint>, deviations array<bigint>, height int, entries array<double>"
 
 
-def _lay(batches: Iterator[pa.RecordBatch], first: dict[int, tuple[int, int]], n: int, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _lay(batches: Iterator[pa.RecordBatch], first: dict[int, tuple[int, int]], n: int, sums: np.ndarray, block_rows: int) -> Iterator[pa.RecordBatch]:
     """Blocks of centred rows, entries column by column; a task's blocks start at its own number."""
     from pyspark import TaskContext
 
@@ -146,15 +146,15 @@ def _lay(batches: Iterator[pa.RecordBatch], first: dict[int, tuple[int, int]], n
         if batch.num_rows:
             ids += batch["vec_id"].to_pylist()
             held.append(matrix_of(batch["x"]))
-        while len(ids) >= BLOCK_ROWS:
+        while len(ids) >= block_rows:
             x = np.concatenate(held)
-            yield full(ids[:BLOCK_ROWS], x[:BLOCK_ROWS])
-            ids, held, block = ids[BLOCK_ROWS:], [x[BLOCK_ROWS:]], block + 1
+            yield full(ids[:block_rows], x[:block_rows])
+            ids, held, block = ids[block_rows:], [x[block_rows:]], block + 1
     if ids:
         yield full(ids, np.concatenate(held))
 
 
-def blocks(table: DataFrame, n: int, sums: np.ndarray) -> DataFrame:
+def blocks(table: DataFrame, n: int, sums: np.ndarray, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(block, ids, deviations, height, entries) of the centred rows of a written table (vec_id, x).
 
     A first pass counts the rows of each task's split, which fixes the blocks' numbers: a task that
@@ -163,11 +163,11 @@ def blocks(table: DataFrame, n: int, sums: np.ndarray) -> DataFrame:
     sizes = sorted((r["task"], r["rows"]) for r in table.select("vec_id").mapInArrow(_sizes, "task bigint, rows bigint").collect())
     first, at = {}, 0
     for task, rows in sizes:  # one number per task
-        first[task] = (at, at := at - (-rows // BLOCK_ROWS))
-    return table.mapInArrow(functools.partial(_lay, first=first, n=n, sums=sums), BLOCK)
+        first[task] = (at, at := at - (-rows // block_rows))
+    return table.mapInArrow(functools.partial(_lay, first=first, n=n, sums=sums, block_rows=block_rows), BLOCK)
 
 
-def block_matrix(laid: DataFrame, width: int) -> BlockMatrix:
+def block_matrix(laid: DataFrame, width: int, block_rows: int = BLOCK_ROWS) -> BlockMatrix:
     """The blocks as one MLlib matrix of ``width`` columns.
 
     A task's last block may hold fewer rows; it is filled up with zeros, which add nothing to a
@@ -175,12 +175,12 @@ def block_matrix(laid: DataFrame, width: int) -> BlockMatrix:
     """
 
     def cell(row) -> tuple[tuple[int, int], DenseMatrix]:
-        entries = np.zeros((width, BLOCK_ROWS))
+        entries = np.zeros((width, block_rows))
         entries[:, : row["height"]] = np.reshape(row["entries"], (width, row["height"]))
-        return (row["block"], 0), DenseMatrix(BLOCK_ROWS, width, entries.ravel())
+        return (row["block"], 0), DenseMatrix(block_rows, width, entries.ravel())
 
     number = (laid.agg(F.max("block")).first()[0] or 0) + 1
-    return BlockMatrix(laid.select("block", "height", "entries").rdd.map(cell), BLOCK_ROWS, width, number * BLOCK_ROWS, width)
+    return BlockMatrix(laid.select("block", "height", "entries").rdd.map(cell), block_rows, width, number * block_rows, width)
 
 
 def product(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMatrix:
@@ -195,22 +195,22 @@ def scatter(matrix: BlockMatrix, slots: int) -> np.ndarray:
     return product(matrix.transpose(), matrix, splits).toLocalMatrix().toArray()
 
 
-def projected(laid: DataFrame, matrix: np.ndarray) -> DataFrame:
+def projected(laid: DataFrame, matrix: np.ndarray, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(block, values): the rows of the blocks times ``matrix``, component by component."""
     spark = laid.sparkSession
     width, k = matrix.shape
     right = spark.sparkContext.parallelize([((0, 0), DenseMatrix(width, k, matrix.ravel(order="F").tolist()))], 1)
-    made = product(block_matrix(laid, width), BlockMatrix(right, width, k))
+    made = product(block_matrix(laid, width, block_rows), BlockMatrix(right, width, k))
     rows = made.blocks.map(lambda b: (b[0][0], b[1].toArray().ravel(order="F").tolist()))
     return spark.createDataFrame(rows, "block int, values array<double>")
 
 
-def _spread(laid: DataFrame) -> np.ndarray:
+def _spread(laid: DataFrame, block_rows: int) -> np.ndarray:
     """Covariance of blocks (height, values), centred before multiplying: sums first, then products."""
 
     def of(row: tuple[int, list]) -> np.ndarray:
         height, values = row
-        return np.reshape(values, (-1, BLOCK_ROWS))[:, :height]
+        return np.reshape(values, (-1, block_rows))[:, :height]
 
     pairs = laid.rdd.map(tuple)
     add = lambda a, b: (a[0] + b[0], a[1] + b[1])
@@ -220,7 +220,7 @@ def _spread(laid: DataFrame) -> np.ndarray:
     return pairs.map(products).treeReduce(np.add) / n
 
 
-def fit(table: DataFrame, components: int = COMPONENTS) -> Whitening | None:
+def fit(table: DataFrame, components: int = COMPONENTS, block_rows: int = BLOCK_ROWS) -> Whitening | None:
     """Whitening of the distinct vectors of ``table`` (vec_id, x); None if there are none."""
     spark = table.sparkSession
     distinct = staged(distinct_vectors(table), "vectors")
@@ -228,30 +228,32 @@ def fit(table: DataFrame, components: int = COMPONENTS) -> Whitening | None:
         n, sums = totals(distinct)
         if not n:
             return None
-        laid = staged(blocks(distinct.select(F.lit(None).cast("long").alias("vec_id"), "x"), n, sums), "fit-blocks")
-    values, vectors = np.linalg.eigh(scatter(block_matrix(laid, len(sums)), spark.sparkContext.defaultParallelism) / n)
+        laid = staged(blocks(distinct.select(F.lit(None).cast("long").alias("vec_id"), "x"), n, sums, block_rows), "fit-blocks")
+    values, vectors = np.linalg.eigh(scatter(block_matrix(laid, len(sums), block_rows), spark.sparkContext.defaultParallelism) / n)
     values, vectors = values[::-1], vectors[:, ::-1]
     k = min(components, len(values))
     live = values[:k] > NO_VARIANCE * max(values[0], 0)
     matrix = np.where(live, vectors[:, :k] / np.sqrt(np.where(live, values[:k], 1)), 0.0)
     error = None
     if live.any():
-        whitened = staged(projected(laid, matrix), "fit-whitened").join(laid.select("block", "height"), "block")
-        after = _spread(whitened.select("height", "values"))[np.ix_(live, live)]
+        whitened = staged(projected(laid, matrix, block_rows), "fit-whitened").join(laid.select("block", "height"), "block")
+        after = _spread(whitened.select("height", "values"), block_rows)[np.ix_(live, live)]
         error = float(np.abs(after - np.eye(len(after))).max())
     return Whitening(n, sums, values, matrix, float(values.sum()), error)
 
 
-def whiten(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS) -> DataFrame:
+def whiten(
+    rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error) of every kept row."""
     table = staged(integers(rows, vec_id, vector), "integers")
-    fitted = fit(table, components)
+    fitted = fit(table, components, block_rows)
     head = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
     if fitted is None:
         return rows.sparkSession.createDataFrame([], head)
     with arrow_rows(rows.sparkSession, BLOCK_ROWS):
-        laid = staged(blocks(table, fitted.n, fitted.sums), "blocks")
-    made = staged(projected(laid, fitted.matrix), "whitened")
+        laid = staged(blocks(table, fitted.n, fitted.sums, block_rows), "blocks")
+    made = staged(projected(laid, fitted.matrix, block_rows), "whitened")
     joined = laid.select("block", "ids", "deviations", "height").join(made, "block")
     live = fitted.values[: fitted.matrix.shape[1]] > NO_VARIANCE * max(fitted.values[0], 0)
     shares = fitted.values / fitted.trace if fitted.trace > 0 else np.zeros(len(fitted.values))
@@ -260,7 +262,7 @@ def whiten(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", c
     number = F.explode(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(bool(ok)).alias("ok"), F.lit(float(s)).alias("share")) for i, (ok, s) in enumerate(zip(live, shares))])
     ).alias("c")
-    value = F.get("values", F.col("c.i") * BLOCK_ROWS + F.col("place"))
+    value = F.get("values", F.col("c.i") * block_rows + F.col("place"))
     return row.select("*", number).select(
         "vec_id",
         (F.col("c.i") + 1).cast("int").alias("component"),

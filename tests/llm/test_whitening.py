@@ -22,15 +22,14 @@ def brute(rows, k):
 
 
 @pytest.mark.parametrize("block", [2_048, 7])
-def test_whitening_equals_one_matrix(spark, monkeypatch, block):
-    monkeypatch.setattr(whitening, "BLOCK_ROWS", block)
+def test_whitening_equals_one_matrix(spark, block):
     rng = np.random.default_rng(1)
     scale = np.array([3.0, 2.0, 1.5, 1.0, 0.8])
     rows = [(i, (rng.normal(size=5) * scale + 4).astype("f4").tolist()) for i in range(90)]
     rows += [(200 + i, rows[3][1]) for i in range(40)] + [(5, rows[5][1]), (None, rows[6][1])]
     rows += [(300, None), (301, [1.0, None, 1.0, 1.0, 1.0]), (302, [math.nan] * 5), (303, [math.inf, 0.0, 0.0, 0.0, 0.0])]
     docs = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], SCHEMA).repartition(5)
-    got = whitening.whiten(docs, components=3).collect()
+    got = whitening.whiten(docs, components=3, block_rows=block).collect()
     kept, n, deviation, whitened, explained = brute(rows, 3)
     assert len(got) == 3 * len(kept) and {r["n"] for r in got} == {n}
     assert {r["identity_error"] for r in got} == {got[0]["identity_error"]} and got[0]["identity_error"] < 1e-9
