@@ -27,6 +27,7 @@ from nearfield.operators.knn import (
     arrow_schema,
     fragment_search,
     hits_batch,
+    knn,
     rank_hits,
     small,
     vectors_size,
@@ -34,6 +35,7 @@ from nearfield.operators.knn import (
 from nearfield.session import staged
 
 _PRUNE_LITERALS = 2_000  # probed cells that still go into the scan filter as literals
+_LISTED = 1_000_000  # buckets of a box that are listed where the names of all buckets are not at hand
 
 
 def sample_pivots(corpus: DataFrame, m: int, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
@@ -61,18 +63,47 @@ def sample_pivots(corpus: DataFrame, m: int, id_col: str = "doc_id", vector_col:
     return corpus.sparkSession.createDataFrame(taken, hashed.select("cell", "vector").schema)
 
 
-def train_pivots(corpus: DataFrame, m: int, seed: int = 17, vector_col: str = "vector", max_iter: int = 10) -> DataFrame:
-    """k-means centres of the corpus as ``(cell, vector)``, trained by Spark ML.
+def train_pivots(corpus: DataFrame, start: DataFrame, rounds: int = 10, vector_col: str = "vector") -> DataFrame:
+    """``start (cell, vector)`` moved to the means of their rows, ``rounds`` times.
 
-    Train on a sample of a large corpus: ``train_pivots(sample_pivots(corpus, 100 * m), m)``.
+    Every task sums the rows of each cell before anything moves: a round sends one sum per cell and
+    task. Means are single floats, so the order of the additions does not show. A cell without rows
+    keeps its place. Few rows per cell suffice; train on a sample of a large corpus:
+    ``train_pivots(hash_pivots(corpus, 100 * m), sample_pivots(corpus, m))``.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = corpus.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    model = KMeans(k=m, seed=seed, maxIter=max_iter).fit(points)
-    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
-    return corpus.sparkSession.createDataFrame(rows, "cell long, vector array<float>")
+    spark = corpus.sparkSession
+    kind = start.schema["cell"].dataType
+    cell = arrow_schema(T.StructType([T.StructField("cell", kind)])).field(0).type
+    name = kind.simpleString()
+    centres = start.select("cell", F.col("vector").cast("array<float>").alias("vector"))
+    points = staged(corpus.select(F.col(vector_col).cast("array<float>").alias("vector")), "points")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict = {}
+        total: dict = {}
+        for batch in batches:
+            x, cells = matrix_of(batch["vector"]).astype(np.float64), ids_of(batch["cell"])
+            order = np.argsort(cells, kind="stable")
+            present, at = np.unique(cells[order], return_index=True)
+            for c, members in zip(present.tolist(), np.split(order, at[1:])):
+                n[c] = n.get(c, 0) + len(members)
+                total[c] = total.get(c, 0.0) + x[members].sum(axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*n], cell), pa.array([*n.values()], pa.int64()), pa.array([t.tolist() for t in total.values()], pa.list_(pa.float64()))],
+            names=["cell", "n", "total"],
+        )
+
+    def mean(parts: pa.Table) -> pa.Table:
+        total = matrix_of(parts["total"]).sum(axis=0) / sum(parts["n"].to_pylist())
+        return pa.table({"cell": parts["cell"][:1], "moved": pa.array([total.astype(np.float32)], pa.list_(pa.float32()))})
+
+    for _ in range(rounds):
+        parts = nearest_cells(points, centres, 1).select("cell", "vector").mapInArrow(sums, f"cell {name}, n bigint, total array<double>")
+        moved = parts.groupBy("cell").applyInArrow(mean, f"cell {name}, moved array<float>")
+        joined = centres.join(moved, "cell", "left").select("cell", F.coalesce("moved", "vector").alias("vector"))
+        # As large as the start, whose size the assignment checks.
+        centres = spark.createDataFrame(joined.toArrow(), centres.schema)
+    return centres
 
 
 def nearest_cells(
@@ -222,12 +253,113 @@ def hashed_search(
     broadcast_bytes: int = BROADCAST_BYTES,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """k nearest neighbours within ``nprobe`` buckets of an index made by ``hashed_cells``."""
+    """k nearest neighbours within ``nprobe`` buckets of an index made by ``hashed_cells``.
+
+    Fewer than k where those buckets hold fewer rows; ``filled_search`` goes on until there are k.
+    """
     index, queries = index.select("cell", "doc_id", "vector"), queries.select("query_id", "vector")
     probes = hashed_cells(queries, nprobe, projections=projections, width=width, seed=seed)
     return search_cells(index, probes, k, nprobe, vectors_size(queries), broadcast_bytes, chunk_bytes)
 
 
+def filled_search(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    *,
+    projections: int = 3,
+    width: float = 1.0,
+    seed: int = 17,
+    reach: float = 1.0,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """k nearest neighbours in an index made by ``hashed_cells``; every query gets its k hits.
+
+    First each query looks into its ``nprobe`` best buckets. One that finds fewer than k rows looks
+    into twice as wide a box of buckets, until it has k or the index has no more. Its k-th distance
+    then says how far a nearer row can lie along each projection: the last round searches that box.
+    With ``reach`` 1 the buckets left out are all farther away, so the result is exact; a smaller
+    reach shrinks the last box by that factor and may miss neighbours, but never returns fewer.
+    """
+    index = index.select("cell", "doc_id", "vector")
+    queries = staged(queries.select("query_id", "vector"), "queries")
+    settings = {"projections": projections, "width": width, "seed": seed}
+    limits = {"broadcast_bytes": broadcast_bytes, "chunk_bytes": chunk_bytes}
+    cells = index.groupBy("cell").agg(F.count("*").alias("n"))
+    there = cells.agg(F.count("*").alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    # Bucket names go along with the task. If there are too many for that, a box too large to be
+    # listed is left to the exact search.
+    known = ids_of(cells.select("cell").toArrow()["cell"]) if there["cells"] * 8 <= broadcast_bytes else None
+    enough = min(k, there["rows"])
+    size = vectors_size(queries)
+    first = search_cells(index, hashed_cells(queries, nprobe, **settings), k, nprobe, size, **limits)
+    hits = staged(first.select("query_id", "doc_id", "dist_sq"), "hits")
+    steps = 1.0
+    while True:
+        best = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.max("dist_sq").cast("double").alias("far"))
+        state = queries.join(best, "query_id", "left").select("query_id", "vector", "far", F.coalesce("n", F.lit(0)).alias("n"))
+        short = state.filter(F.col("n") < enough).select("query_id", "vector", F.lit(steps).alias("steps"), F.lit(None).cast("double").alias("far"))
+        short = staged(_box_cells(short, known, reach, **settings), "short")
+        if short.isEmpty():
+            break
+        rest = hits.join(short.select("query_id").distinct(), "query_id", "left_anti")
+        hits = staged(rest.unionByName(_search_boxes(index, short, k, limits)), "hits")
+        steps *= 2
+    boxes = staged(_box_cells(state.select("query_id", "vector", F.lit(0.0).alias("steps"), "far"), known, reach, **settings), "boxes")
+    seen = hits if boxes.isEmpty() else hits.unionByName(_search_boxes(index, boxes, k, limits)).distinct()
+    return rank_hits(seen, k, size["rows"])
+
+
+def _search_boxes(index: DataFrame, boxes: DataFrame, k: int, limits: dict[str, int]) -> DataFrame:
+    listed, whole = boxes.filter(F.col("cell").isNotNull()), boxes.filter(F.col("cell").isNull()).drop("cell")
+    hits = search_cells(index, listed, k, 1, vectors_size(listed), **limits)
+    if not whole.isEmpty():
+        hits = hits.unionByName(knn(index, whole, k, **limits))
+    return hits.select("query_id", "doc_id", "dist_sq")
+
+
+def _box_cells(df: DataFrame, known: np.ndarray | None, reach: float, projections: int, width: float, seed: int) -> DataFrame:
+    """``(query_id, vector, cell)`` of the buckets in a box around each query.
+
+    The box spans ``steps`` steps each way or, where ``far`` is given, all steps that a row within
+    that squared distance can fall into. A box of more buckets than there are is all of them; one
+    that is too large to list is a single row without a cell.
+    """
+    schema = T.StructType([df.schema["query_id"], df.schema["vector"], T.StructField("cell", T.LongType())])
+    most = _LISTED if known is None else len(known)
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                x = matrix_of(batch["vector"]).astype(np.float64)
+                draws = np.random.default_rng(seed)
+                mix = draws.integers(1, 2**62, projections) * 2 + 1
+                normals = draws.standard_normal((x.shape[1], projections))
+                places = x @ normals / width
+                # A margin for the rounding of distances and products.
+                far = np.sqrt(batch["far"].to_numpy(zero_copy_only=False).astype(np.float64)) * reach * (1 + 1e-9) + 1e-9
+                radius = np.where(np.isnan(far)[:, None], 0.0, far[:, None] * np.linalg.norm(normals, axis=0) / width)
+                radius = radius + batch["steps"].to_numpy()[:, None]
+                low, high = np.floor(places - radius), np.floor(places + radius)
+                named = []
+                for i in range(len(x)):
+                    if np.prod(high[i] - low[i] + 1) > most:
+                        named.append([None] if known is None else known)
+                        continue
+                    axes = [np.arange(a, b + 1, dtype=np.int64) * f for a, b, f in zip(low[i].astype(np.int64), high[i].astype(np.int64), mix)]
+                    cells = np.unique(sum(np.meshgrid(*axes, indexing="ij")).ravel())
+                    named.append(cells if known is None else cells[np.isin(cells, known)])
+                lists = pa.array(named, pa.list_(pa.int64()))
+                rows = np.repeat(np.arange(len(x)), [len(c) for c in named])
+                taken = batch.select(["query_id", "vector"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*taken.columns, lists.flatten()], names=["query_id", "vector", "cell"])
+
+    return df.mapInArrow(boxes, schema)
+
+
 def _broadcast_cells(index: DataFrame, probes: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Scan only the probed cells and keep a local top k; the queries are small enough to send."""
     table = probes.toArrow()  # size checked by the caller

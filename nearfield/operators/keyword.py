@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import text as X
 from nearfield.operators.knn import small, top_k
 from nearfield.session import staged
+from nearfield.sources import generations
 
 K1, B = 1.2, 0.75
 _EXPANSIONS = 5_000  # matched terms up to which a pattern becomes a list of terms
@@ -64,7 +65,24 @@ class TextIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"))
+        """A stored index, all its generations read as one.
+
+        Lexicon totals of generations add up. Documents marked as deleted in a later generation
+        than their postings stay out of the search; the totals have lost them already.
+        """
+        entries = generations.counting(spark, path).select("generation", "n_out").collect()
+        known = [r["generation"] for r in entries]
+        of = lambda table: spark.read.parquet(f"{path}/{table}").filter(F.col("generation").isin(known))
+        postings, lexicon = of("postings"), of("lexicon")
+        if len(known) > 1:
+            sums = (F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            lexicon = lexicon.groupBy("field", "term").agg(*sums).filter("n_docs > 0")
+        n_marks = sum(r["n_out"] for r in entries)
+        if n_marks:
+            marks = of("deleted").select(F.col("doc_id").alias("_gone"), F.col("generation").alias("_since"))
+            gone = (F.col("doc_id") == F.col("_gone")) & (F.col("generation") < F.col("_since"))
+            postings = postings.join(small(marks, n_marks), gone, "left_anti")
+        return TextIndex(postings.drop("generation"), lexicon.drop("generation"))
 
 
 def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id") -> TextIndex:
@@ -96,28 +114,80 @@ def store_index(docs: DataFrame, fields: Sequence[str], path: str, files: int, i
 
     The one shuffle carries folded postings, ranged on (field, term, document): a frequent term
     spans many files. Postings are staged before that, because range partitioning reads its input
-    twice. The lexicon is counted from the stored postings.
+    twice. The lexicon is counted from the stored postings. An index that was there before is
+    replaced at once, when the new one is complete.
     """
+    spark = docs.sparkSession
     postings = staged(build_index(docs, fields, id_col).postings, "postings")
-    ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-    ranged.write.mode("overwrite").parquet(f"{path}/postings")
+    return _add_generation(spark, path, postings, files, folds=tuple(generations.live(spark, path)))
+
+
+def append_index(
+    docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id", replace_docs: bool = False
+) -> TextIndex:
+    """Add documents to a stored index as a generation of their own; no file of it is rewritten.
+
+    With ``replace_docs`` the documents take the place of those with the same ids.
+    """
     spark = docs.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    counts = stored.groupBy("field", "term").agg(
-        F.count("*").alias("n_docs"),
-        F.sum("doc_len").alias("n_tokens"),
-        F.sum("tf").alias("_tf"),
-        F.count_if("leads").alias("_leads"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), *fields)
+    postings = staged(build_index(rows, fields).postings, "postings")
+    return _add_generation(spark, path, postings, files, marks=rows.select("doc_id") if replace_docs else None)
+
+
+def delete_documents(ids: DataFrame, path: str) -> TextIndex:
+    """Take the documents with the ids ``(doc_id)`` out of a stored index.
+
+    Marks are written, no postings are. One scan of the postings finds what the documents have
+    added to the lexicon; a generation with negative counts takes it back.
+    """
+    spark = ids.sparkSession
+    return _add_generation(spark, path, TextIndex.load(spark, path).postings.limit(0), 1, marks=ids.select("doc_id"))
+
+
+def compact_index(spark: SparkSession, path: str, files: int) -> TextIndex:
+    """Fold all generations of a stored index into one, without the deleted documents."""
+    live = generations.live(spark, path)
+    if len(live) < 2:
+        return TextIndex.load(spark, path)
+    return _add_generation(spark, path, TextIndex.load(spark, path).postings, files, folds=tuple(live))
+
+
+def _add_generation(
+    spark: SparkSession, path: str, postings: DataFrame, files: int, marks: DataFrame | None = None, folds: tuple[int, ...] = ()
+) -> TextIndex:
+    number = generations.highest(spark, path) + 1
+    ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+    ranged.write.mode("overwrite").parquet(f"{path}/postings/generation={number}")
+    counts = _counted(spark.read.parquet(f"{path}/postings/generation={number}"), 1)
+    n_marks = 0
+    if marks is not None:
+        marks = staged(marks.distinct(), "marks")
+        n_marks = marks.count()
+        marks.coalesce(max(1, n_marks // 1_000_000)).write.mode("overwrite").parquet(f"{path}/deleted/generation={number}")
+        before = TextIndex.load(spark, path).postings
+        counts = counts.unionByName(_counted(before.join(small(marks, n_marks), "doc_id", "left_semi"), -1))
+        sums = (F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "_tf", "_leads"))
+        counts = counts.groupBy("field", "term").agg(*sums)
     counts = staged(counts, "lexicon")
     totals = counts.groupBy("field").agg(F.sum("_leads").alias("n_docs"), F.sum("_tf").alias("n_tokens"))
-    totals = totals.withColumn("term", F.lit(FIELD_TOTALS))
+    totals = staged(totals.withColumn("term", F.lit(FIELD_TOTALS)), "totals")
     lexicon = counts.drop("_tf", "_leads").unionByName(totals)
     lexicon = lexicon.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-    lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+    lexicon.write.mode("overwrite").parquet(f"{path}/lexicon/generation={number}")
+    n_docs = totals.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    generations.enter(spark, path, number, n_docs, n_marks, folds)
     return TextIndex.load(spark, path)
 
 
+def _counted(postings: DataFrame, sign: int) -> DataFrame:
+    """What postings add to the lexicon, or take from it."""
+    counts = postings.groupBy("field", "term").agg(
+        F.count("*").alias("n_docs"), F.sum("doc_len").alias("n_tokens"), F.sum("tf").alias("_tf"), F.count_if("leads").alias("_leads")
+    )
+    return counts.select("field", "term", *((F.col(c) * sign).alias(c) for c in ("n_docs", "n_tokens", "_tf", "_leads")))
+
+
 def _fold_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token lists to one row per distinct term of each list, with its positions in order."""
     for whole in batches:
@@ -164,6 +234,8 @@ class Clause:
     transpositions: bool = True
     inclusive: tuple[bool, bool] = (True, True)
     terms: tuple[str, ...] = ()
+    parts: tuple[Clause, ...] = ()
+    at_least: int | None = None
 
 
 def match(text: str, field: str | None = None, boost: float = 1.0) -> Clause:
@@ -205,6 +277,17 @@ def term_range(
     return Clause("range", low.lower(), field, boost, high=high.lower(), inclusive=inclusive)
 
 
+def group(*clauses: Clause, at_least: int | None = None, boost: float = 1.0) -> Clause:
+    """Clauses that count as one, groups among them; scores the sum of its matches times the boost.
+
+    It matches where all its ``must`` clauses do, none of its ``must_not`` clauses and at least
+    ``at_least`` of the others: by default one, or none beside a ``must`` clause.
+    """
+    if not clauses:
+        raise ValueError("a group needs clauses")
+    return Clause("group", "", boost=boost, parts=clauses, at_least=at_least)
+
+
 def must(clause: Clause) -> Clause:
     return replace(clause, occur="must")
 
@@ -266,15 +349,16 @@ def search(
 ) -> DataFrame:
     """Best n documents of every query: ``(query_id, doc_id, rank, score)``, ties by id.
 
-    A document must match every ``must`` clause, no ``must_not`` clause and, when there is no
+    The clauses of a query are a ``group``, and groups may hold groups. A document must match every ``must`` clause, no ``must_not`` clause and, when there is no
     ``must`` clause, at least one other. Scores of matched clauses add up. ``compact_norms``
     scores with field lengths cut to a one-byte norm.
     """
-    literal, patterns = _plan(index, queries, field)
+    literal, patterns, trees = _plan(index, queries, field)
+    grouped = any(c.kind == "group" for clauses in queries.values() for c in clauses)
     # A query of one clause has one hit per document already, so nothing needs to be summed.
     units = {(r[0], r[1]) for r in literal} | {row[:2] for row, _ in patterns}
     excludes = any(r[3] == "must_not" for r in literal) or any(c.occur == "must_not" for _, c in patterns)
-    lone = not excludes and len(units) == len({q for q, _ in units})
+    lone = not grouped and not excludes and len(units) == len({q for q, _ in units})
     weights = _weights(index, literal)
     parts = []
     if weights is not None:
@@ -332,7 +416,9 @@ def search(
     if not parts:
         raise ValueError("no query holds a clause that can match")
     hits = reduce(DataFrame.unionByName, parts)
-    if not lone:
+    if grouped:
+        hits = _evaluated(hits, trees)
+    elif not lone:
         hits = _combined(hits)
     # Sums arrive in any order; single floats keep equal documents equal, so ties go by id, and
     # unlike a fixed number of decimals they tell scores apart however small those are.
@@ -375,6 +461,50 @@ def _combined(hits: DataFrame) -> DataFrame:
     return merged.filter("_not = 0 AND _must = _need AND (_need > 0 OR _should > 0)")
 
 
+@dataclass(frozen=True)
+class _Node:
+    """A clause in the tree of its query: a number of the query's hits, or a group of nodes."""
+
+    occur: str
+    clause: int | None = None
+    parts: tuple[_Node, ...] = ()
+    at_least: int | None = None
+    boost: float = 1.0
+
+    def size(self) -> int:
+        return 1 if self.clause is not None else sum(p.size() for p in self.parts)
+
+
+def _evaluated(hits: DataFrame, trees: Mapping[object, _Node]) -> DataFrame:
+    """Clause hits to the documents whose query's tree is true, with the tree's score.
+
+    One aggregation turns the hits of a document into a row with a column per clause; the trees are
+    then expressions over it, evaluated from the leaves up.
+    """
+    width = max(t.size() for t in trees.values())
+    columns = [F.max(F.when(F.col("clause") == i, F.col("score"))).alias(f"_s{i}") for i in range(width)]
+    rows = hits.groupBy("query_id", "doc_id").agg(*columns)
+    values = {q: _value(t) for q, t in trees.items()}
+    ok = reduce(lambda a, q: a.when(F.col("query_id") == q, values[q][0]), trees, F)
+    score = reduce(lambda a, q: a.when(F.col("query_id") == q, values[q][1]), trees, F)
+    return rows.filter(ok.otherwise(False)).withColumn("score", score).select("query_id", "doc_id", "score")
+
+
+def _value(node: _Node) -> tuple[Column, Column]:
+    """Whether a node matches, and its score where it does."""
+    if node.clause is not None:
+        hit = F.col(f"_s{node.clause}")
+        return hit.isNotNull(), F.coalesce(hit, F.lit(0.0))
+    parts = [(p.occur, *_value(p)) for p in node.parts]
+    of = lambda occur: [ok for o, ok, _ in parts if o == occur]
+    musts, shoulds, nots = of("must"), of("should"), of("must_not")
+    least = node.at_least if node.at_least is not None else (0 if musts else 1)
+    met = sum((ok.cast("int") for ok in shoulds), F.lit(0)) >= least
+    ok = reduce(lambda a, b: a & b, [met, *musts, *(~x for x in nots)]) if musts or shoulds else F.lit(False)
+    total = sum((F.when(ok, score).otherwise(0.0) for o, ok, score in parts if o != "must_not"), F.lit(0.0))
+    return ok, total * node.boost
+
+
 def _any_of(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -387,33 +517,48 @@ def _terms_by_field(literal: Sequence[tuple]) -> list[tuple[str, set[str]]]:
 
 
 def _plan(index: TextIndex, queries: Mapping[object, Sequence[Clause]], field: str):
-    """Analysed clauses: one row per typed token, and the pattern clauses with their query."""
-    flat = [(q, replace(c, field=c.field or field)) for q, clauses in queries.items() for c in clauses]
+    """Analysed clauses: one row per typed token, the pattern clauses, and the tree of each query.
+
+    Clauses that hit are numbered from 0 within their query, every token of a ``match`` being one.
+    """
+
+    def leaves(c: Clause) -> Iterator[Clause]:
+        for part in c.parts if c.kind == "group" else (c,):
+            yield from leaves(part) if part.kind == "group" else (part,)
+
+    flat = [(q, replace(leaf, field=leaf.field or field)) for q, clauses in queries.items() for c in clauses for leaf in leaves(c)]
     if not flat:
         raise ValueError("no clauses")
     spark = index.postings.sparkSession
     texts = spark.createDataFrame([(i, c.text) for i, (_, c) in enumerate(flat)], "i int, text string")
     tokens = {r["i"]: r["tokens"] for r in texts.select("i", X.tokenize(F.col("text")).alias("tokens")).collect()}
-    units: list[tuple[object, Clause, list[str]]] = []
-    for i, (q, c) in enumerate(flat):
+    units: dict[object, list[tuple[Clause, list[str]]]] = {q: [] for q in queries}
+    following = iter(enumerate(flat))
+
+    def nodes(c: Clause) -> list[_Node]:
+        if c.kind == "group":
+            return [_Node(c.occur, None, tuple(n for p in c.parts for n in nodes(p)), c.at_least, c.boost)]
+        i, (q, c) = next(following)
         if c.kind == "match" and c.occur != "should" and len(tokens[i]) > 1:
             raise ValueError("a must or must_not match clause takes one token; use phrase or several clauses")
         if c.kind == "match":
-            units += [(q, c, [t]) for t in tokens[i]]
-        elif c.kind == "phrase":
-            units.append((q, c, tokens[i])) if tokens[i] else None
+            own = [[t] for t in tokens[i]]
         else:
-            units.append((q, c, []))
-    need: dict[object, int] = {}
-    for q, c, _ in units:
-        need[q] = need.get(q, 0) + (c.occur == "must")
+            own = [tokens[i] if c.kind == "phrase" else []] if tokens[i] or c.kind != "phrase" else []
+        first = len(units[q])
+        units[q] += [(c, terms) for terms in own]
+        return [_Node(c.occur, first + k) for k in range(len(own))]
+
+    trees = {q: _Node("should", None, tuple(n for c in clauses for n in nodes(c))) for q, clauses in queries.items()}
     literal, patterns = [], []
-    for clause, (q, c, terms) in enumerate(units):
-        if c.kind not in ("match", "phrase"):
-            patterns.append(((q, clause, need[q]), c))
-        for offset, term in enumerate(terms):
-            literal.append((q, clause, c.kind, c.occur, need[q], c.field, term, offset, len(terms), float(c.boost)))
-    return literal, patterns
+    for q, own in units.items():
+        need = sum(c.occur == "must" for c, _ in own)
+        for clause, (c, terms) in enumerate(own):
+            if c.kind not in ("match", "phrase"):
+                patterns.append(((q, clause, need), c))
+            for offset, term in enumerate(terms):
+                literal.append((q, clause, c.kind, c.occur, need, c.field, term, offset, len(terms), float(c.boost)))
+    return literal, patterns, trees
 
 
 def _weights(index: TextIndex, literal: Sequence[tuple]) -> DataFrame | None:

@@ -152,6 +152,39 @@ def keyword_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return _search(part_index(spark, sf), {"q": clauses})
 
 
+def keyword_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups in groups: two of three words, beside a group that asks for one and refuses another."""
+    rude = K.must(K.group(K.match("trash idiot worthless"), at_least=2))
+    plain = K.group(K.must(K.match("the")), K.must_not(K.group(K.match("under"), K.prefix("thean"))), boost=2.0)
+    either = [K.group(K.phrase("of the"), K.must(K.match("and"))), K.group(K.must(K.match("trash")), K.match("under"))]
+    return _search(text_index(spark, sf), {"q": [rude, plain], "either": either}, field="text")
+
+
+def _grown(spark: SparkSession, sf: str) -> K.TextIndex:
+    """An index stored with two thirds of the documents, given the others and rid of some.
+
+    Even ids come first, and with them wrong texts of the ids that end in 5; all ids but the even
+    ones are appended, replacing those, and the ids that end in 2 are deleted at last.
+    """
+    docs = documents(spark, sf)
+    path = scratch_path(spark, "grown-index")
+    wrong = docs.filter("doc_id % 10 = 5").withColumn("text", F.concat(F.lit("trash trash "), F.col("text")))
+    K.store_index(docs.filter("doc_id % 2 = 0").unionByName(wrong), ["text"], path, files=4)
+    K.append_index(docs.filter("doc_id % 2 = 1"), ["text"], path, files=4, replace_docs=True)
+    return K.delete_documents(docs.filter("doc_id % 10 = 2").select("doc_id"), path)
+
+
+def keyword_append(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(_grown(spark, sf), {q: [K.match(t)] for q, t in OR_QUERIES.items()}, field="text")
+
+
+def appended_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies and totals of a grown index, as its generations add up."""
+    grown = _grown(spark, sf)
+    totals = grown.stats().select(F.lit("").alias("term"), F.col("n_docs").alias("n"), "total_len")
+    return grown.terms().select("term", F.col("doc_freq").alias("n"), F.lit(None).cast("long").alias("total_len")).unionByName(totals)
+
+
 def keyword_hits_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Hits with their stored fields, as a result list shows them."""
     parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type")
@@ -181,6 +214,9 @@ QUERIES = {
         keyword_range,
         keyword_fields_boost,
         keyword_mixed,
+        keyword_group,
+        keyword_append,
+        appended_lexicon,
         keyword_hits_lookup,
     )
 }
@@ -213,6 +249,7 @@ def _analysed(*sources: tuple[str, str, str]) -> str:
 )"""
 
 
+_LEFT = "(SELECT * FROM documents WHERE doc_id % 10 <> 2)"
 _TEXT = f"WITH {_analysed(('text', 'documents', 'doc_id'))}"
 _PART = f"WITH {_analysed(('p_name', 'part', 'p_partkey'), ('p_type', 'part', 'p_partkey'))}"
 _IDF = "ln(1 + (n_docs - doc_freq + 0.5::DOUBLE) / (doc_freq + 0.5::DOUBLE))"
@@ -320,6 +357,24 @@ FROM typed JOIN post USING (field, term) JOIN df USING (field, term) GROUP BY do
   WHERE field = 'p_name' AND term BETWEEN 'blue' AND 'cold'
 ) {_ranked('''SELECT query_id, doc_id, sum(score) AS score FROM parts GROUP BY query_id, doc_id
 HAVING count_if(occur = 'must') = 1 AND count_if(occur = 'not') = 0''')}""",
+    "keyword_group": f"""{_TEXT}, words AS (
+  SELECT doc_id, term, {_IDF} * {_tf('tf')} AS s FROM post JOIN df USING (field, term) WHERE term IN ('trash', 'idiot', 'worthless', 'the', 'under', 'and')
+), w AS (
+  SELECT doc_id, {", ".join(f"max(s) FILTER (term = '{t}') AS {t}_" for t in ("trash", "idiot", "worthless", "the", "under", "and"))}
+  FROM words GROUP BY doc_id
+), pre AS (SELECT DISTINCT doc_id FROM post WHERE term LIKE 'thean%'),
+ph AS ({_phrase('either', 'of the', 'text')}),
+d AS (
+  SELECT w.*, pre.doc_id IS NOT NULL AS pre_, ph.score AS ph_ FROM w LEFT JOIN pre USING (doc_id) LEFT JOIN ph USING (doc_id)
+) {_ranked('''SELECT 'q' AS query_id, doc_id, coalesce(trash_, 0) + coalesce(idiot_, 0) + coalesce(worthless_, 0)
+    + CASE WHEN the_ IS NOT NULL AND under_ IS NULL AND NOT pre_ THEN 2 * the_ ELSE 0 END AS score
+  FROM d WHERE (trash_ IS NOT NULL)::INT + (idiot_ IS NOT NULL)::INT + (worthless_ IS NOT NULL)::INT >= 2
+  UNION ALL SELECT 'either', doc_id, CASE WHEN and_ IS NOT NULL THEN and_ + coalesce(ph_, 0) ELSE 0 END
+    + CASE WHEN trash_ IS NOT NULL THEN trash_ + coalesce(under_, 0) ELSE 0 END
+  FROM d WHERE and_ IS NOT NULL OR trash_ IS NOT NULL''')}""",
+    "keyword_append": f"WITH {_analysed(('text', _LEFT, 'doc_id'))}, {_values(OR_QUERIES)} {_ranked(_bm25_sum())}",
+    "appended_lexicon": f"""WITH {_analysed(('text', _LEFT, 'doc_id'))}
+SELECT term, doc_freq AS n, NULL::BIGINT AS total_len FROM df UNION ALL SELECT '', n_docs, total_len::BIGINT FROM totals""",
     "keyword_hits_lookup": f"""{_PART}, hits AS ({_ranked(f'''SELECT 'q' AS query_id, doc_id, {_IDF} * {_tf('tf')} AS score
 FROM post JOIN df USING (field, term) WHERE field = 'p_name' AND term = 'anvil' ''')})
 SELECT rank, doc_id, p_name, p_type FROM hits JOIN part ON p_partkey = doc_id""",

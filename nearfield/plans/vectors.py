@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
-from nearfield.operators import ann, bounds, recall
+from nearfield.operators import ann, bounds, pivot_tree, recall
 from nearfield.operators.knn import knn
 from nearfield.session import scratch_path
-from nearfield.sources import tables, vector_files
+from nearfield.sources import cell_index, tables, vector_files
 from nearfield.streaming import ingest
 
 K = 5
 PIVOTS, NPROBE = 10, 4
+TRAIN_ROUNDS = 3
+LEAVES, ROOTS, NROOTS = 60, 8, 3
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,14 +152,24 @@ def ann_pivot_int8(spark: SparkSession, sf: str) -> DataFrame:
 
 def ann_trained_pivots(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
-    pivots = ann.train_pivots(docs, PIVOTS)
+    pivots = ann.train_pivots(docs, ann.sample_pivots(docs, PIVOTS), TRAIN_ROUNDS)
     hits = ann.ann_search(ann.assign_cells(docs, pivots), as_queries(docs), pivots, K, NPROBE)
     return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
 
 
+def ann_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels of pivots; the index is stored by root and reads the probed roots only."""
+    docs = corpus(spark, sf)
+    tree = pivot_tree.build_tree(pivot_tree.hash_pivots(docs, LEAVES), ROOTS)
+    path = scratch_path(spark, "tree")
+    pivot_tree.write_tree_index(pivot_tree.assign_leaves(docs, tree), path)
+    hits = pivot_tree.tree_search(spark.read.parquet(path), as_queries(docs), tree, K, NROOTS, NPROBE)
+    return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
+
+
 def ann_lsh(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
-    hits = ann.hashed_search(ann.hashed_cells(docs), as_queries(docs), K, nprobe=7)
+    hits = ann.filled_search(ann.hashed_cells(docs), as_queries(docs), K, nprobe=7)
     return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
 
 
@@ -251,7 +262,21 @@ def stream_ingest_ann(spark: SparkSession, sf: str) -> DataFrame:
         source, f"{path}/table", f"{path}/bounds", f"{path}/log", frozen["vmin"], frozen["vmax"], pivots
     )
     run.awaitTermination()
-    hits = ann.ann_search(spark.read.parquet(f"{path}/table"), as_queries(docs), pivots, K, NPROBE)
+    hits = ann.ann_search(cell_index.read_index(spark, f"{path}/table"), as_queries(docs), pivots, K, NPROBE)
+    return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
+
+
+def cell_index_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that grew by two batches, one of them twice, was folded, and grew again."""
+    docs = corpus(spark, sf)
+    pivots = ann.sample_pivots(docs, PIVOTS)
+    assigned = ann.assign_cells(docs, pivots)
+    path = scratch_path(spark, "cells")
+    for number, part in ((0, 0), (1, 1), (1, 1)):
+        cell_index.write_generation(assigned.filter(F.col("doc_id") % 3 == part), path, number)
+    cell_index.compact(spark, path)
+    cell_index.write_generation(assigned.filter(F.col("doc_id") % 3 == 2), path, 2)
+    hits = ann.ann_search(cell_index.read_index(spark, path), as_queries(docs), pivots, K, NPROBE)
     return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
 
 
@@ -288,6 +313,7 @@ QUERIES = {
         ann_pivot_stored,
         ann_pivot_int8,
         ann_trained_pivots,
+        ann_tree,
         ann_lsh,
         cell_sizes,
         recall_int8_vs_float,
@@ -301,6 +327,7 @@ QUERIES = {
         storage_footprint,
         stream_ingest_int8,
         stream_ingest_ann,
+        cell_index_compacted,
         stream_observed_bounds,
     )
 }
@@ -363,21 +390,50 @@ def _recall(truth: str, candidate: str, n: str = "count(DISTINCT t.query_id)") -
 FROM {truth} t LEFT JOIN {candidate} c ON t.query_id = c.query_id AND t.doc_id = c.doc_id"""
 
 
-def _projected(projections: int = 3, seed: int = 17, dim: int = 64) -> str:
-    """Hits among vectors whose steps differ by one in one projection at most."""
-    draws = np.random.default_rng(seed)
-    draws.integers(1, 2**62, projections)  # the engine draws its bucket factors first
-    normals = draws.standard_normal((dim, projections)).T.tolist()
-    dot = "list_sum(list_transform(list_zip(v, {}), lambda z: z[1] * z[2]))"
-    steps = ", ".join(f"floor({dot.format(normal)}) AS s{j}" for j, normal in enumerate(normals))
-    moved = " + ".join(f"abs(q.s{j} - c.s{j})" for j in range(projections))
-    return f"""stepped AS (SELECT id, v, {steps} FROM fl), pairs AS (
+def _trained(rounds: int = TRAIN_ROUNDS) -> str:
+    """Rounds of assignment and means, each on the centres of the one before."""
+    steps = [f"c0 AS (SELECT id AS cell, v FROM fl ORDER BY md5(id::VARCHAR), id LIMIT {PIVOTS})"]
+    for i in range(rounds):
+        steps.append(f"""a{i} AS (
+  SELECT id, f.v, cell FROM fl f, c{i} c QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_dist('f.v', 'c.v')}, cell) = 1
+), m{i} AS (
+  SELECT cell, list((s / n)::FLOAT::DOUBLE ORDER BY j) AS v FROM (
+    SELECT cell, j, sum(x) AS s, count(*) AS n FROM (SELECT cell, generate_subscripts(v, 1) AS j, unnest(v) AS x FROM a{i}) GROUP BY cell, j
+  ) GROUP BY cell
+), c{i + 1} AS (SELECT cell, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cell))""")
+    return ", ".join(steps)
+
+
+def _within(cells: str) -> str:
+    """Hits among rows of the probed cells: ``near (id, v, cell, n)`` has them in order."""
+    return f"""near AS (
+  SELECT f.id, f.v, p.cell, row_number() OVER (PARTITION BY f.id ORDER BY {_dist('f.v', 'p.v')}, p.cell) AS n FROM fl f, {cells} p
+), pairs AS (
   SELECT q.id AS query_id, c.id AS doc_id, {_dist('q.v', 'c.v')} AS dist_sq
-  FROM stepped q JOIN stepped c ON {moved} <= 1
+  FROM near q JOIN near c ON q.cell = c.cell WHERE q.n <= {NPROBE} AND c.n = 1
 ), hits AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, doc_id) AS rank FROM pairs
-  ) WHERE rank <= {K}
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, doc_id) AS rank FROM pairs QUALIFY rank <= {K}
+)"""
+
+
+_TREE = f"""chosen AS (
+  SELECT min(id) AS cell, v FROM fl, (SELECT count(*) AS total FROM fl)
+  WHERE total <= {LEAVES} OR md5(id::VARCHAR) < printf('%08x', floor({float(LEAVES)} / total * 16 ** 8)::BIGINT) GROUP BY v
+), roots AS (SELECT cell AS root, v FROM chosen ORDER BY md5(cell::VARCHAR), cell LIMIT {ROOTS}),
+leaves AS (
+  SELECT c.cell, c.v, r.root FROM chosen c, roots r
+  QUALIFY row_number() OVER (PARTITION BY c.cell ORDER BY {_dist('c.v', 'r.v')}, r.root) = 1
+), by_root AS (
+  SELECT f.id, f.v, r.root, row_number() OVER (PARTITION BY f.id ORDER BY {_dist('f.v', 'r.v')}, r.root) AS n FROM fl f, roots r
+), homes AS (
+  SELECT f.id, f.v, l.cell FROM by_root f JOIN leaves l ON f.n = 1 AND f.root = l.root
+  QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY {_dist('f.v', 'l.v')}, l.cell) = 1
+), probes AS (
+  SELECT f.id, f.v, l.cell FROM by_root f JOIN leaves l ON f.n <= {NROOTS} AND f.root = l.root
+  QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY {_dist('f.v', 'l.v')}, l.cell) <= {NPROBE}
+), hits AS (
+  SELECT q.id AS query_id, c.id AS doc_id, {_dist('q.v', 'c.v')} AS dist_sq FROM probes q JOIN homes c USING (cell)
+  QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {_dist('q.v', 'c.v')}, c.id) <= {K}
 )"""
 
 
@@ -429,8 +485,12 @@ SELECT query_id, label, rank, round(dist_sq, 6) AS dist_sq FROM (
     "ann_pivot_stored": f"{_PIVOT_KNN} SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits",
     "ann_pivot_int8": f"""WITH {_INT8}, {_pivoted('hits', 'i8', 'BIGINT')}
 SELECT query_id, doc_id, rank, dist_sq FROM hits""",
-    "ann_lsh": f"""WITH {_FLOATS}, {_projected()}
+    "ann_trained_pivots": f"""WITH {_FLOATS}, {_trained()}, {_within(f'c{TRAIN_ROUNDS}')}
 SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits""",
+    "ann_tree": f"""WITH {_FLOATS}, {_TREE} SELECT query_id, doc_id,
+  row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, doc_id) AS rank, round(dist_sq, 6) AS dist_sq FROM hits""",
+    # The last box holds every row that can be nearer, so the buckets' search is the exact one.
+    "ann_lsh": f"{_FLOAT_KNN} SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits",
     "cell_sizes": f"{_PIVOT_KNN} SELECT cell, count(*) AS n FROM near WHERE n = 1 GROUP BY cell",
     "recall_int8_vs_float": f"{_BOTH_KNN} {_recall('f', 'i')}",
     "recall_ann_vs_exact": f"WITH {_FLOATS}, {_exact('f', 'fl')}, {_pivoted('a', 'fl')} {_recall('f', 'a')}",
@@ -450,6 +510,7 @@ SELECT query_id, count(*) AS n_common FROM common GROUP BY query_id""",
   sum(len(embedding) * 4)::DOUBLE / sum(len(embedding)) AS ratio FROM embeddings""",
     "stream_ingest_int8": _QUANTIZED,
     "stream_ingest_ann": f"{_PIVOT_KNN} SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits",
+    "cell_index_compacted": f"{_PIVOT_KNN} SELECT query_id, doc_id, rank, round(dist_sq, 6) AS dist_sq FROM hits",
     "stream_observed_bounds": f"""WITH {_BOUNDS}
 SELECT (SELECT count(*) FROM embeddings) AS n_rows, 0::BIGINT AS n_rejected, vmin, vmax,
   vmin < -0.25::FLOAT OR vmax > 0.25::FLOAT AS drifted FROM b""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearfield.functions import vectors as V
 from nearfield.operators.ann import assign_cells
-from nearfield.operators.bounds import vector_bounds
+from nearfield.operators.knn import vectors_size
+from nearfield.sources import cell_index
 
 
 def stream_ingest(
@@ -20,27 +21,41 @@ def stream_ingest(
     vmax: float,
     pivots: DataFrame | None = None,
     overflow: str = "clamp",
+    dim: int | None = None,
 ) -> StreamingQuery:
     """Quantize a stream of ``(doc_id, vector, …)`` rows and append it, batch by batch.
 
     Each micro-batch overwrites its own ``batch_id`` partition, so a batch that is replayed after
-    a failure leaves the same rows once. Rows without a searchable vector stay out and are
-    counted; the counts and the batch's own bounds are recorded next to it, see
-    ``observed_bounds``. With ``pivots`` every row also gets its index cell. Runs until the
-    available files are taken; a later call with the same checkpoint goes on from there.
+    a failure leaves the same rows once. Rows without a searchable vector, or of another dimension
+    than ``dim``, stay out and are counted; the counts and the batch's own bounds are recorded next
+    to it, see ``observed_bounds``. All of that comes from one pass over the batch. With ``pivots``
+    every row gets its index cell, ``dim`` is theirs, and ``table`` is a ``cell_index`` whose
+    generations are the batches. Runs until the available files are taken; a later call with the
+    same checkpoint goes on from there.
     """
+    if pivots is not None and dim is None:
+        dim = vectors_size(pivots)["dim"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        accepted, _ = V.split_valid(batch)
-        quantized = accepted.withColumn(
+        seen = Observation()
+        ok = V.is_valid(F.col("vector"), dim)
+        good = F.when(ok, F.col("vector"))
+        tested = batch.observe(
+            seen,
+            F.count_if(ok).alias("n_rows"),
+            F.count_if(~ok).alias("n_rejected"),
+            F.min(F.array_min(good)).alias("vmin"),
+            F.max(F.array_max(good)).alias("vmax"),
+        )
+        quantized = tested.filter(ok).withColumn(
             "qvector", V.quantize_int8_batches(F.col("vector"), F.lit(vmin), F.lit(vmax), overflow)
         )
-        rows = assign_cells(quantized, pivots) if pivots is not None else quantized
-        _put(rows, table, batch_id)
-        ok = V.is_valid(F.col("vector"))
-        tested = batch.select(F.when(ok, F.col("vector")).alias("vector"), ok.alias("ok"))
-        counts = (F.count_if("ok").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_rejected"))
-        _put(vector_bounds(tested, "vector", *counts), bounds_table, batch_id)
+        if pivots is not None:
+            cell_index.write_generation(assign_cells(quantized, pivots), table, batch_id, lambda: seen.get["n_rejected"])
+        else:
+            _put(quantized, table, batch_id)
+        entry = [tuple(seen.get[name] for name in ("vmin", "vmax", "n_rows", "n_rejected"))]
+        _put(batch.sparkSession.createDataFrame(entry, "vmin float, vmax float, n_rows long, n_rejected long"), bounds_table, batch_id)
 
     return (
         source.writeStream.foreachBatch(write)
