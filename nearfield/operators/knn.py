@@ -1,27 +1,32 @@
 """Exact k-nearest-neighbour search of a batch of queries over a corpus of vectors.
 
 The corpus stays where it is. A query batch of checked size is broadcast and every task keeps a
-local top k, so the shuffle carries k rows per query and task. A larger batch is cut into blocks
-and joined fragment by fragment with hashed chunks of the corpus, so no task, group or driver
-ever holds a whole side. Both ways return the same rows.
+local top k, so the shuffle carries k rows per query and task. A larger batch is cut into blocks of
+that size, for each of which the corpus is scanned in place; no vector of the corpus is shuffled.
+Only a corpus that is itself no larger than a chunk is sent to the blocks of such a batch. So no
+task, group or driver ever holds a large side, and all ways return the same rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions import vectors as V
 from nearfield.operators.kernel import LocalTopK, RunningTopK, ids_of, matrix_of
+from nearfield.session import staged
 
 BROADCAST_BYTES = 64 << 20  # queries up to this size are broadcast
-CHUNK_BYTES = 128 << 20  # corpus bytes in one fragment of the partitioned way
+CHUNK_BYTES = 128 << 20  # corpus bytes in one fragment, and of a corpus that is sent to query blocks
+_MERGED = 32  # parts in which the hits of many tasks are first merged
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank_col: str = "rank") -> DataFrame:
@@ -81,16 +86,37 @@ def knn(
     schema = _hit_schema(corpus, queries, integral)
     size = vectors_size(queries)
     if size["bytes"] <= broadcast_bytes:
-        hits = _broadcast_search(corpus, queries, k, schema, per_owner)
-    else:
-        n_blocks = math.ceil(size["bytes"] / broadcast_bytes)
-        n_chunks = max(1, math.ceil(corpus.count() * size["dim"] * 4 / chunk_bytes))
-        hits = fragment_search(
-            corpus, queries, k, schema, chunks=F.lit(n_chunks), blocks=F.lit(n_blocks), per_owner=per_owner
-        )
+        return rank_hits(_broadcast_search(corpus, queries, k, schema, per_owner)[0], k, size["rows"], distinct=per_owner)
+    n_blocks = math.ceil(size["bytes"] / broadcast_bytes)
+    if corpus.count() * size["dim"] * 4 > chunk_bytes:
+        return _blocked_search(corpus, queries, k, schema, n_blocks, size["rows"], per_owner)
+    hits = fragment_search(corpus, queries, k, schema, chunks=F.lit(1), blocks=F.lit(n_blocks), per_owner=per_owner)
     return rank_hits(hits, k, size["rows"], distinct=per_owner)
 
 
+def _blocked_search(
+    corpus: DataFrame, queries: DataFrame, k: int, schema: T.StructType, n_blocks: int, n_queries: int, per_owner: bool
+) -> DataFrame:
+    """Ranked hits of a query set block by block, the corpus scanned in place for each.
+
+    A block's hits are written before the next block is sent, so driver and executors hold one
+    block at a time. They are merged in two rounds: first among some of the tasks, then of all, so
+    that no task meets the k rows of every task for a query.
+    """
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    ranked = []
+    for number in range(n_blocks):
+        hits, sent = _broadcast_search(corpus, queries.filter(block_of == number), k, schema, per_owner)
+        if per_owner:
+            hits = hits.groupBy("query_id", "doc_id").agg(F.min("dist_sq").alias("dist_sq"))
+        order = [F.col("dist_sq").asc(), F.col("doc_id").asc()]
+        dealt = hits.withColumn("_part", F.spark_partition_id() % _MERGED)
+        some = top_k(dealt, k, ["query_id", "_part"], order).select("query_id", "doc_id", "dist_sq")
+        ranked.append(staged(rank_hits(some, k, n_queries), f"block{number}"))
+        sent.destroy()
+    return small(reduce(DataFrame.unionByName, ranked), n_queries * k)
+
+
 def vectors_size(df: DataFrame, vector_col: str = "vector") -> dict[str, int]:
     """Rows, widest dimension and raw bytes of a vector table, in one small aggregate."""
     row = df.agg(
@@ -135,7 +161,8 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def _broadcast_search(
     corpus: DataFrame, queries: DataFrame, k: int, schema: T.StructType, per_owner: bool
-) -> DataFrame:
+) -> tuple[DataFrame, Broadcast]:
+    """Local top k of every task, and what was sent to them."""
     table = queries.toArrow()  # size checked by the caller
     block = corpus.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), matrix_of(table["vector"])))
     arrow = arrow_schema(schema)
@@ -149,7 +176,7 @@ def _broadcast_search(
                 top.flush()
         yield hits_batch(top, query_ids, arrow)
 
-    return corpus.mapInArrow(search, schema)
+    return corpus.mapInArrow(search, schema), block
 
 
 def fragments(

@@ -158,9 +158,10 @@ def multi_vector_rows(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vector")
     docs = corpus(spark, sf).select("doc_id", F.array(F.slice(v, 1, 32), F.slice(v, 33, 32)).alias("vectors"))
     children = tables.explode_vectors(docs)
-    queries = children.filter("vec_no = 1").select(F.col("doc_id").alias("query_id"), "vector")
+    queries = children.select((F.col("doc_id") * 2 + F.col("vec_no")).alias("query_id"), "vector")
     hits = knn(children, queries, K, per_owner=True)
-    return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
+    asked = (F.floor(F.col("query_id") / 2).alias("query_doc"), (F.col("query_id") % 2).alias("query_vec"))
+    return hits.select(*asked, "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
 
 
 def first_n_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,7 +216,7 @@ QUERIES = {
 
 _SUMS = """SELECT vec_id, len(embedding) AS dim,
   round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings"""
-_HALVES = "list_sum(list_transform(list_zip(q.v[33:64], c.v[{a}:{b}]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_HALVES = "list_sum(list_transform(list_zip(q.h, c.v[{a}:{b}]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 ORACLES = {
     "fvecs_roundtrip": _SUMS,
@@ -244,12 +245,14 @@ SELECT 0::BIGINT AS query_id, doc_id, rank, round(d, 6) AS dist_sq FROM (
     "float_parsing": "SELECT vec_id, true AS via_double, true AS direct FROM embeddings",
     "append_table": "SELECT 'title' AS title, label, count(*) AS n FROM embeddings GROUP BY label",
     "compact_table": _SUMS,
-    "multi_vector_rows": f"""WITH {_FLOATS}, pairs AS (
-  SELECT q.id AS query_id, c.id AS doc_id, least({_HALVES.format(a=1, b=32)}, {_HALVES.format(a=33, b=64)}) AS d
-  FROM fl q, fl c
+    "multi_vector_rows": f"""WITH {_FLOATS}, halves AS (
+  SELECT id, 0::BIGINT AS n, v[1:32] AS h FROM fl UNION ALL SELECT id, 1, v[33:64] FROM fl
+), pairs AS (
+  SELECT q.id AS query_doc, q.n AS query_vec, c.id AS doc_id, least({_HALVES.format(a=1, b=32)}, {_HALVES.format(a=33, b=64)}) AS d
+  FROM halves q, fl c
 )
-SELECT query_id, doc_id, rank, round(d, 6) AS dist_sq FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM pairs
+SELECT query_doc, query_vec, doc_id, rank, round(d, 6) AS dist_sq FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_doc, query_vec ORDER BY d, doc_id) AS rank FROM pairs
 ) WHERE rank <= {K}""",
     "first_n_rows": f"SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT {FIRST}",
     "row_range": f"SELECT vec_id, label FROM embeddings WHERE vec_id >= {RANGE[0]} AND vec_id < {RANGE[1]}",

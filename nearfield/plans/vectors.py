@@ -93,6 +93,13 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "doc_id", "rank", F.round(F.sqrt("dist_sq"), 6).alias("dist"))
 
 
+def knn_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """A query set in blocks of a few hundred KB; the corpus is scanned in place for each."""
+    docs = corpus(spark, sf)
+    hits = knn(docs, as_queries(docs), K, broadcast_bytes=200 << 10, chunk_bytes=64 << 10)
+    return hits.select("query_id", "doc_id", "rank", F.round(F.sqrt("dist_sq"), 6).alias("dist"))
+
+
 def knn_float_scored(spark: SparkSession, sf: str) -> DataFrame:
     hits = exact_hits(corpus(spark, sf))
     return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
@@ -303,6 +310,7 @@ QUERIES = {
         quantize_wrapped,
         query_quantize_corpus_bounds,
         knn_exact,
+        knn_blocked,
         knn_float_scored,
         knn_int8,
         knn_int8_scored,
@@ -464,6 +472,7 @@ FROM embeddings GROUP BY 1""",
   SELECT vec_id, list_transform(embedding, lambda x: (x + x)::FLOAT) AS v2 FROM embeddings
 ), quantized AS (SELECT vec_id, {_clamped('v2')} AS q FROM queries, b) {_ELEMENTS}""",
     "knn_exact": f"{_FLOAT_KNN} SELECT query_id, doc_id, rank, round(sqrt(dist_sq), 6) AS dist FROM hits",
+    "knn_blocked": f"{_FLOAT_KNN} SELECT query_id, doc_id, rank, round(sqrt(dist_sq), 6) AS dist FROM hits",
     "knn_float_scored": f"{_FLOAT_KNN} SELECT query_id, doc_id, rank, round(1 / (1 + dist_sq), 6) AS score FROM hits",
     "knn_int8": f"{_INT8_KNN} SELECT query_id, doc_id, rank, dist_sq FROM hits",
     "knn_int8_scored": f"""{_INT8_KNN}

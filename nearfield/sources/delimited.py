@@ -23,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"),
     )
     splits = lines.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(natural_key(F.col("_file")), "_start").rowsBetween(Window.unboundedPreceding, -1)
     base = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     if lines.rdd.getNumPartitions() <= _BROADCAST_SPLITS:
         base = F.broadcast(base)
@@ -31,6 +31,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select((F.col("_base") + F.col("_row") - F.col("_first")).alias("ordinal"), "value")
 
 
+def natural_key(name: Column) -> Column:
+    """A name as a sort key in which its numbers count as numbers, as far as 20 digits."""
+    parts = F.split(name, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
+    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d{1,20}$"), F.lpad(x, 20, "0")).otherwise(x))
+
+
 def _columns(value: Column) -> Column:
     """Tab-separated parts without trailing empty ones."""
     return F.split(F.regexp_replace(value, r"\t+$", ""), "\t", -1)

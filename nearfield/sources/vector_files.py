@@ -29,6 +29,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from nearfield.sources.delimited import natural_key
+
 SPLIT_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
 
@@ -258,13 +260,25 @@ def _ordinals_across_files(df: DataFrame) -> DataFrame:
     The offsets are one row per file, a list the driver already made to plan the scan.
     """
     counts = df.groupBy("file").agg((F.max("ordinal") + 1).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.orderBy(natural_key(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("file", F.coalesce(before, F.lit(0)).alias("_base"))
     return df.join(F.broadcast(base), "file").withColumn("ordinal", F.col("ordinal") + F.col("_base")).drop("_base")
 
 
+def qualified(spark: SparkSession, paths: str) -> str:
+    """A path list with the file system of each path spelled out: the session's own, unless it says."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def one(path: str) -> str:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(conf).makeQualified(place).toString()
+
+    return ",".join(one(p.strip()) for p in paths.split(","))
+
+
 def _read(spark: SparkSession, source: str, path: str, layout: str, start: int, stop: int | None) -> DataFrame:
     register(spark)
+    path = qualified(spark, path)
     reader = spark.read.format(source).option("layout", layout)
     if layout == "fixed":
         return reader.option("from", start).option("to", -1 if stop is None else stop).load(path)
@@ -304,4 +318,4 @@ def write_vecs(df: DataFrame, path: str, order_col: str, value_col: str, source:
     """Write an array column as fvecs or ivecs files; record order follows ``order_col``."""
     register(df.sparkSession)
     ranged = df.repartitionByRange(files, order_col).sortWithinPartitions(order_col)
-    ranged.select(value_col).write.format(source).mode("overwrite").save(path)
+    ranged.select(value_col).write.format(source).mode("overwrite").save(qualified(df.sparkSession, path))

@@ -35,7 +35,8 @@ def compare(spark, con, name, sf_dir):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return len(got[1]) > 0, len(got[1]), "rows only"
+        # Training-data queries that SQL can't express have brute-force tests in their own folder.
+        return name in entry.LLM_QUERIES and len(got[1]) > 0, len(got[1]), "no counterpart"
     cursor = con.execute(sql)
     want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     if got[0] != want[0]:

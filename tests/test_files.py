@@ -53,6 +53,21 @@ def test_ivecs_drops_repeats(spark, tmp_path):
     assert [r["neighbors"] for r in rows] == [[3, 1], [2], [9, 8, 7]]
 
 
+def test_numbers_in_file_names_count_as_numbers(spark, tmp_path):
+    for n in (99_999, 100_000, 7):
+        (tmp_path / f"part-{n}.tsv").write_text(f"{n}\n")
+        write_vecs(tmp_path / f"part-{n}.ivecs", [[n], [n, n]], "i")
+    lines = delimited.numbered_lines(spark, str(tmp_path / "*.tsv")).orderBy("ordinal")
+    assert [r["value"] for r in lines.collect()] == ["7", "99999", "100000"]
+    listed = ",".join(str(tmp_path / f"part-{n}.ivecs") for n in (7, 99_999, 100_000))
+    lists = vector_files.read_ivecs(spark, listed, layout="variable").orderBy("query_ordinal").collect()
+    assert [r["neighbors"][0] for r in lists] == [7, 7, 99_999, 99_999, 100_000, 100_000]
+
+
+def test_paths_without_a_scheme_are_the_session_s(spark, tmp_path):
+    assert vector_files.qualified(spark, f"{tmp_path}/a, file:/b/c") == f"file:{tmp_path}/a,file:/b/c"
+
+
 def test_write_replaces_and_keeps_order(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "o long, v array<float>").repartition(7)
     for _ in range(2):

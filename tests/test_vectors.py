@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 from nearfield.operators import ann, bounds, recall
+from nearfield.operators import knn as knn_module
 from nearfield.operators.knn import knn
 from nearfield.session import scratch_path
 from nearfield.sources.documents import vector_rows
@@ -96,6 +97,20 @@ def test_broadcast_and_partitioned_search_agree(spark):
     assert collected(one) == collected(knn(docs.repartition(17), queries_of(docs), 5))
 
 
+def test_large_query_sets_leave_the_corpus_in_place(spark, monkeypatch):
+    docs, shuffled = random_corpus(spark, 700), []
+    ranked = knn_module.rank_hits
+    monkeypatch.setattr(knn_module, "rank_hits", lambda hits, *a, **b: shuffled.append(hits) or ranked(hits, *a, **b))
+    for owner in (False, True):
+        by = docs.withColumn("doc_id", F.col("doc_id") % 90) if owner else docs
+        want = collected(knn(by, queries_of(docs), 5, per_owner=owner))
+        shuffled.clear()
+        got = knn(by, queries_of(docs), 5, per_owner=owner, broadcast_bytes=9_000, chunk_bytes=2_000)
+        assert len(shuffled) == 4 and collected(got) == want
+    columns = [line for line in shuffled[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert columns and not any("vector" in line for line in columns)
+
+
 def test_owner_search_ways_agree(spark):
     docs = random_corpus(spark).withColumn("owner", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 40))
     args = dict(id_col="owner", per_owner=True)
