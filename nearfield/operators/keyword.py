@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as X
 from nearfield.operators.knn import small, top_k
-from nearfield.session import staged
+from nearfield.session import staged, widen
 from nearfield.sources import generations
 
 K1, B = 1.2, 0.75
-_EXPANSIONS = 5_000  # matched terms up to which a pattern becomes a list of terms
+_EXPANSIONS = 5_000  # matched terms that still go into the scan filter as literals
 
 
 FIELD_TOTALS = ""  # the lexicon row of a field as a whole; no token is empty
@@ -38,6 +38,7 @@ class TextIndex:
     postings: DataFrame
     lexicon: DataFrame
     rows: DataFrame | None = None  # analysed documents of an index that is not stored
+    forms: DataFrame | None = None  # (field, kind, form, term), see ``term_forms``
 
     def matching(self, test: Column) -> DataFrame:
         """Postings whose field and term pass a test.
@@ -70,7 +71,7 @@ class TextIndex:
         Lexicon totals of generations add up. Documents marked as deleted in a later generation
         than their postings stay out of the search; the totals have lost them already.
         """
-        entries = generations.counting(spark, path).select("generation", "n_out").collect()
+        entries = generations.counting(spark, path).select("generation", "n_rows", "n_out", "has").collect()
         known = [r["generation"] for r in entries]
         of = lambda table: spark.read.parquet(f"{path}/{table}").filter(F.col("generation").isin(known))
         postings, lexicon = of("postings"), of("lexicon")
@@ -82,7 +83,10 @@ class TextIndex:
             marks = of("deleted").select(F.col("doc_id").alias("_gone"), F.col("generation").alias("_since"))
             gone = (F.col("doc_id") == F.col("_gone")) & (F.col("generation") < F.col("_since"))
             postings = postings.join(small(marks, n_marks), gone, "left_anti")
-        return TextIndex(postings.drop("generation"), lexicon.drop("generation"))
+        forms = None
+        if all("forms" in r["has"] for r in entries if r["n_rows"]) and any(r["n_rows"] for r in entries):
+            forms = of("forms").drop("generation")
+        return TextIndex(postings.drop("generation"), lexicon.drop("generation"), None, forms)
 
 
 def build_index(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id") -> TextIndex:
@@ -109,17 +113,20 @@ def _analysed(docs: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
     return rows.withColumn("doc_len", F.size("tokens").cast("long"))
 
 
-def store_index(docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id") -> TextIndex:
+def store_index(
+    docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id", forms: bool = False
+) -> TextIndex:
     """Write a text index so that a search reads only the files that hold its terms.
 
     The one shuffle carries folded postings, ranged on (field, term, document): a frequent term
     spans many files. Postings are staged before that, because range partitioning reads its input
-    twice. The lexicon is counted from the stored postings. An index that was there before is
+    twice. The lexicon is counted from the stored postings. With ``forms`` its terms are stored by
+    the forms that fuzzy and wildcard clauses look them up by. An index that was there before is
     replaced at once, when the new one is complete.
     """
     spark = docs.sparkSession
     postings = staged(build_index(docs, fields, id_col).postings, "postings")
-    return _add_generation(spark, path, postings, files, folds=tuple(generations.live(spark, path)))
+    return _add_generation(spark, path, postings, files, folds=tuple(generations.live(spark, path)), forms=forms)
 
 
 def append_index(
@@ -127,12 +134,13 @@ def append_index(
 ) -> TextIndex:
     """Add documents to a stored index as a generation of their own; no file of it is rewritten.
 
-    With ``replace_docs`` the documents take the place of those with the same ids.
+    Terms get their forms if those of the index have them. With ``replace_docs`` the documents take the place of those with the same ids.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), *fields)
     postings = staged(build_index(rows, fields).postings, "postings")
-    return _add_generation(spark, path, postings, files, marks=rows.select("doc_id") if replace_docs else None)
+    forms = TextIndex.load(spark, path).forms is not None
+    return _add_generation(spark, path, postings, files, rows.select("doc_id") if replace_docs else None, forms=forms)
 
 
 def delete_documents(ids: DataFrame, path: str) -> TextIndex:
@@ -150,11 +158,18 @@ def compact_index(spark: SparkSession, path: str, files: int) -> TextIndex:
     live = generations.live(spark, path)
     if len(live) < 2:
         return TextIndex.load(spark, path)
-    return _add_generation(spark, path, TextIndex.load(spark, path).postings, files, folds=tuple(live))
+    index = TextIndex.load(spark, path)
+    return _add_generation(spark, path, index.postings, files, folds=tuple(live), forms=index.forms is not None)
 
 
 def _add_generation(
-    spark: SparkSession, path: str, postings: DataFrame, files: int, marks: DataFrame | None = None, folds: tuple[int, ...] = ()
+    spark: SparkSession,
+    path: str,
+    postings: DataFrame,
+    files: int,
+    marks: DataFrame | None = None,
+    folds: tuple[int, ...] = (),
+    forms: bool = False,
 ) -> TextIndex:
     number = generations.highest(spark, path) + 1
     ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
@@ -175,8 +190,12 @@ def _add_generation(
     lexicon = counts.drop("_tf", "_leads").unionByName(totals)
     lexicon = lexicon.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
     lexicon.write.mode("overwrite").parquet(f"{path}/lexicon/generation={number}")
-    n_docs = totals.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    generations.enter(spark, path, number, n_docs, n_marks, folds)
+    n_rows = spark.read.parquet(f"{path}/postings/generation={number}").count()
+    if forms and n_rows:
+        made = staged(term_forms(spark.read.parquet(f"{path}/lexicon/generation={number}").filter("n_docs > 0")), "forms")
+        made = made.repartitionByRange("field", "kind", "form").sortWithinPartitions("field", "kind", "form")
+        made.write.mode("overwrite").parquet(f"{path}/forms/generation={number}")
+    generations.enter(spark, path, number, n_rows, n_marks, folds, has=("forms",) if forms and n_rows else ())
     return TextIndex.load(spark, path)
 
 
@@ -188,6 +207,57 @@ def _counted(postings: DataFrame, sign: int) -> DataFrame:
     return counts.select("field", "term", *((F.col(c) * sign).alias(c) for c in ("n_docs", "n_tokens", "_tf", "_leads")))
 
 
+_HEAD = 8  # characters of a term from which letters are left out
+_END = "\x00"  # between the end of a rotated term and its beginning; in no token
+
+
+def left_out(text: str, edits: int = 2) -> set[str]:
+    """The head of a text with up to ``edits`` letters left out.
+
+    Texts within that many edits have one of these in common: an edit in the head costs each of
+    them one letter at most, the one it changes or the one that it pushes out of the head.
+    """
+    forms = {text[:_HEAD]}
+    for _ in range(edits):
+        forms |= {f[:i] + f[i + 1 :] for f in forms for i in range(len(f))}
+    return forms
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            columns: list[list] = [[], [], [], []]
+            for field, term in zip(*(whole.slice(at, 500)[c].to_pylist() for c in ("field", "term"))):
+                rotated = {term[i:] + _END + term[:i] for i in range(len(term) + 1)}
+                for kind, forms in (("left out", left_out(term)), ("rotated", rotated)):
+                    for column, value in zip(columns, ([field] * len(forms), [kind] * len(forms), forms, [term] * len(forms))):
+                        column.extend(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["field", "kind", "form", "term"])
+
+
+def term_forms(lexicon: DataFrame) -> DataFrame:
+    """``(field, kind, form, term)``: terms by what fuzzy and wildcard clauses look for.
+
+    Kind "left out" has the head of a term with up to two letters missing, kind "rotated" every
+    rotation of it. Sorted by form, a lookup reads a few row groups.
+    """
+    terms = widen(lexicon.filter(F.col("term") != FIELD_TOTALS).select("field", "term"))
+    return terms.mapInArrow(_forms, "field string, kind string, form string, term string")
+
+
+def _form_test(c: Clause) -> Column:
+    """Forms of all terms that can match a wildcard or fuzzy clause, and few others."""
+    form = F.col("form")
+    if c.kind == "fuzzy":
+        return (F.col("kind") == "left out") & form.isin(sorted(left_out(c.text, c.edits)))
+    first, *middle = c.text.split("*")
+    last = middle.pop() if middle else None
+    # A rotation brings what stands behind the last star in front of what stands before the first.
+    around = _END + first if last is None else last + _END + first
+    runs = [around.split("?")[0], *(run for part in middle for run in part.split("?"))]
+    return (F.col("kind") == "rotated") & form.startswith(max(runs, key=len))
+
+
 def _fold_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token lists to one row per distinct term of each list, with its positions in order."""
     for whole in batches:
@@ -387,8 +457,10 @@ def search(
             whole = lists.filter(F.size("lists") == F.col("n_terms")).withColumn("freq", F.size(common))
             freq = whole.filter("freq > 0")
             parts.append(freq.select(*keys, bm25(F.col("freq")).alias("score")))
-    if index.rows is None:
-        patterns = _expanded(index, patterns)
+    looked_up = [p for p in patterns if p[1].kind in ("wildcard", "fuzzy")] if index.rows is None else []
+    if looked_up:
+        patterns = [p for p in patterns if p not in looked_up]
+        parts.append(_once(_expanded(index, looked_up)))
     if patterns:
         tests = [(row, (F.col("field") == c.field) & _term_test(c)) for row, c in patterns]
         rows = index.matching(_any_of([t for _, t in tests])).select("field", "term", "doc_id")
@@ -409,10 +481,7 @@ def search(
                 )
             )
         )
-        rows = rows.select("doc_id", F.explode(hit).alias("hit")).select("hit.*", "doc_id")
-        # A document that holds several matching terms matches the clause once.
-        once = rows.groupBy("query_id", "clause", "occur", "need", "doc_id").agg(F.max("score").alias("score"))
-        parts.append(once)
+        parts.append(_once(rows.select("doc_id", F.explode(hit).alias("hit")).select("hit.*", "doc_id")))
     if not parts:
         raise ValueError("no query holds a clause that can match")
     hits = reduce(DataFrame.unionByName, parts)
@@ -427,26 +496,38 @@ def search(
     return small(ranked.select("query_id", "doc_id", "rank", "score"), len(queries) * n)
 
 
-def _expanded(index: TextIndex, patterns: list) -> list:
-    """Wildcard and fuzzy clauses as lists of the terms they match, looked up in the lexicon.
+def _once(hits: DataFrame) -> DataFrame:
+    """A document that holds several matching terms matches the clause once."""
+    return hits.groupBy("query_id", "clause", "occur", "need", "doc_id").agg(F.max("score").alias("score"))
+
+
+def _expanded(index: TextIndex, patterns: list) -> DataFrame:
+    """Hits of wildcard and fuzzy clauses: the terms they match are looked up, then joined.
 
-    A stored index then reads only the postings of those terms. A clause with very many terms
-    stays a test on every posting, with the same result.
+    Stored forms narrow the terms down to a few row groups; without them the lexicon is read once.
+    Either way the clauses are tested on the terms themselves. The terms found are a table, sent to
+    the postings if it is small; as literals or, beyond that, as a range they also prune the scan.
     """
-    open_ended = [i for i, (_, c) in enumerate(patterns) if c.kind in ("wildcard", "fuzzy")]
-    if not open_ended:
-        return patterns
-    tests = {i: (F.col("field") == patterns[i][1].field) & _term_test(patterns[i][1]) for i in open_ended}
-    found = F.array_compact(F.array(*(F.when(test, F.lit(i)) for i, test in tests.items())))
-    words = index.lexicon.filter((F.col("term") != FIELD_TOTALS) & _any_of(list(tests.values())))
-    rows = words.select("term", F.explode(found).alias("i")).limit(_EXPANSIONS + 1).collect()
-    if len(rows) > _EXPANSIONS:
-        return patterns
-    out = list(patterns)
-    for i in open_ended:
-        terms = tuple(sorted(r["term"] for r in rows if r["i"] == i))
-        out[i] = (patterns[i][0], replace(patterns[i][1], kind="terms", terms=terms))
-    return out
+    clauses = [c for _, c in patterns]
+    tests = [(F.col("field") == c.field) & _term_test(c) for c in clauses]
+    if index.forms is not None:
+        near = _any_of([(F.col("field") == c.field) & _form_test(c) for c in clauses])
+        words = index.forms.filter(near).select("field", "term").distinct()
+    else:
+        words = index.lexicon.filter((F.col("term") != FIELD_TOTALS) & _any_of(tests)).select("field", "term")
+    matching = F.array_compact(F.array(*(F.when(test, F.lit(i)) for i, test in enumerate(tests))))
+    found = staged(words.select("field", "term", F.explode(matching).alias("i")), "terms")
+    kind = "string" if isinstance(patterns[0][0][0], str) else "long"
+    asked = [(i, q, clause, c.occur, need, float(c.boost)) for i, ((q, clause, need), c) in enumerate(patterns)]
+    schema = f"i int, query_id {kind}, clause int, occur string, need int, score double"
+    # One row per clause.
+    found = found.join(F.broadcast(index.postings.sparkSession.createDataFrame(asked, schema)), "i").drop("i")
+    seen = found.agg(F.count("*").alias("n"), F.min("term").alias("low"), F.max("term").alias("high")).first()
+    if seen["n"] <= _EXPANSIONS:
+        rows = index.postings.filter(F.col("term").isin([r["term"] for r in found.select("term").distinct().collect()]))
+    else:
+        rows = index.postings.filter(F.col("term").between(seen["low"], seen["high"]))
+    return rows.select("field", "term", "doc_id").join(small(found, seen["n"], 512), ["field", "term"]).drop("field", "term")
 
 
 def _combined(hits: DataFrame) -> DataFrame:

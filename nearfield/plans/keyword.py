@@ -124,8 +124,8 @@ SWAPPED = {"one": ("idito", 1), "two": ("tehn", 2), "long": ("wrothlses", 2)}
 
 
 def keyword_fuzzy_swaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring letters swapped count as one edit; over a stored index."""
-    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), files=8)
+    """Neighbouring letters swapped count as one edit; terms are looked up by stored forms."""
+    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), files=8, forms=True)
     clauses = {q: [K.fuzzy(t, edits=e)] for q, (t, e) in SWAPPED.items()}
     clauses["pattern"] = [K.wildcard("*less")]
     return _search(stored, clauses, field="text")

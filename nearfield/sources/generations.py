@@ -12,14 +12,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``n_rows`` went in, ``n_out`` were rejected or marked as deleted.
-ENTRY = "generation long, n_rows long, n_out long, vmin float, vmax float, folds array<long>"
+#: ``n_rows`` went in, ``n_out`` were rejected or marked as deleted; ``has`` names optional parts.
+ENTRY = "generation long, n_rows long, n_out long, vmin float, vmax float, folds array<long>, has array<string>"
 
 
 def enter(
-    spark: SparkSession, path: str, generation: int, n_rows: int, n_out: int = 0, folds: tuple[int, ...] = (), vmin: float | None = None, vmax: float | None = None
+    spark: SparkSession,
+    path: str,
+    generation: int,
+    n_rows: int,
+    n_out: int = 0,
+    folds: tuple[int, ...] = (),
+    vmin: float | None = None,
+    vmax: float | None = None,
+    has: tuple[str, ...] = (),
 ) -> None:
-    made = spark.createDataFrame([(generation, n_rows, n_out, vmin, vmax, list(folds))], ENTRY).coalesce(1)
+    made = spark.createDataFrame([(generation, n_rows, n_out, vmin, vmax, list(folds), list(has))], ENTRY).coalesce(1)
     made.write.mode("overwrite").parquet(f"{path}/generations/entry={generation}")
 
 

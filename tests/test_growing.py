@@ -208,3 +208,33 @@ def test_groups_equal_their_meaning(spark):
     assert twice.keys() == single.keys() and all(np.isclose(twice[d], 2 * s) for d, s in single.items())
     with pytest.raises(ValueError, match="clauses"):
         K.group()
+
+
+TERMS = [a + b + c for a in ("w", "wo", "ow", "") for b in ("rth", "rht", "rthl", "rtlhess", "rthlessness", "a") for c in ("", "s", "les", "less")]
+CLAUSES = [
+    *(K.fuzzy(t, edits=e, transpositions=x) for t in ("worthles", "rth", "w", "orwthless", "rthlessnesslse") for e in (0, 1, 2) for x in (True, False)),
+    *(K.wildcard(p) for p in ("w*", "*less", "*rth*", "w?r*ss", "?rth", "??", "*", "w*l*s", "*t?l*n*", "a", "zz*", "*?s")),
+]
+
+
+@pytest.mark.parametrize("literals", [5_000, 0])
+def test_terms_looked_up_by_form_equal_a_scan(spark, monkeypatch, literals):
+    monkeypatch.setattr(K, "_EXPANSIONS", literals)
+    docs = spark.createDataFrame(list(enumerate(sorted({t for t in TERMS if t}))), "doc_id long, text string")
+    lazy = K.build_index(docs, ["text"])
+    path = scratch_path(spark, "forms")
+    K.store_index(docs.filter("doc_id % 2 = 0"), ["text"], path, files=2, forms=True)
+    stored = K.append_index(docs.filter("doc_id % 2 = 1"), ["text"], path, files=2)
+    assert stored.forms is not None
+    queries = {str(i): [c] for i, c in enumerate(CLAUSES)}
+    got = collected(K.search(stored, queries, 200, field="text"))
+    assert got == collected(K.search(lazy, queries, 200, field="text")) and len(got) > 200
+    assert K.append_index(docs.limit(0), ["text"], path, files=1).forms is not None
+
+
+def test_lookups_prune_the_forms(spark):
+    docs = spark.createDataFrame([(1, "worthless words")], "doc_id long, text string")
+    stored = K.store_index(docs, ["text"], scratch_path(spark, "forms"), files=1, forms=True)
+    for clause, pushed in ((K.fuzzy("worth"), "In(form, "), (K.wildcard("w*less"), "StringStartsWith(form,less")):
+        plan = stored.forms.filter(K._form_test(clause))._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan
