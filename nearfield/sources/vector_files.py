@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from nearfield.sources.delimited import natural_key
+from nearfield.session import staged
 
 SPLIT_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
@@ -140,14 +140,15 @@ class _VecsReader(DataSourceReader):
 
     def _varying(self, f, part: _Range) -> Iterator[pa.RecordBatch]:
         stream = io.BufferedReader(f, _BATCH_BYTES)
-        ordinal, lengths, chunks, held = 0, [], [], 0
+        ordinal, lengths, chunks, held = part.ordinal, [], [], 0
+        last = part.ordinal + part.records if part.records >= 0 else -1
 
         def batch() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             values = np.concatenate(chunks) if chunks else np.zeros(0, self.dtype)
             return self._batch(part.path, np.arange(ordinal - len(lengths), ordinal), offsets, values)
 
-        while head := stream.read(4):
+        while ordinal != last and (head := stream.read(4)):
             n = int.from_bytes(head, "little", signed=True)
             if len(head) < 4 or n < 0 or (n == 0 and self.dtype == "<f4"):
                 raise ValueError(f"{part.path}: bad record header at record {ordinal}")
@@ -254,15 +255,56 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(IvecsSource)
 
 
-def _ordinals_across_files(df: DataFrame) -> DataFrame:
-    """Number the records of a multi-file table as one sequence in file order.
+_SPLIT = "number bigint, path string, start bigint, records bigint"
 
-    The offsets are one row per file, a list the driver already made to plan the scan.
+
+def record_splits(spark: SparkSession, path: str, dtype: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``(path, start, records, ordinal)``: where files of records of any length can be cut.
+
+    Tasks walk the record headers, one file each, and note a place about every ``split_bytes``; only
+    these places are added up and come back, so reading is not bound to one task per file.
     """
-    counts = df.groupBy("file").agg((F.max("ordinal") + 1).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(natural_key(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("file", F.coalesce(before, F.lit(0)).alias("_base"))
-    return df.join(F.broadcast(base), "file").withColumn("ordinal", F.col("ordinal") + F.col("_base")).drop("_base")
+    files = spark.createDataFrame([(i, f, size) for i, (f, size) in enumerate(_list_files(path)) if size], "number long, path string, size long")
+    least = 1 if dtype == "<f4" else 0
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for number, name, size in zip(*(c.to_pylist() for c in batch.columns)):
+                system, plain = _open_fs(name)
+                with system.open_input_file(plain) as f:
+                    at = start = records = seen = 0
+                    while at < size:
+                        head = f.read_at(4, at)
+                        n = int.from_bytes(head, "little", signed=True)
+                        if len(head) < 4 or n < least:
+                            raise ValueError(f"{name}: bad record header at record {seen}")
+                        at, records, seen = at + 4 + 4 * n, records + 1, seen + 1
+                        if at > size:
+                            raise ValueError(f"{name}: truncated record {seen - 1}")
+                        if at - start >= split_bytes or at == size:
+                            rows.append((number, name, start, records))
+                            start, records = at, 0
+            columns = list(zip(*rows)) or [()] * 4
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["number", "path", "start", "records"])
+
+    splits = staged(files.repartition(max(1, files.count())).mapInArrow(walk, _SPLIT), "splits")
+    before = F.sum("records").over(Window.orderBy("number", "start").rowsBetween(Window.unboundedPreceding, -1))
+    return splits.select("path", "start", "records", F.coalesce(before, F.lit(0)).alias("ordinal"))
+
+
+def _read_splits(splits: DataFrame, source: type[FvecsSource]) -> DataFrame:
+    """The records of splits, each split in a task of its own."""
+    options, dtype = {"path": "", "layout": "variable"}, source.dtype
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _VecsReader(options, dtype)
+        for batch in batches:
+            for name, start, records, ordinal in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from reader.read(_Range(name, start, records, 0, ordinal))
+
+    return splits.repartition(max(1, splits.count())).mapInArrow(read, f"file string, ordinal long, {source.value_type}")
 
 
 def qualified(spark: SparkSession, paths: str) -> str:
@@ -282,7 +324,9 @@ def _read(spark: SparkSession, source: str, path: str, layout: str, start: int,
     reader = spark.read.format(source).option("layout", layout)
     if layout == "fixed":
         return reader.option("from", start).option("to", -1 if stop is None else stop).load(path)
-    df = _ordinals_across_files(reader.load(path))
+    kind = FvecsSource if source == "fvecs" else IvecsSource
+    splits = record_splits(spark, path, kind.dtype).filter(F.col("ordinal") + F.col("records") > start)
+    df = _read_splits(splits if stop is None else splits.filter(F.col("ordinal") < stop), kind)
     if stop is not None:
         df = df.filter(F.col("ordinal") < stop)
     return df.filter(F.col("ordinal") >= start) if start else df
@@ -294,7 +338,7 @@ def read_fvecs(
     """``(ordinal, vector)`` of fvecs files, ordinals counted from 0 in file order.
 
     ``start`` and ``stop`` select a record range; with fixed-length records only those bytes are
-    read. ``layout="variable"`` accepts records of different lengths, one task per file.
+    read. ``layout="variable"`` accepts records of different lengths; see ``record_splits``.
     """
     return _read(spark, "fvecs", path, layout, start, stop).select("ordinal", "vector")
 

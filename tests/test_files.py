@@ -64,6 +64,24 @@ def test_numbers_in_file_names_count_as_numbers(spark, tmp_path):
     assert [r["neighbors"][0] for r in lists] == [7, 7, 99_999, 99_999, 100_000, 100_000]
 
 
+def test_files_of_varying_records_are_cut_by_bytes(spark, tmp_path):
+    records = [[float(i)] * (1 + i % 7) for i in range(500)]
+    write_vecs(tmp_path / "part-2.fvecs", records[:450])
+    write_vecs(tmp_path / "part-10.fvecs", records[450:])
+    (tmp_path / "part-11.fvecs").write_bytes(b"")
+    splits = vector_files.record_splits(spark, f"file:{tmp_path}", "<f4", split_bytes=400)
+    assert splits.count() > 20 and splits.agg(F.sum("records")).first()[0] == 500
+    read = vector_files._read_splits(splits, vector_files.FvecsSource)
+    assert read.rdd.getNumPartitions() == splits.count()
+    assert [r["vector"] for r in read.orderBy("ordinal").collect()] == records
+    part = vector_files.read_fvecs(spark, str(tmp_path), layout="variable", start=440, stop=460).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["vector"]) for r in part] == list(enumerate(records))[440:460]
+    assert vector_files.read_fvecs(spark, str(tmp_path / "part-11.fvecs"), layout="variable").count() == 0
+    (tmp_path / "part-12.fvecs").write_bytes(struct.pack("<i2f", 3, 1.0, 2.0))
+    with pytest.raises(Exception, match="truncated record 0"):
+        vector_files.read_fvecs(spark, str(tmp_path), layout="variable").count()
+
+
 def test_paths_without_a_scheme_are_the_session_s(spark, tmp_path):
     assert vector_files.qualified(spark, f"{tmp_path}/a, file:/b/c") == f"file:{tmp_path}/a,file:/b/c"
 
