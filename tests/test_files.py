@@ -143,6 +143,16 @@ def test_row_cap(spark, cap, rows):
     assert tables.row_range(df, 0, cap).count() == rows
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 17, 60, 99, 100, 200])
+def test_first_rows_by_ranges(spark, n):
+    keys = [None, None, *(i * 7 % 50 for i in range(98))]
+    df = spark.createDataFrame([(k, str(i)) for i, k in enumerate(keys)], "k int, v string").repartition(6)
+    got = tables.first_rows(df, n, "k", ranges=5).collect()
+    in_order = sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert sorted((r["k"] for r in got), key=lambda k: (k is not None, k or 0)) == in_order[:n]
+    assert len({r["v"] for r in got}) == len(got)
+
+
 def stream(spark, folder, out, n=-1.0, hi=1.0):
     source = spark.readStream.schema("doc_id long, vector array<float>").option("maxFilesPerTrigger", 1).parquet(folder)
     run = ingest.stream_ingest(source, f"{out}/t", f"{out}/b", f"{out}/log", n, hi)
