@@ -32,7 +32,7 @@ from nearfield.operators.knn import (
     small,
     vectors_size,
 )
-from nearfield.session import staged
+from nearfield.session import file_count, staged, stored_bytes
 
 _PRUNE_LITERALS = 2_000  # probed cells that still go into the scan filter as literals
 _LISTED = 1_000_000  # buckets of a box that are listed where the names of all buckets are not at hand
@@ -154,14 +154,15 @@ def assign_cells(df: DataFrame, pivots: DataFrame, vector_col: str = "vector") -
     return nearest_cells(df, pivots, 1, vector_col).drop("cell_rank")
 
 
-def write_index(assigned: DataFrame, path: str, files: int, id_col: str = "doc_id") -> None:
+def write_index(assigned: DataFrame, path: str, files: int | None = None, id_col: str = "doc_id") -> None:
     """Store an index so that a search reads only the probed cells.
 
     Range partitioning on (cell, id) gives evenly sized tasks: a cell that holds a third of the
     corpus spans many of them, and small cells share one. The assignment is staged first, because
-    range partitioning reads its input twice.
+    range partitioning reads its input twice. Without ``files`` their number follows from its size.
     """
-    ranged = staged(assigned, "cells").repartitionByRange(files, "cell", id_col).sortWithinPartitions("cell", id_col)
+    stored = staged(assigned, "cells")
+    ranged = stored.repartitionByRange(files or file_count(assigned.sparkSession, stored_bytes(stored)), "cell", id_col).sortWithinPartitions("cell", id_col)
     ranged.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 

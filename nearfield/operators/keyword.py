@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as X
 from nearfield.operators.knn import small, top_k
-from nearfield.session import staged, widen
+from nearfield.session import file_count, staged, stored_bytes, widen
 from nearfield.sources import generations
 
 K1, B = 1.2, 0.75
@@ -114,13 +114,13 @@ def _analysed(docs: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
 
 
 def store_index(
-    docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id", forms: bool = False
+    docs: DataFrame, fields: Sequence[str], path: str, files: int | None = None, id_col: str = "doc_id", forms: bool = False
 ) -> TextIndex:
     """Write a text index so that a search reads only the files that hold its terms.
 
     The one shuffle carries folded postings, ranged on (field, term, document): a frequent term
     spans many files. Postings are staged before that, because range partitioning reads its input
-    twice. The lexicon is counted from the stored postings. With ``forms`` its terms are stored by
+    twice; without ``files`` their number follows from the size of what was staged. The lexicon is counted from the stored postings. With ``forms`` its terms are stored by
     the forms that fuzzy and wildcard clauses look them up by. An index that was there before is
     replaced at once, when the new one is complete.
     """
@@ -130,7 +130,7 @@ def store_index(
 
 
 def append_index(
-    docs: DataFrame, fields: Sequence[str], path: str, files: int, id_col: str = "doc_id", replace_docs: bool = False
+    docs: DataFrame, fields: Sequence[str], path: str, files: int | None = None, id_col: str = "doc_id", replace_docs: bool = False
 ) -> TextIndex:
     """Add documents to a stored index as a generation of their own; no file of it is rewritten.
 
@@ -153,26 +153,26 @@ def delete_documents(ids: DataFrame, path: str) -> TextIndex:
     return _add_generation(spark, path, TextIndex.load(spark, path).postings.limit(0), 1, marks=ids.select("doc_id"))
 
 
-def compact_index(spark: SparkSession, path: str, files: int) -> TextIndex:
+def compact_index(spark: SparkSession, path: str, files: int | None = None) -> TextIndex:
     """Fold all generations of a stored index into one, without the deleted documents."""
     live = generations.live(spark, path)
     if len(live) < 2:
         return TextIndex.load(spark, path)
     index = TextIndex.load(spark, path)
-    return _add_generation(spark, path, index.postings, files, folds=tuple(live), forms=index.forms is not None)
+    return _add_generation(spark, path, staged(index.postings, "postings"), files, folds=tuple(live), forms=index.forms is not None)
 
 
 def _add_generation(
     spark: SparkSession,
     path: str,
     postings: DataFrame,
-    files: int,
+    files: int | None,
     marks: DataFrame | None = None,
     folds: tuple[int, ...] = (),
     forms: bool = False,
 ) -> TextIndex:
     number = generations.highest(spark, path) + 1
-    ranged = postings.repartitionByRange(files, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+    ranged = postings.repartitionByRange(files or file_count(spark, stored_bytes(postings)), "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     ranged.write.mode("overwrite").parquet(f"{path}/postings/generation={number}")
     counts = _counted(spark.read.parquet(f"{path}/postings/generation={number}"), 1)
     n_marks = 0

@@ -25,7 +25,7 @@ def _checksums(df: DataFrame) -> DataFrame:
 
 def fvecs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "fvecs")
-    vector_files.write_vecs(corpus(spark, sf), path, "doc_id", "vector", "fvecs", files=4)
+    vector_files.write_vecs(corpus(spark, sf), path, "doc_id", "vector", "fvecs")
     return _checksums(vector_files.read_fvecs(spark, path).withColumnRenamed("ordinal", "vec_id"))
 
 
@@ -35,7 +35,7 @@ def ivecs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     lists = docs.groupBy("bucket").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("int"))).alias("ids"))
     lists = lists.select("bucket", F.concat("ids", F.slice("ids", 1, 1)).alias("ids"))
     path = scratch_path(spark, "ivecs")
-    vector_files.write_vecs(lists, path, "bucket", "ids", "ivecs", files=3)
+    vector_files.write_vecs(lists, path, "bucket", "ids", "ivecs")
     back = vector_files.read_ivecs(spark, path, layout="variable")
     return back.select("query_ordinal", F.array_join(F.sort_array("neighbors"), ",").alias("ids"))
 
@@ -176,7 +176,7 @@ def row_range(spark: SparkSession, sf: str) -> DataFrame:
 def fvecs_row_range(spark: SparkSession, sf: str) -> DataFrame:
     """A record range of vector files; bytes outside of it are not read."""
     path = scratch_path(spark, "fvecs-range")
-    vector_files.write_vecs(corpus(spark, sf), path, "doc_id", "vector", "fvecs", files=4)
+    vector_files.write_vecs(corpus(spark, sf), path, "doc_id", "vector", "fvecs")
     back = vector_files.read_fvecs(spark, path, start=RANGE[0], stop=RANGE[1])
     return _checksums(back.withColumnRenamed("ordinal", "vec_id"))
 
@@ -185,7 +185,7 @@ def exact_truth_file(spark: SparkSession, sf: str) -> DataFrame:
     """Ground truth of the corpus as an ivecs file, read back as pairs."""
     path = scratch_path(spark, "truth")
     lists = recall.ids_per_query(exact_hits(corpus(spark, sf)))
-    vector_files.write_vecs(lists, path, "query_id", "doc_ids", "ivecs", files=2)
+    vector_files.write_vecs(lists, path, "query_id", "doc_ids", "ivecs")
     return vector_files.truth_pairs(vector_files.read_ivecs(spark, path))
 
 

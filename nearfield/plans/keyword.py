@@ -66,14 +66,14 @@ def keyword_or_compact_norms(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     """The same search over an index written as tables."""
-    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), files=8)
+    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"))
     return _search(stored, {q: [K.match(t)] for q, t in OR_QUERIES.items()}, field="text")
 
 
 def stored_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequencies and field totals as the stored index counts them."""
     docs = documents(spark, sf)
-    stored = K.store_index(docs, ["text", "lang"], scratch_path(spark, "text-index"), files=8)
+    stored = K.store_index(docs, ["text", "lang"], scratch_path(spark, "text-index"))
     totals = stored.stats().select("field", F.lit("").alias("term"), F.col("n_docs").alias("n"), "total_len")
     terms = stored.terms().select("field", "term", F.col("doc_freq").alias("n"), F.lit(None).cast("long").alias("total_len"))
     return terms.unionByName(totals)
@@ -125,7 +125,7 @@ SWAPPED = {"one": ("idito", 1), "two": ("tehn", 2), "long": ("wrothlses", 2)}
 
 def keyword_fuzzy_swaps(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring letters swapped count as one edit; terms are looked up by stored forms."""
-    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), files=8, forms=True)
+    stored = K.store_index(documents(spark, sf), ["text"], scratch_path(spark, "text-index"), forms=True)
     clauses = {q: [K.fuzzy(t, edits=e)] for q, (t, e) in SWAPPED.items()}
     clauses["pattern"] = [K.wildcard("*less")]
     return _search(stored, clauses, field="text")
@@ -169,8 +169,8 @@ def _grown(spark: SparkSession, sf: str) -> K.TextIndex:
     docs = documents(spark, sf)
     path = scratch_path(spark, "grown-index")
     wrong = docs.filter("doc_id % 10 = 5").withColumn("text", F.concat(F.lit("trash trash "), F.col("text")))
-    K.store_index(docs.filter("doc_id % 2 = 0").unionByName(wrong), ["text"], path, files=4)
-    K.append_index(docs.filter("doc_id % 2 = 1"), ["text"], path, files=4, replace_docs=True)
+    K.store_index(docs.filter("doc_id % 2 = 0").unionByName(wrong), ["text"], path)
+    K.append_index(docs.filter("doc_id % 2 = 1"), ["text"], path, replace_docs=True)
     return K.delete_documents(docs.filter("doc_id % 10 = 2").select("doc_id"), path)
 
 

@@ -144,7 +144,7 @@ def ann_pivot_stored(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
     pivots = ann.sample_pivots(docs, PIVOTS)
     path = scratch_path(spark, "index")
-    ann.write_index(ann.assign_cells(docs, pivots), path, files=4)
+    ann.write_index(ann.assign_cells(docs, pivots), path)
     hits = ann.ann_search(spark.read.parquet(path), as_queries(docs), pivots, K, NPROBE)
     return hits.select("query_id", "doc_id", "rank", F.round("dist_sq", 6).alias("dist_sq"))
 
@@ -221,7 +221,7 @@ def recall_vs_ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
     lists = recall.ids_per_query(exact_hits(docs))
     path = scratch_path(spark, "truth")
-    vector_files.write_vecs(lists, path, "query_id", "doc_ids", "ivecs", files=3)
+    vector_files.write_vecs(lists, path, "query_id", "doc_ids", "ivecs")
     truth = vector_files.truth_pairs(vector_files.read_ivecs(spark, path))
     return _rounded(recall.recall_at_k(truth, int8_hits(docs), K))
 

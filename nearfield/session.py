@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
@@ -56,6 +57,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def file_count(spark: SparkSession, n_bytes: int, file_bytes: int = 128 << 20) -> int:
+    """Files for a table of this size: about ``file_bytes`` each, and at least as many as the cluster
+    has slots, so that a small table is still written by all of them."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_bytes // file_bytes))
+
+
+def stored_bytes(stored: DataFrame) -> int:
+    """Size of the files behind a table that is read from them."""
+    files = stored.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct()
+    return files.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"]
+
+
 def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with fewer splits than the cluster has slots (one row group, few files).
 

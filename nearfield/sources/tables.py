@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.session import staged
+from nearfield.session import staged, stored_bytes
 
 DEFAULT_TITLE = "title"
 
@@ -80,8 +80,6 @@ def compact_table(spark: SparkSession, source: str, target: str, key: str, file_
     Returns the number of files asked for. The row content does not change.
     """
     df = spark.read.parquet(source)
-    files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct()
-    total = files.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, math.ceil(total / file_bytes))
+    n = max(1, math.ceil(stored_bytes(df) / file_bytes))
     df.repartitionByRange(n, key).sortWithinPartitions(key).write.mode("overwrite").parquet(target)
     return n

@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from nearfield.session import staged
+from nearfield.session import file_count, staged
 
 SPLIT_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
@@ -358,8 +358,14 @@ def truth_pairs(ground_truth: DataFrame) -> DataFrame:
     )
 
 
-def write_vecs(df: DataFrame, path: str, order_col: str, value_col: str, source: str, files: int) -> None:
-    """Write an array column as fvecs or ivecs files; record order follows ``order_col``."""
+def write_vecs(df: DataFrame, path: str, order_col: str, value_col: str, source: str, files: int | None = None) -> None:
+    """Write an array column as fvecs or ivecs files; record order follows ``order_col``.
+
+    Without ``files`` their number follows from the number of elements.
+    """
     register(df.sparkSession)
+    if files is None:
+        n = df.agg(F.coalesce(F.sum(F.size(value_col)), F.lit(0))).first()[0]
+        files = file_count(df.sparkSession, 4 * n)
     ranged = df.repartitionByRange(files, order_col).sortWithinPartitions(order_col)
     ranged.select(value_col).write.format(source).mode("overwrite").save(qualified(df.sparkSession, path))
