@@ -71,7 +71,7 @@ class TextIndex:
         Lexicon totals of generations add up. Documents marked as deleted in a later generation
         than their postings stay out of the search; the totals have lost them already.
         """
-        entries = generations.counting(spark, path).select("generation", "n_rows", "n_out", "has").collect()
+        entries = generations.complete(spark, path)
         known = [r["generation"] for r in entries]
         of = lambda table: spark.read.parquet(f"{path}/{table}").filter(F.col("generation").isin(known))
         postings, lexicon = of("postings"), of("lexicon")
@@ -186,7 +186,7 @@ def _add_generation(
         counts = counts.groupBy("field", "term").agg(*sums)
     counts = staged(counts, "lexicon")
     totals = counts.groupBy("field").agg(F.sum("_leads").alias("n_docs"), F.sum("_tf").alias("n_tokens"))
-    totals = staged(totals.withColumn("term", F.lit(FIELD_TOTALS)), "totals")
+    totals = totals.withColumn("term", F.lit(FIELD_TOTALS))
     lexicon = counts.drop("_tf", "_leads").unionByName(totals)
     lexicon = lexicon.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
     lexicon.write.mode("overwrite").parquet(f"{path}/lexicon/generation={number}")

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from nearfield.operators import ann
 from nearfield.operators.kernel import LocalTopK, ids_of, matrix_of
 from nearfield.operators.knn import BROADCAST_BYTES, CHUNK_BYTES, arrow_schema, small, vectors_size
-from nearfield.session import staged
+from nearfield.session import file_count, staged
 
 MAX_LEAVES = 4_096
 GROUP_BYTES = 64 << 20  # rows that one group of the join holds
@@ -111,7 +111,9 @@ def assign_leaves(df: DataFrame, tree: PivotTree, vector_col: str = "vector", gr
     groups = small(groups, tree.roots.count(), 16)
     dealt = rooted.join(groups, "root").withColumn("_group", F.pmod(F.xxhash64(vector_col, *df.columns[:1]), F.col("_groups")).cast("int"))
     repeated = tree.leaves.join(groups, "root").withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
-    schema = T.StructType([*df.schema.fields, T.StructField("root", root_type), T.StructField("cell", cell_type)])
+    # The types as they were read back: a group's table can't promise that elements are never null.
+    fields = [rooted.schema[c] for c in df.columns]
+    schema = T.StructType([*fields, T.StructField("root", root_type), T.StructField("cell", cell_type)])
     names = [*df.columns, "root"]
     cell_arrow = arrow_schema(T.StructType([T.StructField("cell", cell_type)])).field(0).type
 
@@ -133,15 +135,15 @@ def assign_leaves(df: DataFrame, tree: PivotTree, vector_col: str = "vector", gr
     return left.cogroup(repeated.select("root", "_group", "cell", "vector").groupBy(*keys)).applyInArrow(nearest, schema)
 
 
-def write_tree_index(assigned: DataFrame, path: str, file_bytes: int = 256 << 20, id_col: str = "doc_id", vector_col: str = "vector") -> None:
-    """Store assigned rows by root, sorted by leaf and id, in files of about ``file_bytes``.
+def write_tree_index(assigned: DataFrame, path: str, file_bytes: int = 128 << 20, id_col: str = "doc_id", vector_col: str = "vector") -> None:
+    """Store assigned rows by root, sorted by leaf and id, in tasks of about ``file_bytes``.
 
     Each root is dealt over as many tasks as its own rows fill, by ranges of leaf and id, so one
     that holds a third of the rows spans many.
     """
     assigned = staged(assigned, "leaves")
     size = vectors_size(assigned, vector_col)
-    files = max(1, math.ceil(size["bytes"] / file_bytes))
+    files = file_count(assigned.sparkSession, size["bytes"], file_bytes)
     ranged = assigned.repartitionByRange(files, "root", "cell", id_col).sortWithinPartitions("root", "cell", id_col)
     ranged.write.mode("overwrite").partitionBy("root").parquet(path)
 

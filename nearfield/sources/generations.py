@@ -9,7 +9,7 @@ after a failure leaves no trace.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: ``n_rows`` went in, ``n_out`` were rejected or marked as deleted; ``has`` names optional parts.
@@ -47,8 +47,15 @@ def counting(spark: SparkSession, path: str) -> DataFrame:
     return known.join(known.select(F.explode("folds").alias("generation")), "generation", "left_anti")
 
 
+def complete(spark: SparkSession, path: str) -> list[Row]:
+    """The entries that count, brought here: there is one per generation."""
+    known = entries(spark, path).collect()
+    folded = {g for r in known for g in r["folds"]}
+    return sorted((r for r in known if r["generation"] not in folded), key=lambda r: r["generation"])
+
+
 def live(spark: SparkSession, path: str) -> list[int]:
-    return sorted(r["generation"] for r in counting(spark, path).select("generation").collect())
+    return [r["generation"] for r in complete(spark, path)]
 
 
 def highest(spark: SparkSession, path: str) -> int:

@@ -47,6 +47,12 @@ def test_leaves_are_the_nearest_under_the_nearest_root(spark, docs):
         assert (r["root"], r["cell"]) == (root, own[distances([r["vector"]], [x["vector"] for x in own]).argmin()]["cell"])
 
 
+def test_elements_that_are_never_null(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    tree = pivot_tree.build_tree(pivot_tree.hash_pivots(docs, 40), 4)
+    assert collected(pivot_tree.assign_leaves(docs, tree).select("doc_id", "cell")) == [(i, i) for i in range(40)]
+
+
 def test_crowded_roots_are_split_and_equal_leaves_are_one(spark, docs):
     pivots = docs.select(F.col("doc_id").alias("cell"), "vector")
     tree = pivot_tree.build_tree(pivots, 2, max_leaves=20)
