@@ -152,3 +152,67 @@ def test_bands_find_small_edits(spark):
     found = edit_fingerprints.near_documents(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()
     assert all(r["doc_id"] - r["near_id"] == 40 and r["likeness"] >= edit_fingerprints.LIKE for r in found)
     assert len({r["doc_id"] for r in found}) >= 30
+
+
+def test_packed_fingerprints_come_back():
+    texts = ["", "a", "ab " * 5, "the quick brown fox", "né " * 300, "x" * 999]
+    prints = edit_fingerprints.fingerprints(texts)
+    assert [edit_fingerprints.unpack(edit_fingerprints.pack(p)) for p in prints] == prints
+
+
+def near_texts_of_all_lengths():
+    """Texts of 3 to 8,000 characters, each with edited versions: cut, lengthened, retyped in places."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz    "))
+    found = []
+    for length in (3, 12, 30, 60, 125, 130, 500, 800, 1_150, 1_250, 2_400, 8_000):
+        for _ in range(6):
+            text = "".join(rng.choice(letters, length))
+            at = int(rng.integers(0, length))
+            more = "".join(rng.choice(letters, max(1, length // 25)))
+            found += [text, text[:at] + more + text[at:], text[: at // 20] + text[at // 20 + length // 30 :], text + more]
+    return [found[i] for i in rng.permutation(len(found))]
+
+
+def brute_partners(prints, like):
+    """The earlier documents at least so alike, of every document."""
+    return {
+        i: {j: s for j in range(i) if (s := edit_fingerprints.likeness(prints[i], prints[j])) >= like} for i in range(len(prints))
+    }
+
+
+def test_nearest_documents_against_brute_force(spark):
+    texts = near_texts_of_all_lengths()
+    prints = edit_fingerprints.fingerprints(texts)
+    rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    found = {r["doc_id"]: (r["near_id"], r["likeness"]) for r in edit_fingerprints.near_documents(rows).collect()}
+    brute = {i: p for i, p in brute_partners(prints, edit_fingerprints.LIKE).items() if p}
+    assert all(near in brute[i] and brute[i][near] == like for i, (near, like) in found.items())
+    assert len(found) >= 0.9 * len(brute) and len(brute) > 100
+
+
+def test_near_documents_of_copies_chains_and_odd_rows(make):
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("abcdefghij klmno"), 900))
+    rows = [(i, base, "en", "a") for i in range(7, 300)]  # one text in most rows
+    rows += [(3, base[:450] + "#" + base[450:], "en", "a"), (None, base, "en", "a"), (1, None, "en", "a"), (2, "", "en", "a"), (400, "z", "en", "a")]
+    docs = make([(*r, len(r[1] or "")) for r in rows])
+    got = edit_fingerprints.fingerprint_with_edits(docs, block_bytes=20_000).collect()
+    near = {r["doc_id"]: (r["near_id"], r["near_likeness"]) for r in got if r["doc_id"] is not None}
+    assert len(got) == len(rows) and all(near[i] == (7, 1.0) for i in range(8, 300))
+    assert near[7][0] == 3 and edit_fingerprints.LIKE <= near[7][1] < 1 and near[3] == (None, None)
+    assert near[2] == (1, 1.0) and near[1] == near[400] == (None, None)
+    assert [(r["near_id"], r["near_likeness"]) for r in got if r["doc_id"] is None] == [(None, None)]
+
+
+def test_crowded_bands_lose_no_kind_of_text(spark):
+    """Texts with one first half share all bands; each kind of second half has its own near ones."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    first = "".join(rng.choice(letters, 560))
+    kinds = ["".join(rng.choice(letters, 700)) for _ in range(40)]
+    texts = [first + k for k in kinds] + [first + k[:600] + "!" + k[600:] for k in kinds]
+    prints = edit_fingerprints.fingerprints(texts)
+    rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    found = {r["doc_id"]: r["near_id"] for r in edit_fingerprints.near_documents(rows).collect()}
+    assert sum(found.get(40 + i) == i for i in range(40)) >= 39
