@@ -144,6 +144,14 @@ def test_edits_and_neighbours(make):
     assert edit_fingerprints.fingerprint_with_edits(make([])).count() == 0
 
 
+def test_repeated_ids_go_by_their_texts(make):
+    rows = [(i, f"{w} of {i} " * (1 + k), "en", "a", 0) for i in (4, 9, None) for k, w in enumerate(["é", "b", "Z", "b", "aa", "\U0001f600"])]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = [(r[0], edit_fingerprints.fingerprints([edit_fingerprints.edit(r[1], n[1])])[0]) for r, n in zip(order, order[1:] + order[:1])]
+    got = edit_fingerprints.fingerprint_with_edits(make(rows), block_bytes=60).collect()
+    assert Counter((r["doc_id"], r["edited_fingerprint"]) for r in got) == Counter(want)
+
+
 def test_bands_find_small_edits(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(40)]
