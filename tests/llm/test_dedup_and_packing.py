@@ -62,6 +62,29 @@ def test_repeated_bytes(make, monkeypatch, length, gram, group):
     assert have == Counter((r[0], *b) for r, b in zip(rows, brute_bytes([r[1] for r in rows], length)))
 
 
+def test_classes_do_not_depend_on_neighbours(monkeypatch):
+    """Texts are joined in other ways when they are counted and when they are cut; their classes stay."""
+    monkeypatch.setattr(repeats, "SEGMENT", 2_000)
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"ab cde", k=rng.randrange(0, 700))) for _ in range(60)] + [bytes(rng.choices(b"xy z", k=5_000))]
+    for method in (suffix_dedup.method(60, 16), substring_dedup.method()):
+        found = []
+        for order in (range(len(texts)), reversed(range(len(texts)))):
+            order = list(order)
+            for b in repeats.batches_of([texts[i] for i in order], method):
+                found += [(order[b.first + o], g, k) for o, g, k in zip(b.owner.tolist(), b.found.gram.tolist(), b.found.kind.tolist())]
+        assert found and all(n % 2 == 0 for n in Counter(found).values())
+
+
+def test_common_line_in_many_texts(make):
+    rng = random.Random(1)
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.randrange(300)))
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(420))
+    rows = [(i, noise() + line + noise(), "en", "a", 1) for i in range(1_500)]
+    got = suffix_dedup.removals(make(rows)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(tuple(r) for r in got) == Counter((r[0], *b) for r, b in zip(rows, brute_bytes([r[1] for r in rows], 400)))
+
+
 def brute_words(rows, length):
     first = defaultdict(lambda: float("inf"))
     words = [(r[1] or "").encode().split() for r in rows]
