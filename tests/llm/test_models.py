@@ -224,3 +224,16 @@ def test_crowded_bands_lose_no_kind_of_text(spark):
     rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
     found = {r["doc_id"]: r["near_id"] for r in edit_fingerprints.near_documents(rows).collect()}
     assert sum(found.get(40 + i) == i for i in range(40)) >= 39
+
+
+def test_crowded_bands_take_one_round(spark, monkeypatch):
+    """However many kinds of texts share a band, its meetings are verified once."""
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    first = "".join(rng.choice(letters, 560))
+    prints = edit_fingerprints.fingerprints([first + "".join(rng.choice(letters, 700)) for _ in range(60)])
+    rounds, verified = [], edit_fingerprints._verified
+    monkeypatch.setattr(edit_fingerprints, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    edit_fingerprints.near_documents(rows).collect()
+    assert len(rounds) == 1
