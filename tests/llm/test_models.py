@@ -59,6 +59,78 @@ def test_perplexity_is_the_mean_over_symbols(make, spark):
         assert r["perplexity"] == (pytest.approx(float(np.exp(-logs[grams].astype(float).mean()))) if text else None)
 
 
+def brute_perplexity(trusted, text):
+    """Perplexity by the definition, over runs of whole characters."""
+    order = ngram_quality.ORDER
+    flat = lambda t: "".join(" " if c in "\t\n\v\f\r" else c for c in t)
+    runs = lambda t: [(" " * (order - 1) + flat(t))[i : i + order] for i in range(len(t))]
+    counts = {order: Counter(r for t in trusted for r in runs(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(r[1:] for r in counts[k + 1])
+    cuts, totals, held = {}, defaultdict(Counter), defaultdict(Counter)
+    for k, c in counts.items():
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        cuts[k] = [0, *(min(max(v, 0.1), i - 0.1) for i, v in enumerate(d, 1))]
+        for r, times in c.items():
+            totals[k][r[:-1]] += times
+            held[k][r[:-1]] += cuts[k][min(times, 3)]
+
+    def p(run):
+        k = len(run)
+        if not k:
+            return 1 / 0x110000
+        total = totals[k][run[:-1]]
+        if not total:
+            return p(run[1:])
+        n = counts[k][run]
+        return (n - cuts[k][min(n, 3)]) / total + held[k][run[:-1]] / total * p(run[1:])
+
+    return float(np.exp(-np.mean([np.log(p(r)) for r in runs(text)]))) if text else None
+
+
+def test_the_sharded_model_follows_the_definition(make, spark, monkeypatch):
+    trusted = ["the cat sat on the mat", "a cat is a cat", "él come\tpan", "naïve €5 \U0001f600"]
+    known = ngram_quality.model(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    rows = [*ODD, (50, "él cat\ncome", "fr", "a", 1), (51, "Ωμέγα \U0001f600", "el", "a", 1)]
+    for slots, step in ((1 << 20, ngram_quality.SORTED), (64, 50)):
+        monkeypatch.setattr(ngram_quality, "LEAST_BLOCK", slots)
+        monkeypatch.setattr(ngram_quality, "SORTED", step)
+        got = ngram_quality.perplexities(make(rows), known).collect()
+        assert Counter(r["row"]["doc_id"] for r in got) == Counter(r[0] for r in rows)
+        for r in got:
+            text = r["row"]["text"] or ""
+            assert r["n_symbols"] == len(text)
+            assert r["perplexity"] == (pytest.approx(brute_perplexity(trusted, text), rel=1e-6) if text else None)
+
+
+def test_letters_beyond_ascii_are_told_apart(make, spark):
+    # Characters 31 code points apart were one symbol before.
+    known = ngram_quality.model(spark.createDataFrame([("один два три",)], "text string"))
+    other = "".join(c if c == " " else chr(ord(c) + 31) for c in "один два три")
+    got = {r["row"]["doc_id"]: r["perplexity"] for r in ngram_quality.perplexities(make([(1, "один два три", "ru", "a", 1), (2, other, "ru", "a", 1)]), known).collect()}
+    assert got[2] > 1_000 * got[1]
+
+
+def test_thresholds_are_quantiles_of_held_out_texts(make, spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeiounrst"), rng.integers(2, 6))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(5, 60))), "en" if i % 3 else None, "a", 1) for i in range(150)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(130, 0, 0)], LABELS)
+    judged = ngram_quality.judge(make(rows), labels, 0.9).collect()
+    out = {r["doc_id"] for r in make(rows).where(ngram_quality.held_out()).select("doc_id").collect()}
+    trusted = [t for i, t, *_ in rows if i < 120 and i not in out]
+    by_lang = defaultdict(list)
+    for i, t, lang, *_ in rows[:120]:
+        if i in out:
+            by_lang[lang].append(brute_perplexity(trusted, t))
+    for r in judged:
+        values = sorted(by_lang[r["row"]["lang"]])
+        assert r["threshold"] == pytest.approx(values[int(np.ceil(0.9 * len(values))) - 1], rel=1e-6)
+        assert r["kept"] == (r["perplexity"] <= r["threshold"])
+
+
 def test_junk_goes_and_prose_stays(spark, make):
     prose = "this is a plain sentence about nothing much and it goes on for a while "
     rows = [(i, prose * (1 + i % 3), "en", "a", 1) for i in range(40)] + [(99, "@@##!!%%^^ QZX|||" * 20, "en", "a", 1)]
