@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD
 
@@ -105,6 +106,26 @@ def test_the_sharded_model_follows_the_definition(make, spark, monkeypatch):
             assert r["perplexity"] == (pytest.approx(brute_perplexity(trusted, text), rel=1e-6) if text else None)
 
 
+def test_a_block_asks_each_shard_in_one_bundle():
+    # One row per run and per answer before: 361,000 a block.
+    rng, shards = np.random.default_rng(5), 3
+    texts = ["".join(rng.choice(list("aeiou nrst€\0"), 400)) for _ in range(50)] + [None, "", "\U0001f600"]
+    packed = pa.array([None if t is None else zlib.compress(t.encode()) for t in texts], pa.binary())
+    asked = ngram_quality._asked(pa.table({"block": [7] * len(texts), "packed": packed}), shards)
+    assert asked["shard"].to_pylist() == list(range(shards)) and set(asked["block"].to_pylist()) == {7}
+    padded = [" " * (ngram_quality.ORDER - 1) + t for t in texts if t]
+    strings = {t[i - k : i] for t in padded for i in range(ngram_quality.ORDER, len(t) + 1) for k in range(ngram_quality.ORDER + 1)}
+    strings |= {t[i - k : i] for t in padded for i in range(ngram_quality.ORDER - 1, len(t)) for k in range(ngram_quality.ORDER)}
+    got = []
+    for sizes, bundle in zip(asked["sizes"].to_pylist(), asked["strings"].to_pylist()):
+        text, at = zlib.decompress(bundle).decode(), 0
+        for length, n in enumerate(sizes):
+            got += [text[at + i * length : at + (i + 1) * length] for i in range(n)]
+            at += n * length
+    assert len(got) == len(strings) and set(got) == strings
+    assert asked.nbytes < 5 * len(strings)
+
+
 def test_letters_beyond_ascii_are_told_apart(make, spark):
     # Characters 31 code points apart were one symbol before.
     known = ngram_quality.model(spark.createDataFrame([("один два три",)], "text string"))
