@@ -10,8 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_PAIR_BUDGET = 8_000_000  # elements of one product block
+_PAIR_BUDGET = 4_000_000  # elements of one product block
 _EXACT_BUDGET = 2_000_000  # elements recomputed at once
+_FIRST = 1_000  # rows that queries without k owners see first; four times as many each time after that
+_GROUPS = 128  # groups of rows whose smallest bounds stand for all, at least 16 for each of k
+_OFFERS = 1_000_000  # offers that wait to be folded
+_DENSE = 32  # owners are met pair by pair where fewer than one pair in so many is left
 _FLOAT32_SAFE = 1e30  # squared norms above this are multiplied in float64
 
 
@@ -45,8 +49,19 @@ def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def sq_norms(x: np.ndarray) -> np.ndarray:
-    wide = x.astype(np.float64)
-    return np.einsum("ij,ij->i", wide, wide)
+    out = np.empty(len(x), np.float64)
+    step = max(1, _EXACT_BUDGET // max(1, x.shape[1]))
+    for at in range(0, len(x), step):
+        wide = x[at : at + step].astype(np.float64)
+        out[at : at + step] = np.einsum("ij,ij->i", wide, wide)
+    return out
+
+
+def _true_cells(cells: np.ndarray) -> np.ndarray:
+    """Places of the true values of a flat mask with few of them; its length is a multiple of 8."""
+    words = np.flatnonzero(cells.view(np.uint64) != 0)
+    at = (words[:, None] * 8 + np.arange(8)).ravel()
+    return at[cells[at]]
 
 
 def _order_codes(ids: np.ndarray) -> np.ndarray:
@@ -145,8 +160,13 @@ class LocalTopK(RunningTopK):
         super().__init__(len(q), k, per_owner)
         self.q = q
         self.shift = self._common_part(q)
-        self.near_q = q if self.shift is None else q - self.shift
-        self.norms = sq_norms(self.near_q)
+        self.norms = np.empty(len(q), np.float64)
+        step = max(1, _EXACT_BUDGET // max(1, q.shape[1]))
+        for at in range(0, len(q), step):
+            self.norms[at : at + step] = sq_norms(self._near(q[at : at + step]))
+
+    def _near(self, x: np.ndarray) -> np.ndarray:
+        return x if self.shift is None else x - self.shift
 
     @staticmethod
     def _common_part(q: np.ndarray) -> np.ndarray | None:
@@ -165,14 +185,22 @@ class LocalTopK(RunningTopK):
         """Offer corpus rows to all queries, or to the queries at ``rows``."""
         if not len(x) or not len(self.q) or (rows is not None and not len(rows)):
             return
+        # While queries lack owners, a few rows first: their distances keep most of the others out.
+        fresh = self.per_owner and np.isinf(self.tau if rows is None else self.tau[rows]).any()
+        low, step = 0, _FIRST if fresh else len(x)
+        while low < len(x):
+            self._add(x[low : low + step], ids[low : low + step], rows)
+            low, step = low + step, 4 * step
+            if low < len(x):
+                self.flush()
+
+    def _add(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray | None) -> None:
         if self.per_owner:
             order = np.argsort(_order_codes(ids), kind="stable")
             x, ids = x[order], ids[order]
-        q = self.q if rows is None else self.q[rows]
-        near_q = self.near_q if rows is None else self.near_q[rows]
-        near_x = x if self.shift is None else x - self.shift
+        near_x = self._near(x)
         norms = self.norms if rows is None else self.norms[rows]
-        tau = self.tau if rows is None else self.tau[rows]
+        tau = self.tau.copy() if rows is None else self.tau[rows]
         x_norms = sq_norms(near_x)
         wide = max(norms.max(), x_norms.max()) > _FLOAT32_SAFE
         dtype, unit = (np.float64, 2.0**-53) if wide else (np.float32, 2.0**-24)
@@ -183,47 +211,85 @@ class LocalTopK(RunningTopK):
         right[:dim] = near_x.T
         right[dim] = (1 - slack) * x_norms
         drop = None
-        step = max(1, _PAIR_BUDGET // len(x))
-        for at in range(0, len(q), step):
+        step = max(1, (_PAIR_BUDGET // 8 if np.isinf(tau).any() else _PAIR_BUDGET) // len(x))
+        # One block of memory for all products and one for all masks, filled up to whole words.
+        products = np.empty((min(step, len(norms)), len(x)), dtype)
+        masks = np.zeros(-(-products.size // 8) * 8, bool)
+        waiting = 0
+        for at in range(0, len(norms), step):
             part = slice(at, at + step)
-            left = np.empty((len(q[part]), dim + 1), dtype)
-            np.multiply(near_q[part], dtype(-2), out=left[:, :dim], casting="unsafe", dtype=dtype)
+            q = self.q[part] if rows is None else self.q[rows[part]]
+            left = np.empty((len(q), dim + 1), dtype)
+            np.multiply(self._near(q), dtype(-2), out=left[:, :dim], casting="unsafe", dtype=dtype)
             left[:, dim] = 1
-            low = left @ right
-            keep = self._keep(low, norms[part], x_norms, tau[part], slack, ids)
-            if not self.per_owner and np.count_nonzero(keep) > 4 * self.k * len(low) + len(x):
+            low = np.matmul(left, right, out=products[: len(q)])
+            if low.size < products.size:
+                masks[low.size :] = False
+            keep = masks[: low.size].reshape(low.shape)
+            np.less_equal(low, self._bound(low, norms[part], x_norms, tau[part], slack, ids)[:, None], out=keep)
+            n_kept = np.count_nonzero(keep)
+            if not self.per_owner and n_kept > 4 * self.k * len(low) + len(x):
                 if drop is None:
                     drop = _surplus_copies(x, _order_codes(ids), self.k)
                 keep &= ~drop
-            qi, xi = np.divmod(np.flatnonzero(keep), len(x))
+            if self.per_owner and n_kept * _DENSE > low.size:
+                keep &= self._nearest_of_owners(low, norms[part], x_norms, slack, ids)
+            cells = _true_cells(masks)
+            if self.per_owner and n_kept * _DENSE <= low.size:
+                cells = self._nearest_among(cells, low, norms[part], x_norms, slack, ids)
+            qi, xi = np.divmod(cells, len(x))
             if not len(qi):
                 continue
-            qi += at
             dist = exact_sq(q, x, qi, xi)
+            qi += at
             near = dist <= tau[qi]
             qi, xi, dist = qi[near], xi[near], dist[near]
             self.offer(qi if rows is None else rows[qi], ids[xi], dist)
+            waiting += len(qi)
+            if waiting > _OFFERS:
+                self.flush()
+                waiting = 0
 
-    def _keep(self, low, norms, x_norms, tau, slack, ids) -> np.ndarray:
-        """Pairs whose lower bound does not exceed what the query still accepts."""
+    def _bound(self, low, norms, x_norms, tau, slack, ids) -> np.ndarray:
+        """What the lower bound of a pair must not exceed for its query to still accept it."""
         dtype = low.dtype.type
         bound = tau - (1 - slack) * norms
         fresh = ~np.isfinite(tau)
-        if self.per_owner:
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            upper = np.minimum.reduceat(low + dtype(2 * slack) * x_norms.astype(dtype), starts, axis=1)
-            if fresh.any() and len(starts) > self.k:
-                kth = np.partition(upper[fresh], self.k - 1, axis=1)[:, self.k - 1]
-                bound[fresh] = kth + 2 * slack * norms[fresh]
-            own = upper + (2 * slack * norms[:, None]).astype(dtype)
-            own = np.nextafter(own, dtype(np.inf))
-            lengths = np.diff(np.r_[starts, len(ids)])
-            return (low <= self._up(bound, dtype)[:, None]) & (low <= np.repeat(own, lengths, axis=1))
         if fresh.any() and low.shape[1] > self.k:
             upper = low[fresh] + dtype(2 * slack) * x_norms.astype(dtype)
-            kth = upper.min(axis=1) if self.k == 1 else np.partition(upper, self.k - 1, axis=1)[:, self.k - 1]
-            bound[fresh] = kth + 2 * slack * norms[fresh]
-        return low <= self._up(bound, dtype)[:, None]
+            if self.per_owner:
+                upper = np.minimum.reduceat(upper, self._starts(ids), axis=1)
+            elif len(x_norms) > 4 * (groups := max(_GROUPS, 16 * self.k)):
+                # The k-th smallest of the groups is no less than that of the rows, and seldom more.
+                whole = len(x_norms) // groups * groups
+                upper = upper[:, :whole].reshape(len(upper), -1, groups).min(axis=1)
+            if upper.shape[1] > self.k or not self.per_owner:
+                kth = upper.min(axis=1) if self.k == 1 else np.partition(upper, self.k - 1, axis=1)[:, self.k - 1]
+                bound[fresh] = kth + 2 * slack * norms[fresh]
+        return self._up(bound, dtype)
+
+    @staticmethod
+    def _starts(ids) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+
+    def _nearest_of_owners(self, low, norms, x_norms, slack, ids) -> np.ndarray:
+        """Pairs that can be the nearest of their owner, of all pairs."""
+        dtype = low.dtype.type
+        starts = self._starts(ids)
+        own = np.minimum.reduceat(low + dtype(2 * slack) * x_norms.astype(dtype), starts, axis=1)
+        own = self._up(own + 2 * slack * norms[:, None], dtype)
+        return low <= np.repeat(own, np.diff(np.r_[starts, len(ids)]), axis=1)
+
+    def _nearest_among(self, cells, low, norms, x_norms, slack, ids) -> np.ndarray:
+        """Of a few pairs, in order, those that can be the nearest of their owner among them."""
+        if not len(cells):
+            return cells
+        qi, xi = np.divmod(cells, len(ids))
+        owner = np.cumsum(np.r_[0, ids[1:] != ids[:-1]])[xi]
+        value = low.reshape(-1)[cells].astype(np.float64)
+        starts = np.flatnonzero(np.r_[True, (np.diff(qi) != 0) | (np.diff(owner) != 0)])
+        own = np.minimum.reduceat(value + 2 * slack * x_norms[xi], starts) + 2 * slack * norms[qi[starts]]
+        return cells[value <= np.repeat(self._up(own, low.dtype.type), np.diff(np.r_[starts, len(cells)]))]
 
     @staticmethod
     def _up(bound: np.ndarray, dtype) -> np.ndarray:
