@@ -2,7 +2,8 @@
 
 The corpus stays where it is. A query batch of checked size is broadcast and every task keeps a
 local top k, so the shuffle carries k rows per query and task. A larger batch is cut into blocks of
-that size, for each of which the corpus is scanned in place; no vector of the corpus is shuffled.
+that size, for each of which the corpus is scanned in place, many small blocks in one job; no vector
+of the corpus is shuffled.
 Only a corpus that is itself no larger than a chunk is sent to the blocks of such a batch. So no
 task, group or driver ever holds a large side, and all ways return the same rows.
 """
@@ -15,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,9 @@ from nearfield.session import staged
 BROADCAST_BYTES = 64 << 20  # queries up to this size are broadcast
 CHUNK_BYTES = 128 << 20  # corpus bytes in one fragment, and of a corpus that is sent to query blocks
 _MERGED = 32  # parts in which the hits of many tasks are first merged
+_ROUND = 32  # most query blocks searched in one job, fewer if they take more than BROADCAST_BYTES
+_ROUNDS = 8  # jobs at least, so that few blocks are sent one by one
+_PIECE = 32 << 20  # query bytes of a fragment that are searched at once
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column], rank_col: str = "rank") -> DataFrame:
@@ -86,34 +91,42 @@ def knn(
     schema = _hit_schema(corpus, queries, integral)
     size = vectors_size(queries)
     if size["bytes"] <= broadcast_bytes:
-        return rank_hits(_broadcast_search(corpus, queries, k, schema, per_owner)[0], k, size["rows"], distinct=per_owner)
+        return rank_hits(_broadcast_search(corpus, queries.toArrow(), k, schema, per_owner)[0], k, size["rows"], distinct=per_owner)
     n_blocks = math.ceil(size["bytes"] / broadcast_bytes)
     if corpus.count() * size["dim"] * 4 > chunk_bytes:
-        return _blocked_search(corpus, queries, k, schema, n_blocks, size["rows"], per_owner)
+        in_round = max(1, min(_ROUND, n_blocks // _ROUNDS, BROADCAST_BYTES // broadcast_bytes))
+        return _blocked_search(corpus, queries, k, schema, n_blocks, size["rows"], per_owner, in_round)
     hits = fragment_search(corpus, queries, k, schema, chunks=F.lit(1), blocks=F.lit(n_blocks), per_owner=per_owner)
     return rank_hits(hits, k, size["rows"], distinct=per_owner)
 
 
 def _blocked_search(
-    corpus: DataFrame, queries: DataFrame, k: int, schema: T.StructType, n_blocks: int, n_queries: int, per_owner: bool
+    corpus: DataFrame, queries: DataFrame, k: int, schema: T.StructType, n_blocks: int, n_queries: int, per_owner: bool, in_round: int
 ) -> DataFrame:
     """Ranked hits of a query set block by block, the corpus scanned in place for each.
 
-    A block's hits are written before the next block is sent, so driver and executors hold one
-    block at a time. They are merged in two rounds: first among some of the tasks, then of all, so
-    that no task meets the k rows of every task for a query.
+    A task holds one block. The blocks of a round are searched by one job, and its hits are written
+    before the next round is sent, so the driver holds one round at a time. Hits are merged in two
+    rounds: first among some of the tasks, then of all, so that no task meets the k rows of every
+    task for a query.
     """
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    blocked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     ranked = []
-    for number in range(n_blocks):
-        hits, sent = _broadcast_search(corpus, queries.filter(block_of == number), k, schema, per_owner)
+    for first in range(0, n_blocks, in_round):
+        table = blocked.filter(F.col("_block").between(first, first + in_round - 1)).toArrow()
+        numbers = pc.unique(table["_block"]).to_pylist()
+        found = [_broadcast_search(corpus, table.filter(pc.equal(table["_block"], n)), k, schema, per_owner) for n in numbers]
+        if not found:
+            continue
+        hits = reduce(DataFrame.unionByName, [part for part, _ in found])
         if per_owner:
             hits = hits.groupBy("query_id", "doc_id").agg(F.min("dist_sq").alias("dist_sq"))
         order = [F.col("dist_sq").asc(), F.col("doc_id").asc()]
         dealt = hits.withColumn("_part", F.spark_partition_id() % _MERGED)
         some = top_k(dealt, k, ["query_id", "_part"], order).select("query_id", "doc_id", "dist_sq")
-        ranked.append(staged(rank_hits(some, k, n_queries), f"block{number}"))
-        sent.destroy()
+        ranked.append(staged(rank_hits(some, k, n_queries), f"block{first}"))
+        for _, sent in found:
+            sent.destroy()
     return small(reduce(DataFrame.unionByName, ranked), n_queries * k)
 
 
@@ -160,10 +173,9 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def _broadcast_search(
-    corpus: DataFrame, queries: DataFrame, k: int, schema: T.StructType, per_owner: bool
+    corpus: DataFrame, table: pa.Table, k: int, schema: T.StructType, per_owner: bool
 ) -> tuple[DataFrame, Broadcast]:
-    """Local top k of every task, and what was sent to them."""
-    table = queries.toArrow()  # size checked by the caller
+    """Local top k of every task, and what was sent to them; the caller has checked the queries' size."""
     block = corpus.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), matrix_of(table["vector"])))
     arrow = arrow_schema(schema)
 
@@ -229,13 +241,18 @@ def fragment_search(
     arrow = arrow_schema(schema)
 
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
-        matrix = matrix_of(q["vector"])
-        top = LocalTopK(matrix, k, per_owner)
-        if q.num_rows:
-            for batch in x.to_batches(max_chunksize=10_000):
-                top.add(matrix_of(batch["vector"], matrix.shape[1]), ids_of(batch["doc_id"]))
-                top.flush()
-        return pa.Table.from_batches([hits_batch(top, ids_of(q["query_id"]), arrow)])
+        hits = []
+        step = max(1, _PIECE // max(1, q["vector"].nbytes // max(1, q.num_rows)))
+        for at in range(0, max(1, q.num_rows), step):
+            piece = q.slice(at, step)
+            matrix = matrix_of(piece["vector"])
+            top = LocalTopK(matrix, k, per_owner)
+            if piece.num_rows:
+                for batch in x.to_batches(max_chunksize=10_000):
+                    top.add(matrix_of(batch["vector"], matrix.shape[1]), ids_of(batch["doc_id"]))
+                    top.flush()
+            hits.append(hits_batch(top, ids_of(piece["query_id"]), arrow))
+        return pa.Table.from_batches(hits)
 
     return fragments(
         corpus,
