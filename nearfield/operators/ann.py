@@ -10,6 +10,7 @@ cells is ranked by exact distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from nearfield.session import file_count, staged, stored_bytes
 
 _PRUNE_LITERALS = 2_000  # probed cells that still go into the scan filter as literals
 _LISTED = 1_000_000  # buckets of a box that are listed where the names of all buckets are not at hand
+_BOX = 32  # buckets of a box that are listed in any case where they are
 
 
 def sample_pivots(corpus: DataFrame, m: int, id_col: str = "doc_id", vector_col: str = "vector") -> DataFrame:
@@ -290,7 +292,7 @@ def filled_search(
     limits = {"broadcast_bytes": broadcast_bytes, "chunk_bytes": chunk_bytes}
     cells = index.groupBy("cell").agg(F.count("*").alias("n"))
     there = cells.agg(F.count("*").alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    # Bucket names go along with the task. If there are too many for that, a box too large to be
+    # Bucket names go along with the task, if there are not too many for that. A box too large to be
     # listed is left to the exact search.
     known = ids_of(cells.select("cell").toArrow()["cell"]) if there["cells"] * 8 <= broadcast_bytes else None
     enough = min(k, there["rows"])
@@ -314,22 +316,25 @@ def filled_search(
 
 
 def _search_boxes(index: DataFrame, boxes: DataFrame, k: int, limits: dict[str, int]) -> DataFrame:
+    """Hits of listed boxes, by bucket, and of boxes too large for that, whose queries meet every row."""
     listed, whole = boxes.filter(F.col("cell").isNotNull()), boxes.filter(F.col("cell").isNull()).drop("cell")
-    hits = search_cells(index, listed, k, 1, vectors_size(listed), **limits)
+    parts = []
+    if not listed.isEmpty():
+        parts.append(search_cells(index, listed, k, 1, vectors_size(listed), **limits))
     if not whole.isEmpty():
-        hits = hits.unionByName(knn(index, whole, k, **limits))
-    return hits.select("query_id", "doc_id", "dist_sq")
+        parts.append(knn(index, whole, k, **limits))
+    return reduce(DataFrame.unionByName, [hits.select("query_id", "doc_id", "dist_sq") for hits in parts])
 
 
 def _box_cells(df: DataFrame, known: np.ndarray | None, reach: float, projections: int, width: float, seed: int) -> DataFrame:
     """``(query_id, vector, cell)`` of the buckets in a box around each query.
 
     The box spans ``steps`` steps each way or, where ``far`` is given, all steps that a row within
-    that squared distance can fall into. A box of more buckets than there are is all of them; one
-    that is too large to list is a single row without a cell.
+    that squared distance can fall into. A box that is too large to list, as is one with over an
+    eighth of all buckets, is a single row without a cell: its query would be sent once per bucket.
     """
     schema = T.StructType([df.schema["query_id"], df.schema["vector"], T.StructField("cell", T.LongType())])
-    most = _LISTED if known is None else len(known)
+    most = _LISTED if known is None else max(_BOX, len(known) // 8)
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -347,12 +352,15 @@ def _box_cells(df: DataFrame, known: np.ndarray | None, reach: float, projection
                 low, high = np.floor(places - radius), np.floor(places + radius)
                 named = []
                 for i in range(len(x)):
-                    if np.prod(high[i] - low[i] + 1) > most:
-                        named.append([None] if known is None else known)
+                    if np.prod(high[i] - low[i] + 1) > (_LISTED if known is None else len(known)):
+                        # A box of more buckets than there are may still hold few of those.
+                        inside = known if known is not None and len(known) <= most else [None]
+                        named.append(inside)
                         continue
                     axes = [np.arange(a, b + 1, dtype=np.int64) * f for a, b, f in zip(low[i].astype(np.int64), high[i].astype(np.int64), mix)]
                     cells = np.unique(sum(np.meshgrid(*axes, indexing="ij")).ravel())
-                    named.append(cells if known is None else cells[np.isin(cells, known)])
+                    cells = cells if known is None else cells[np.isin(cells, known)]
+                    named.append(cells if len(cells) <= most else [None])
                 lists = pa.array(named, pa.list_(pa.int64()))
                 rows = np.repeat(np.arange(len(x)), [len(c) for c in named])
                 taken = batch.select(["query_id", "vector"]).take(pa.array(rows))
