@@ -23,7 +23,7 @@ def text_index(spark: SparkSession, sf: str) -> K.TextIndex:
 
 
 def part_index(spark: SparkSession, sf: str) -> K.TextIndex:
-    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type")
+    parts = widen(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type"), "p_partkey")
     return K.build_index(parts, ["p_name", "p_type"], id_col="p_partkey")
 
 
