@@ -431,11 +431,16 @@ def search(
     lone = not grouped and not excludes and len(units) == len({q for q, _ in units})
     weights = _weights(index, literal)
     parts = []
+    wanted = _any_of([(F.col("field") == f) & F.col("term").isin(sorted(ts)) for f, ts in _terms_by_field(literal)]) if literal else None
+    matching = index.matching
+    if index.rows is not None and literal and patterns:
+        # Texts are analysed once for both kinds of clauses.
+        both = _any_of([wanted, *((F.col("field") == c.field) & _term_test(c) for _, c in patterns)])
+        matching = staged(index.matching(both), "matched").filter
     if weights is not None:
-        wanted = _any_of([(F.col("field") == f) & F.col("term").isin(sorted(ts)) for f, ts in _terms_by_field(literal)])
         length = X.compact_length(F.col("doc_len")) if compact_norms else F.col("doc_len")
         # One row per typed token at most, since terms are unique: small by construction.
-        rows = index.matching(wanted).join(F.broadcast(weights), ["field", "term"])
+        rows = matching(wanted).join(F.broadcast(weights), ["field", "term"])
         rows = rows.withColumn("_len", length)
         keys = ["query_id", "clause", "occur", "need", "doc_id"]
 
@@ -463,7 +468,7 @@ def search(
         parts.append(_once(_expanded(index, looked_up)))
     if patterns:
         tests = [(row, (F.col("field") == c.field) & _term_test(c)) for row, c in patterns]
-        rows = index.matching(_any_of([t for _, t in tests])).select("field", "term", "doc_id")
+        rows = matching(_any_of([t for _, t in tests])).select("field", "term", "doc_id")
         hit = F.array_compact(
             F.array(
                 *(
