@@ -330,3 +330,25 @@ def test_crowded_bands_take_one_round(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
     edit_fingerprints.near_documents(rows).collect()
     assert len(rounds) == 1
+
+
+def test_every_two_members_of_a_band_are_compared(spark, monkeypatch):
+    """The nearest is that of all earlier documents that share a band, also if a band is compared in parts."""
+    rng = np.random.default_rng(21)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    base, texts = rng.choice(letters, 1_200), []
+    for _ in range(150):
+        own = base.copy()
+        own[rng.integers(0, len(own), 12)] = rng.choice(letters, 12)
+        texts.append("".join(own))
+    prints = edit_fingerprints.fingerprints(texts)
+    bands = [{band for band, _ in edit_fingerprints.bands_of(p, edit_fingerprints.band_places())} for p in prints]
+    brute = {}
+    for i, partners in brute_partners(prints, edit_fingerprints.LIKE).items():
+        if met := [(round(s, 12), -j) for j, s in partners.items() if bands[i] & bands[j]]:
+            brute[i] = max(met)
+    rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    for part in (4_096, 40):
+        monkeypatch.setattr(edit_fingerprints, "PART", part, raising=False)
+        found = edit_fingerprints.near_documents(rows).collect()
+        assert {r["doc_id"]: (round(r["likeness"], 12), -r["near_id"]) for r in found} == brute and len(brute) > 100
