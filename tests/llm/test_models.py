@@ -352,3 +352,36 @@ def test_every_two_members_of_a_band_are_compared(spark, monkeypatch):
         monkeypatch.setattr(edit_fingerprints, "PART", part, raising=False)
         found = edit_fingerprints.near_documents(rows).collect()
         assert {r["doc_id"]: (round(r["likeness"], 12), -r["near_id"]) for r in found} == brute and len(brute) > 100
+
+
+def test_trusted_ids_are_sent_as_lists(spark, monkeypatch):
+    """No row per label is broadcast; any number of labels finds the same texts, repeated and missing ids included."""
+    docs = [(i % 2_500 if i % 97 else None, f"text {i}", "en", "a", 9) for i in range(4_000)] + [(-7, "below", None, "a", 5)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, int(i % 3 > 0), 0) for i in range(3_000)] * 2 + [(None, 1, 0), (-7, 1, 0), (8, None, 0)]
+    labels = spark.createDataFrame(labels, LABELS)
+    want = Counter((r["text"], r["lang"]) for r in docs.collect() if r["doc_id"] is not None and (r["doc_id"] % 3 or r["doc_id"] == -7))
+    sent, broadcast = [], ngram_quality.F.broadcast
+    monkeypatch.setattr(ngram_quality.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    found = ngram_quality.trusted_texts(docs, labels)
+    assert found.columns == ["doc_id", "text", "lang"] and Counter((r["text"], r["lang"]) for r in found.collect()) == want
+    assert sum(sent) <= 2_001 / 30
+    monkeypatch.setattr(ngram_quality, "MOST_IDS", 100)
+    assert Counter((r["text"], r["lang"]) for r in ngram_quality.trusted_texts(docs, labels).collect()) == want
+    assert ngram_quality.trusted_texts(docs, labels.where("false")).count() == 0
+
+
+def test_model_is_written_in_small_plans(spark, monkeypatch):
+    """What the driver sends out at once follows the exchanges of a plan."""
+    exchanges, writer = [], type(spark.range(1).write)
+    parquet = writer.parquet
+
+    def counted(self, *args, **options):
+        exchanges.append(self._df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return parquet(self, *args, **options)
+
+    monkeypatch.setattr(writer, "parquet", counted)
+    found = ngram_quality.model(spark.createDataFrame([("the cat sat on the mat",), ("a cat",)], "text string"))
+    runs = [r["run"] for r in found.collect()]
+    assert len(runs) == len(set(runs)) and "" in runs and max(map(len, runs)) == ngram_quality.ORDER
+    assert max(exchanges) <= 8
